@@ -13,7 +13,7 @@ from meltframe import constants as K
 
 def process_class(note: Column, rules: Sequence = tuple(K.PROCESSING_RULES)) -> Column:
     """Class 1..7 of a free-text processing note; the first rule with a keyword hit decides."""
-    text = F.lower(F.trim(note))
+    text = F.lower(F.trim(note, F.lit(" \t\n\r\f\v")))
     missing = note.isNull() | text.isin(K.MISSING_TOKENS)
     # A rule that gives the default class and has no rule for another class after it decides nothing.
     last = max(i for i, (cls, _) in enumerate(rules) if cls != K.DEFAULT_CLASS)
