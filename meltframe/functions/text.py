@@ -43,7 +43,7 @@ def fraction_text(share: Column) -> Column:
 
 def composition_string(present: Column) -> Column:
     """`Al0.330Cr0.330Fe0.340` from an array of (elem_idx, share), already in element order."""
-    symbols = F.array(*[F.lit(e) for e in K.ELEMENTS])
+    symbols = F.expr("array(" + ", ".join(f"'{e}'" for e in K.ELEMENTS) + ")")
     return F.array_join(
         F.transform(present, lambda t: F.concat(F.get(symbols, t["elem_idx"]), fraction_text(t["share"]))), ""
     )

@@ -9,7 +9,6 @@ no row can grow, and the element pairs of an alloy are terms of an expression, n
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +18,15 @@ from meltframe import constants as K
 TOTAL = "amount_total"
 
 
-def _add(terms: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, terms)
+# Arithmetic over the 32 elements is written as SQL text: one expression string is parsed at once, while the
+# same sum built term by term costs thousands of calls into the JVM before the query even starts.
+
+def _add(terms: Sequence[str]) -> str:
+    return "(" + " + ".join(terms) + ")"
+
+
+def _num(value: float) -> str:
+    return f"{float(value)!r}D"
 
 
 # --- dimension tables -------------------------------------------------------------
@@ -54,21 +60,21 @@ def pair_lookup(pairs: DataFrame, enthalpies: DataFrame) -> DataFrame:
 def to_wide(long: DataFrame, key: str = "row_id", elem: str = "elem_idx", amount: str = "amount") -> DataFrame:
     """One row per alloy, one column per element; repeated (alloy, element) rows add up."""
     sums = [
-        F.coalesce(F.sum(F.when(F.col(elem) == i, F.col(amount))), F.lit(0)).cast("double").alias(e)
+        F.expr(f"CAST(coalesce(sum(CASE WHEN `{elem}` = {i} THEN `{amount}` END), 0) AS DOUBLE) AS {e}")
         for i, e in enumerate(K.ELEMENTS)
     ]
     return long.groupBy(key).agg(*sums)
 
 
-def wide_from_array(df: DataFrame, amounts: Column, key: str = "row_id") -> DataFrame:
+def wide_from_array(df: DataFrame, amounts: str, key: str = "row_id") -> DataFrame:
     """Wide form of an array column whose first 32 entries are the element amounts; no shuffle."""
-    return df.select(
-        key, *[F.coalesce(F.get(amounts, F.lit(i)), F.lit(0)).cast("double").alias(e) for i, e in enumerate(K.ELEMENTS)]
+    return df.selectExpr(
+        key, *[f"CAST(coalesce(get({amounts}, {i}), 0) AS DOUBLE) AS {e}" for i, e in enumerate(K.ELEMENTS)]
     )
 
 
 def elements_array() -> Column:
-    return F.array(*[F.col(e) for e in K.ELEMENTS])
+    return F.expr(f"array({', '.join(K.ELEMENTS)})")
 
 
 def to_long(wide: DataFrame, key: str = "row_id", above: float = 0.0) -> DataFrame:
@@ -78,9 +84,7 @@ def to_long(wide: DataFrame, key: str = "row_id", above: float = 0.0) -> DataFra
 
 def clean_amounts(wide: DataFrame, above: float = 0.0) -> DataFrame:
     """Amounts that count as present; NULL, negative and tiny ones become 0."""
-    return wide.withColumns(
-        {e: F.coalesce(F.when(F.col(e) > above, F.col(e)), F.lit(0.0)) for e in K.ELEMENTS}
-    )
+    return wide.withColumns({e: F.expr(f"coalesce(CASE WHEN {e} > {_num(above)} THEN {e} END, 0D)") for e in K.ELEMENTS})
 
 
 def with_total(wide: DataFrame) -> DataFrame:
@@ -90,17 +94,22 @@ def with_total(wide: DataFrame) -> DataFrame:
     whether it fits the size the JIT compiler accepts.
     """
     loose = [f.name for f in wide.schema.fields if f.nullable and f.name in K.ELEMENT_INDEX]
-    solid = wide.withColumns({e: F.coalesce(F.col(e).cast("double"), F.lit(0.0)) for e in loose}) if loose else wide
-    return solid.withColumn(TOTAL, _add([F.col(e) for e in K.ELEMENTS]))
+    solid = wide.withColumns({e: F.expr(f"coalesce(CAST({e} AS DOUBLE), 0D)") for e in loose}) if loose else wide
+    return solid.withColumn(TOTAL, F.expr(_add(K.ELEMENTS)))
+
+
+def _share(e: str) -> str:
+    return f"coalesce(try_divide({e}, {TOTAL}), 0D)"
 
 
 def share(e: str) -> Column:
     """Molar fraction of one element; 0 for an empty alloy. Needs `with_total`."""
-    return F.when(F.col(TOTAL) > 0, F.col(e) / F.col(TOTAL)).otherwise(F.lit(0.0))
+    return F.expr(_share(e))
 
 
-def shares_wide(wide: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    kept = [c for c in wide.columns if c not in K.ELEMENTS] if not keep else list(keep)
+def shares_wide(wide: DataFrame) -> DataFrame:
+    """Molar fractions in the element columns; the other columns stay."""
+    kept = [c for c in wide.columns if c not in K.ELEMENT_INDEX]
     return with_total(wide).select(*kept, *[share(e).alias(e) for e in K.ELEMENTS])
 
 
@@ -123,7 +132,7 @@ def element_pairs(wide: DataFrame, key: str = "row_id") -> DataFrame:
         F.transform(elements_array(), lambda a, i: F.struct(i.alias("idx"), a.alias("amount"))),
         lambda t: t["amount"] > 0,
     )
-    symbols = F.array(*[F.lit(e) for e in K.ELEMENTS])
+    symbols = F.expr("array(" + ", ".join(f"'{e}'" for e in K.ELEMENTS) + ")")
     return (
         wide.select(key, present.alias("right"))
         .select(key, "right", F.explode("right").alias("left"))
@@ -139,94 +148,84 @@ def element_pairs(wide: DataFrame, key: str = "row_id") -> DataFrame:
 
 
 # --- parameters -------------------------------------------------------------------
-# Each builder returns a column of the wide row with `amount_total`; an empty alloy gives 0.
+# Each builder returns the SQL of one value of the wide row with `amount_total`; an empty alloy gives 0.
 
-def _guard(value: Column) -> Column:
-    return F.coalesce(F.when(F.col(TOTAL) > 0, value), F.lit(0.0))
+def _guard(value: str) -> str:
+    return f"coalesce(CASE WHEN {TOTAL} > 0 THEN {value} END, 0D)"
 
 
-def scaled_sum(prop: str) -> Column:
-    return _add([F.col(e) * F.lit(float(K.SCALED[prop][i])) for i, e in enumerate(K.ELEMENTS)])
+def _scaled_sum(prop: str) -> str:
+    return _add([f"{e} * {_num(v)}" for e, v in zip(K.ELEMENTS, K.SCALED[prop], strict=True) if v])
 
 
-def mean(prop: str) -> Column:
-    return _guard(scaled_sum(prop) / (F.col(TOTAL) * F.lit(float(K.SCALE[prop]))))
+def _mean(prop: str) -> str:
+    return _guard(f"{_scaled_sum(prop)} / ({TOTAL} * {_num(K.SCALE[prop])})")
 
 
-def spread(prop: str, centre: str) -> Column:
+def _spread(prop: str, centre: str) -> str:
     """Weighted population deviation around the scaled mean in column `centre` (second pass over the row)."""
-    terms = []
-    for i, e in enumerate(K.ELEMENTS):
-        off = F.lit(float(K.SCALED[prop][i])) - F.col(centre)
-        terms.append(F.col(e) * (off * off))
-    return _guard(F.sqrt(_add(terms) / F.col(TOTAL)) / F.lit(float(K.SCALE[prop])))
+    off = [f"({_num(v)} - {centre})" for v in K.SCALED[prop]]
+    squares = _add([f"{e} * ({o} * {o})" for e, o in zip(K.ELEMENTS, off, strict=True)])
+    return _guard(f"sqrt({squares} / {TOTAL}) / {_num(K.SCALE[prop])}")
 
 
-def size_mismatch(centre: str) -> Column:
+def _size_mismatch(centre: str) -> str:
     """Percent deviation of the atomic radii from the scaled mean radius in column `centre`."""
-    terms = []
-    for i, e in enumerate(K.ELEMENTS):
-        off = F.lit(1.0) - F.lit(float(K.SCALED["radius"][i])) / F.col(centre)
-        terms.append(F.col(e) * (off * off))
-    return F.when(F.col(centre) > 0, F.lit(100.0) * F.sqrt(_add(terms) / F.col(TOTAL))).otherwise(F.lit(0.0))
+    off = [f"(1D - coalesce(try_divide({_num(v)}, {centre}), 0D))" for v in K.SCALED["radius"]]
+    squares = _add([f"{e} * ({o} * {o})" for e, o in zip(K.ELEMENTS, off, strict=True)])
+    return _guard(f"100D * sqrt({squares} / {TOTAL})")
 
 
-def entropy() -> Column:
+def _entropy() -> str:
     """-R * sum(x ln x), written as R * (ln W - sum(a ln a) / W) to take one division per alloy."""
-    logs = [F.coalesce(F.ln(F.when(F.col(e) > 0, F.col(e)).otherwise(F.lit(1.0))), F.lit(0.0)) for e in K.ELEMENTS]
-    terms = [F.col(e) * log for e, log in zip(K.ELEMENTS, logs, strict=True)]
-    return _guard(F.lit(K.R_GAS) * (F.ln(TOTAL) - _add(terms) / F.col(TOTAL)))
+    terms = _add([f"{e} * coalesce(ln(CASE WHEN {e} > 0 THEN {e} ELSE 1D END), 0D)" for e in K.ELEMENTS])
+    return _guard(f"{_num(K.R_GAS)} * (ln({TOTAL}) - {terms} / {TOTAL})")
 
 
-def _pair_terms() -> list[Column]:
-    return [F.col(a) * F.col(b) * F.lit(float(h)) for a, b, h in K.PAIRS if h]
+def _pair_terms() -> list[str]:
+    return [f"{a} * {b} * {_num(h)}" for a, b, h in K.PAIRS if h]
 
 
-def enthalpy() -> Column:
-    return _guard(F.lit(4.0) * _add(_pair_terms()) / (F.col(TOTAL) * F.col(TOTAL)))
+def _enthalpy() -> str:
+    return _guard(f"4D * {_add(_pair_terms())} / ({TOTAL} * {TOTAL})")
 
 
-def enthalpy_spread() -> Column:
+def _enthalpy_spread() -> str:
     """Root of the summed squared pair contributions (not a deviation)."""
-    return _guard(F.lit(4.0) * F.sqrt(_add([t * t for t in _pair_terms()])) / (F.col(TOTAL) * F.col(TOTAL)))
+    squares = _add([f"({t}) * ({t})" for t in _pair_terms()])
+    return _guard(f"4D * sqrt({squares}) / ({TOTAL} * {TOTAL})")
 
 
-def omega(tm: str = "tm", s: str = "entropy", h: str = "enthalpy") -> Column:
-    """Tm * S / |H| with H in J; 0 where the enthalpy is 0."""
-    return F.when(F.col(h) != 0, F.col(tm) * F.col(s) / (F.abs(F.col(h)) * 1000)).otherwise(F.lit(0.0))
+def _density() -> str:
+    return f"coalesce(try_divide({_scaled_sum('mass')}, {_scaled_sum('volume')}), 0D)"
 
 
 def density() -> Column:
-    volume = scaled_sum("volume")
-    return F.when(volume > 0, scaled_sum("mass") / volume).otherwise(F.lit(0.0))
+    """Mass over volume of the mixture; 0 where there is no volume."""
+    return F.expr(_density())
 
 
-_SPREAD_OF = {"tm_std": "tm", "chi_std": "chi", "vec_std": "vec", "bulk_std": "bulk"}
+def omega(tm: str = "tm", s: str = "entropy", h: str = "enthalpy") -> Column:
+    """Tm * S / |H| with H in J; 0 where the enthalpy is 0."""
+    return F.expr(f"CASE WHEN {h} <> 0 THEN {tm} * {s} / (abs({h}) * 1000D) ELSE 0D END")
+
+
+_SPREAD_OF = {"delta": "radius", "tm_std": "tm", "chi_std": "chi", "vec_std": "vec", "bulk_std": "bulk"}
 _MEAN_OF = {"a": "lattice", "tm": "tm", "chi": "chi", "vec": "vec", "bulk": "bulk"}
 
 
 def with_params(wide: DataFrame, names: Sequence[str] = tuple(K.EMPIRICAL)) -> DataFrame:
     """Add parameters by name; only the intermediate columns those need are computed."""
-    names = list(names)
+    wanted = set(names) | ({"tm", "entropy", "enthalpy"} if "omega" in names else set())
+    centred = [p for n, p in _SPREAD_OF.items() if n in wanted]
+    centres = {f"_{p}_centre": F.expr(_guard(f"{_scaled_sum(p)} / {TOTAL}")) for p in centred}
     base = with_total(wide)
-    centred = [_SPREAD_OF[n] for n in names if n in _SPREAD_OF] + (["radius"] if "delta" in names else [])
-    centres = {f"_{p}_centre": _guard(scaled_sum(p) / F.col(TOTAL)) for p in centred}
     base = base.withColumns(centres) if centres else base
-    wanted = set(names) | ({"tm", "entropy", "enthalpy"} if "omega" in names else set())
-    cols: dict[str, Column] = {}
-    for n in K.EMPIRICAL:
-        if n not in wanted or n == "omega":
-            continue
-        if n in _MEAN_OF:
-            cols[n] = mean(_MEAN_OF[n])
-        elif n in _SPREAD_OF:
-            cols[n] = spread(_SPREAD_OF[n], f"_{_SPREAD_OF[n]}_centre")
-        elif n == "delta":
-            cols[n] = size_mismatch("_radius_centre")
-        else:
-            cols[n] = {"entropy": entropy, "enthalpy": enthalpy, "enthalpy_spread": enthalpy_spread,
-                       "density": density}[n]()
-    out = base.withColumns(cols)
+    sql = {n: _mean(p) for n, p in _MEAN_OF.items()}
+    sql |= {n: _spread(p, f"_{p}_centre") for n, p in _SPREAD_OF.items() if n != "delta"}
+    sql |= {"delta": _size_mismatch("_radius_centre"), "entropy": _entropy(), "enthalpy": _enthalpy(),
+            "enthalpy_spread": _enthalpy_spread(), "density": _density()}
+    out = base.withColumns({n: F.expr(sql[n]) for n in K.EMPIRICAL if n in wanted and n != "omega"})
     if "omega" in names:
         out = out.withColumn("omega", omega())
     return out.select(*wide.columns, *names)
@@ -247,29 +246,27 @@ def weighted_sums(long: DataFrame, props: Sequence[str], key: str = "row_id", el
 
     The property is read from a constant array, so the sums combine before the shuffle and no join is needed.
     """
-    lookup = {p: F.array(*[F.lit(float(v)) for v in K.SCALED[p]]) for p in props}
+    tables = {p: f"array({', '.join(_num(v) for v in K.SCALED[p])})" for p in props}
     return long.groupBy(key).agg(
-        F.sum(F.col(amount).cast("double")).alias(TOTAL),
-        *[F.sum(F.col(amount) * F.get(lookup[p], F.col(elem))).alias(p) for p in props],
+        F.expr(f"sum(CAST(`{amount}` AS DOUBLE)) AS {TOTAL}"),
+        *[F.expr(f"sum(`{amount}` * get({t}, `{elem}`)) AS {p}") for p, t in tables.items()],
     )
 
 
 def weighted_means(long: DataFrame, props: Sequence[str] = tuple(K.PROPERTIES), key: str = "row_id") -> DataFrame:
     sums = weighted_sums(long, props, key)
-    return sums.select(key, *[_guard(F.col(p) / (F.col(TOTAL) * F.lit(float(K.SCALE[p])))).alias(p) for p in props])
+    return sums.select(key, *[F.expr(_guard(f"{p} / ({TOTAL} * {_num(K.SCALE[p])})")).alias(p) for p in props])
 
 
 def mixture_density(long: DataFrame, key: str = "row_id") -> DataFrame:
     sums = weighted_sums(long, ["mass", "volume"], key)
-    return sums.select(
-        key, F.when(F.col("volume") > 0, F.col("mass") / F.col("volume")).otherwise(F.lit(0.0)).alias("density")
-    )
+    return sums.select(key, F.expr("coalesce(try_divide(mass, volume), 0D) AS density"))
 
 
 def array_density(amounts: Column) -> Column:
     """Density of a dense amount array, as one expression over the array."""
     def dot(p: str) -> Column:
-        weights = F.array(*[F.lit(float(v)) for v in K.SCALED[p]])
+        weights = F.expr(f"array({', '.join(_num(v) for v in K.SCALED[p])})")
         return F.aggregate(F.zip_with(amounts, weights, lambda x, w: x * w), F.lit(0.0), lambda a, b: a + b)
 
     return F.when(dot("volume") > 0, dot("mass") / dot("volume"))
@@ -278,11 +275,11 @@ def array_density(amounts: Column) -> Column:
 # --- summaries --------------------------------------------------------------------
 
 def n_elements(threshold: float = K.PRESENT_ABOVE) -> Column:
-    return _add([F.when(share(e) > threshold, F.lit(1)).otherwise(F.lit(0)) for e in K.ELEMENTS])
+    return F.expr(_add([f"CASE WHEN {_share(e)} > {_num(threshold)} THEN 1 ELSE 0 END" for e in K.ELEMENTS]))
 
 
 def max_share() -> Column:
-    return F.greatest(*[share(e) for e in K.ELEMENTS])
+    return F.expr(f"coalesce(try_divide(greatest({', '.join(K.ELEMENTS)}), {TOTAL}), 0D)")
 
 
 def present_shares(threshold: float = K.PRESENT_ABOVE) -> Column:

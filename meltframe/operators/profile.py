@@ -65,17 +65,15 @@ def missing_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def composition_bounds(wide: DataFrame) -> DataFrame:
     """Smallest and largest amount per element over all alloys; absent elements count as 0."""
-    aggs = []
-    for e in K.ELEMENTS:
-        aggs += [F.min(e).alias(f"low__{e}"), F.max(e).alias(f"high__{e}")]
-    return unpivot_stats(wide.agg(*aggs), K.ELEMENTS, ["low", "high"], label="elem")
+    aggs = [F.expr(f"{fn}({e}) AS {s}__{e}") for e in K.ELEMENTS for fn, s in (("min", "low"), ("max", "high"))]
+    rows = ", ".join(f"struct('{e}' AS elem, low__{e} AS low, high__{e} AS high)" for e in K.ELEMENTS)
+    return wide.agg(*aggs).selectExpr(f"inline(array({rows}))")
 
 
 def bounds_row(wide: DataFrame) -> DataFrame:
     """The same bounds as one row of two arrays in element order."""
-    return wide.agg(
-        F.array(*[F.min(e) for e in K.ELEMENTS]).alias("low"), F.array(*[F.max(e) for e in K.ELEMENTS]).alias("high")
-    )
+    lists = {s: ", ".join(f"{fn}({e})" for e in K.ELEMENTS) for s, fn in (("low", "min"), ("high", "max"))}
+    return wide.agg(*[F.expr(f"array({items}) AS {s}") for s, items in lists.items()])
 
 
 def domain_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:

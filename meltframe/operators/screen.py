@@ -5,11 +5,10 @@ from __future__ import annotations
 import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meltframe import constants as K
@@ -121,12 +120,8 @@ def decode(df: DataFrame, bounds: DataFrame, raw: str = "raw", key: str = "row_i
     """
     limits = bounds.select(F.struct("low", "high")).scalar()
     held = df.select(key, F.col(raw), limits.alias("_b"))
-    return held.select(
-        key,
-        *[(F.get(raw, F.lit(i)) * F.get("_b.high", F.lit(i)) + F.get("_b.low", F.lit(i))).alias(e)
-          for i, e in enumerate(K.ELEMENTS)],
-        F.slice(raw, 33, 7).alias("process_scores"),
-    )
+    amounts = [f"get({raw}, {i}) * get(_b.high, {i}) + get(_b.low, {i}) AS {e}" for i, e in enumerate(K.ELEMENTS)]
+    return held.selectExpr(key, *amounts, f"slice({raw}, 33, 7) AS process_scores")
 
 
 # --- constraints ---------------------------------------------------------------------
@@ -135,19 +130,17 @@ def violations(wide: DataFrame, request: ScreenRequest) -> DataFrame:
     """Shares in the element columns, one violation column per constraint (<= 0 holds), `total_violation`
     and `feasible`. All in the row of the candidate; an empty candidate is infeasible."""
     request.validate()
-    shares = comp.shares_wide(wide)
-    limit = F.lit(request.threshold)
-    count = reduce(lambda a, b: a + b, [F.when(F.col(e) > limit, F.lit(1)).otherwise(F.lit(0)) for e in K.ELEMENTS])
-    cols: dict[str, Column] = {"v_max_elements": (count - request.max_elements).cast("double")}
-    cols |= {f"v_banned_{e}": F.col(e) - limit for e in request.banned}
-    cols |= {f"v_required_{e}": limit - F.col(e) for e in request.required}
-    cols["v_max_fraction"] = F.greatest(*[F.col(e) for e in K.ELEMENTS]) - F.lit(request.max_fraction)
-    out = shares.withColumns(cols)
-    broken = [F.greatest(F.col(c), F.lit(0.0)) for c in cols]
-    filled = F.greatest(*[F.col(e) for e in K.ELEMENTS]) > 0
+    limit, cap = f"{request.threshold!r}D", f"{request.max_fraction!r}D"
+    largest = f"greatest({', '.join(K.ELEMENTS)})"
+    count = " + ".join(f"CASE WHEN {e} > {limit} THEN 1 ELSE 0 END" for e in K.ELEMENTS)
+    cols = {"v_max_elements": f"CAST({count} - {request.max_elements} AS DOUBLE)"}
+    cols |= {f"v_banned_{e}": f"{e} - {limit}" for e in request.banned}
+    cols |= {f"v_required_{e}": f"{limit} - {e}" for e in request.required}
+    cols["v_max_fraction"] = f"{largest} - {cap}"
+    out = comp.shares_wide(wide).withColumns({n: F.expr(sql) for n, sql in cols.items()})
     return out.withColumns({
-        "total_violation": reduce(lambda a, b: a + b, broken),
-        "feasible": reduce(lambda a, b: a & b, [F.col(c) <= 0 for c in cols]) & filled,
+        "total_violation": F.expr(" + ".join(f"greatest({c}, 0D)" for c in cols)),
+        "feasible": F.expr(" AND ".join(f"{c} <= 0" for c in cols) + f" AND {largest} > 0"),
     })
 
 

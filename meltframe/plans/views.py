@@ -130,4 +130,4 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comp.wide_from_array(candidates(spark, sf_dir), F.col("raw"))
+    return comp.wide_from_array(candidates(spark, sf_dir), "raw")
