@@ -98,13 +98,13 @@ def with_total(wide: DataFrame) -> DataFrame:
     return solid.withColumn(TOTAL, F.expr(_add(K.ELEMENTS)))
 
 
-def _share(e: str) -> str:
+def share_sql(e: str) -> str:
     return f"coalesce(try_divide({e}, {TOTAL}), 0D)"
 
 
 def share(e: str) -> Column:
     """Molar fraction of one element; 0 for an empty alloy. Needs `with_total`."""
-    return F.expr(_share(e))
+    return F.expr(share_sql(e))
 
 
 def shares_wide(wide: DataFrame) -> DataFrame:
@@ -274,19 +274,29 @@ def array_density(amounts: Column) -> Column:
 
 # --- summaries --------------------------------------------------------------------
 
+def present_sql(e: str, threshold: float = K.PRESENT_ABOVE) -> str:
+    """1 where the share of an element is above the threshold, written without a division per element."""
+    return f"CASE WHEN {e} > {_num(threshold)} * {TOTAL} THEN 1 ELSE 0 END"
+
+
 def n_elements(threshold: float = K.PRESENT_ABOVE) -> Column:
-    return F.expr(_add([f"CASE WHEN {_share(e)} > {_num(threshold)} THEN 1 ELSE 0 END" for e in K.ELEMENTS]))
+    return F.expr(_add([present_sql(e, threshold) for e in K.ELEMENTS]))
+
+
+def max_share_sql() -> str:
+    # dividing by one positive total keeps the order, so the largest amount has the largest share
+    return f"coalesce(try_divide(greatest({', '.join(K.ELEMENTS)}), {TOTAL}), 0D)"
 
 
 def max_share() -> Column:
-    return F.expr(f"coalesce(try_divide(greatest({', '.join(K.ELEMENTS)}), {TOTAL}), 0D)")
+    return F.expr(max_share_sql())
 
 
 def present_shares(threshold: float = K.PRESENT_ABOVE) -> Column:
     """(elem_idx, share) of the elements above the threshold, renormalised to sum 1. Needs `with_total`."""
     kept = F.filter(
         F.transform(elements_array(), lambda a, i: F.struct(i.alias("elem_idx"), a.alias("amount"))),
-        lambda t: t["amount"] / F.col(TOTAL) > threshold,
+        lambda t: t["amount"] > F.lit(threshold) * F.col(TOTAL),
     )
     total = F.aggregate(kept, F.lit(0.0), lambda acc, t: acc + t["amount"])
     return F.when(

@@ -127,20 +127,19 @@ def decode(df: DataFrame, bounds: DataFrame, raw: str = "raw", key: str = "row_i
 # --- constraints ---------------------------------------------------------------------
 
 def violations(wide: DataFrame, request: ScreenRequest) -> DataFrame:
-    """Shares in the element columns, one violation column per constraint (<= 0 holds), `total_violation`
-    and `feasible`. All in the row of the candidate; an empty candidate is infeasible."""
+    """One violation column per constraint (<= 0 holds), `total_violation` and `feasible`, in the row of
+    the candidate. An empty candidate is infeasible."""
     request.validate()
-    limit, cap = f"{request.threshold!r}D", f"{request.max_fraction!r}D"
-    largest = f"greatest({', '.join(K.ELEMENTS)})"
-    count = " + ".join(f"CASE WHEN {e} > {limit} THEN 1 ELSE 0 END" for e in K.ELEMENTS)
+    limit = f"{request.threshold!r}D"
+    count = " + ".join(comp.present_sql(e, request.threshold) for e in K.ELEMENTS)
     cols = {"v_max_elements": f"CAST({count} - {request.max_elements} AS DOUBLE)"}
-    cols |= {f"v_banned_{e}": f"{e} - {limit}" for e in request.banned}
-    cols |= {f"v_required_{e}": f"{limit} - {e}" for e in request.required}
-    cols["v_max_fraction"] = f"{largest} - {cap}"
-    out = comp.shares_wide(wide).withColumns({n: F.expr(sql) for n, sql in cols.items()})
+    cols |= {f"v_banned_{e}": f"{comp.share_sql(e)} - {limit}" for e in request.banned}
+    cols |= {f"v_required_{e}": f"{limit} - {comp.share_sql(e)}" for e in request.required}
+    cols["v_max_fraction"] = f"{comp.max_share_sql()} - {request.max_fraction!r}D"
+    out = comp.with_total(wide).withColumns({n: F.expr(sql) for n, sql in cols.items()})
     return out.withColumns({
         "total_violation": F.expr(" + ".join(f"greatest({c}, 0D)" for c in cols)),
-        "feasible": F.expr(" AND ".join(f"{c} <= 0" for c in cols) + f" AND {largest} > 0"),
+        "feasible": F.expr(" AND ".join(f"{c} <= 0" for c in cols) + f" AND {comp.TOTAL} > 0"),
     })
 
 
