@@ -1,14 +1,86 @@
-"""Forest models."""
+"""Random forests on feature tables: vectors, fitting, cross-validation, scoring, saving.
+
+Training and prediction are Spark ML jobs. Loops run over targets, folds and phases, never over rows. A table that
+feeds several fits should be stored first (`stored`), so that its joins and aggregates run once.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meltframe import constants as K
+from meltframe.functions import columns as C
+from meltframe.operators import evaluate, split
+from meltframe.session import checkpoint_dir
+from meltframe.sources.tables import write_feature_config
+
+MAX_DEPTH = 30  # the deepest trees Spark ML grows
+
+
+@dataclass(frozen=True)
+class Forest:
+    """Forest settings. `bins` is the number of split candidates per feature."""
+
+    trees: int = 100
+    depth: int = MAX_DEPTH
+    seed: int = 0
+    bins: int = 256
+    memory_mb: int = 1024
+
+    def params(self) -> dict:
+        return {"numTrees": self.trees, "maxDepth": self.depth, "seed": self.seed, "maxBins": self.bins,
+                "maxMemoryInMB": self.memory_mb}
+
+
+REGRESSOR = Forest()
+CLASSIFIER = Forest(seed=4)
+
+
+@dataclass(frozen=True)
+class TargetSpec:
+    """One model to train: its target, the rows it may use and its features."""
+
+    target: str
+    domain: str | None
+    features: Sequence[str]
+    media: Sequence[str] = ()
+
+    def rows(self, df: DataFrame) -> DataFrame:
+        if self.domain:
+            df = df.where(F.col("domain") == self.domain)
+        if self.media:
+            df = df.where(F.col("electrolyte").isin(list(self.media)))
+        return df.where(F.col(self.target).isNotNull())
+
+
+# Family A: every target on the observed rows of its own domain, corrosion on the seven listed media only.
+FAMILY_A = [TargetSpec(t, "mechanical", tuple(K.MECH_FEATURES)) for t in K.MECH_TARGETS] + [
+    TargetSpec(t, "corrosion", tuple(K.CORR_FEATURES), tuple(K.ELECTROLYTES)) for t in K.CORR_TARGETS
+]
+# Family B: every target on all rows of the imputed table.
+FAMILY_B = [TargetSpec(t, None, tuple(K.CORR_FEATURES)) for t in K.TARGETS]
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The table written to the shared checkpoint folder: later jobs read it, lost executors cannot lose it."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def stable_layout(df: DataFrame, key: str = "row_id", partitions: int | None = None) -> DataFrame:
+    """Rows placed and ordered by key, since a forest's bootstrap follows the partition layout."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, key).sortWithinPartitions(key)
+
 
 def assemble(df: DataFrame, names: Sequence[str], out: str = "features") -> DataFrame:
     """Dense feature vector in the fixed name order; a missing value is an error (fill first)."""
@@ -16,6 +88,161 @@ def assemble(df: DataFrame, names: Sequence[str], out: str = "features") -> Data
 
 
 def disassemble(df: DataFrame, names: Sequence[str], vector: str = "features") -> DataFrame:
-    values = vector_to_array(F.col(vector))
     rest = [c for c in df.columns if c != vector]
-    return df.select(*rest, *[F.get(values, F.lit(i)).alias(n) for i, n in enumerate(names)])
+    return df.withColumn(vector, vector_to_array(F.col(vector))).selectExpr(
+        *rest, *[f"get({vector}, {i}) AS `{n}`" for i, n in enumerate(names)]
+    )
+
+
+def _training(df: DataFrame, label: str, names: Sequence[str], key: str) -> DataFrame:
+    filled = C.fill_zero(df.select(key, F.col(label).cast("double").alias("_label"), *names), names)
+    return assemble(stable_layout(filled, key), names).select("_label", "features")
+
+
+def fit_regressor(df: DataFrame, target: str, names: Sequence[str], forest: Forest = REGRESSOR,
+                  key: str = "row_id") -> RandomForestRegressionModel:
+    """Forest over all features at each split, the target as given (take `icorr_log10` for the log target)."""
+    rf = RandomForestRegressor(featuresCol="features", labelCol="_label", featureSubsetStrategy="all",
+                               **forest.params())
+    return rf.fit(_training(df.where(F.col(target).isNotNull()), target, names, key))
+
+
+def fit_classifier(df: DataFrame, label: str, names: Sequence[str], forest: Forest = CLASSIFIER,
+                   key: str = "row_id") -> RandomForestClassificationModel:
+    """Forest over a square-root sample of the features at each split."""
+    rf = RandomForestClassifier(featuresCol="features", labelCol="_label", featureSubsetStrategy="sqrt",
+                                **forest.params())
+    return rf.fit(_training(df.where(F.col(label).isNotNull()), label, names, key))
+
+
+def predict(df: DataFrame, models: Mapping[str, object], names: Sequence[str],
+            probability: bool = False) -> DataFrame:
+    """Add one column per model (`name`), and `<name>_probability` of class 1 if asked; one vector for all."""
+    out = assemble(C.fill_zero(df, names), names, "_features")
+    for name, model in models.items():
+        columns, helpers = {model.featuresCol: "_features", model.predictionCol: name}, []
+        if isinstance(model, RandomForestClassificationModel):
+            helpers = ["_raw", "_prob"]
+            columns |= {model.rawPredictionCol: "_raw", model.probabilityCol: "_prob"}
+        out = model.copy(columns).transform(out)
+        if helpers and probability:
+            out = out.withColumn(f"{name}_probability", F.get(vector_to_array(F.col("_prob")), F.lit(1)))
+        out = out.drop(*helpers)
+    return out.drop("_features")
+
+
+# --- evaluation ------------------------------------------------------------------------
+
+def cross_predict(df: DataFrame, target: str, names: Sequence[str], folds: int = 5,
+                  forest: Forest = REGRESSOR, key: str = "row_id") -> DataFrame:
+    """(key, fold, truth, guess): every observed row predicted by the model that did not see its fold."""
+    rows = split.with_fold(df.where(F.col(target).isNotNull()), key, folds) if "fold" not in df.columns else df.where(
+        F.col(target).isNotNull())
+    parts = []
+    for k in range(folds):
+        model = fit_regressor(rows.where(F.col("fold") != k), target, names, forest, key)
+        scored = predict(rows.where(F.col("fold") == k), {"guess": model}, names)
+        parts.append(scored.select(key, "fold", F.col(target).alias("truth"), "guess"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
+def cv_r2(df: DataFrame, specs: Sequence[TargetSpec], folds: int = 5, forest: Forest = REGRESSOR,
+          key: str = "row_id") -> DataFrame:
+    """R² mean and deviation over the folds, one row per target."""
+    scores = None
+    for spec in specs:
+        guesses = cross_predict(spec.rows(df), spec.target, spec.features, folds, forest, key)
+        part = evaluate.r2_score(guesses, "truth", "guess", ["fold"]).withColumn(
+            "property", F.lit(K.TARGET_LABELS[spec.target]))
+        scores = part if scores is None else scores.unionByName(part)
+    return evaluate.cv_summary(scores, ["property"])
+
+
+def holdout_accuracy(df: DataFrame, label: str, names: Sequence[str], forest: Forest = CLASSIFIER,
+                     key: str = "row_id") -> tuple[RandomForestClassificationModel, DataFrame]:
+    """Classifier fitted on the 90 % part and its accuracy on the held-out 10 %."""
+    rows = split.with_holdout(df.where(F.col(label).isNotNull()), key)
+    model = fit_classifier(rows.where(~F.col("is_test")), label, names, forest, key)
+    scored = predict(rows.where("is_test"), {"guess": model}, names)
+    return model, evaluate.accuracy(scored, label, "guess").withColumn("phase", F.lit(label))
+
+
+def train_family(df: DataFrame, specs: Sequence[TargetSpec], forest: Forest = REGRESSOR,
+                 key: str = "row_id") -> dict[str, RandomForestRegressionModel]:
+    """One regressor per spec on all its rows."""
+    return {s.target: fit_regressor(s.rows(df), s.target, s.features, forest, key) for s in specs}
+
+
+def train_phases(df: DataFrame, forest: Forest = CLASSIFIER, include_phase: bool = True,
+                 key: str = "row_id") -> dict[str, RandomForestClassificationModel]:
+    """One classifier per phase. With `include_phase` the flags stay among the features, the label included,
+    as the published models have it; without it they are held at zero, as they are when scoring."""
+    if not include_phase:
+        labels = df.withColumns({f"_{p}": F.col(p) for p in K.PHASE_FLAGS} | {p: F.lit(0) for p in K.PHASE_FLAGS})
+        return {p: fit_classifier(labels, f"_{p}", K.MECH_FEATURES, forest, key) for p in K.PHASE_FLAGS}
+    # the label doubles as a feature, so it is copied under another name
+    labels = df.withColumns({f"_{p}": F.col(p) for p in K.PHASE_FLAGS})
+    return {p: fit_classifier(labels, f"_{p}", K.MECH_FEATURES, forest, key) for p in K.PHASE_FLAGS}
+
+
+# --- scoring ---------------------------------------------------------------------------
+
+@dataclass
+class Family:
+    """Regressors and phase classifiers that are used together."""
+
+    regressors: dict[str, RandomForestRegressionModel]
+    phases: dict[str, RandomForestClassificationModel]
+    mech_features: Sequence[str] = field(default_factory=lambda: list(K.MECH_FEATURES))
+
+    def save(self, path: str) -> None:
+        for kind, models in (("regressor", self.regressors), ("classifier", self.phases)):
+            for name, model in models.items():
+                PipelineModel([model]).write().overwrite().save(f"{path}/{kind}_{name}")
+        write_feature_config(SparkSession.active(), f"{path}/feature_config")
+
+    @staticmethod
+    def load(path: str, targets: Sequence[str] = tuple(K.TARGETS), phases: Sequence[str] = tuple(K.PHASE_FLAGS),
+             mech_features: Sequence[str] = tuple(K.MECH_FEATURES)) -> Family:
+        def read(kind: str, name: str):
+            return PipelineModel.load(f"{path}/{kind}_{name}").stages[0]
+
+        return Family({t: read("regressor", t) for t in targets}, {p: read("classifier", p) for p in phases},
+                      mech_features)
+
+
+def two_stage_score(df: DataFrame, family: Family, phase_objectives: bool = False) -> DataFrame:
+    """Phases from features with empty phase slots, then the properties from features that hold those phases.
+
+    Adds the phase flags, `<phase>_probability`, one column per target and, if asked, `<phase>_objective`:
+    the classifier's label on the features that already hold the phases.
+    """
+    blank = df.withColumns({p: F.lit(0.0) for p in K.PHASE_FLAGS})
+    guessed = predict(blank, {f"_{p}": m for p, m in family.phases.items()}, K.MECH_FEATURES, probability=True)
+    filled = guessed.withColumns({p: F.col(f"_{p}") for p in family.phases}).drop(*[f"_{p}" for p in family.phases])
+    filled = filled.withColumnsRenamed({f"_{p}_probability": f"{p}_probability" for p in family.phases})
+    if phase_objectives:
+        filled = predict(filled, {f"{p}_objective": m for p, m in family.phases.items()}, K.MECH_FEATURES)
+    groups: dict[tuple[str, ...], dict] = {}
+    for target, model in family.regressors.items():
+        names = family.mech_features if target in K.MECH_TARGETS else K.CORR_FEATURES
+        groups.setdefault(tuple(names), {})[target] = model
+    for names, models in groups.items():
+        filled = predict(filled.drop(*models), models, names)
+    return filled
+
+
+def environment(df: DataFrame, electrolyte: str, concentration_m: float) -> DataFrame:
+    """One test environment for all rows, as flags and scaled concentration."""
+    flags: dict[str, Column] = {
+        n: F.lit(1 if e == electrolyte else 0) for e, n in zip(K.ELECTROLYTES, K.ELECTROLYTE_FLAGS, strict=True)
+    }
+    return df.withColumns({**flags, "conc_norm": F.lit(concentration_m / K.MAX_CONCENTRATION_M)})
+
+
+def process_from_scores(df: DataFrame, scores: str = "process_scores") -> DataFrame:
+    """The seven raw process scores of a candidate as its process features."""
+    return df.withColumns({n: F.coalesce(F.get(scores, F.lit(i)), F.lit(0.0)) for i, n in enumerate(K.PROCESS_FLAGS)})

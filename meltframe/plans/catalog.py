@@ -11,7 +11,7 @@ from meltframe import constants as K
 from meltframe.functions import columns as C
 from meltframe.functions import text as T
 from meltframe.operators import composition as comp
-from meltframe.operators import evaluate, pareto, profile, report, screen, split
+from meltframe.operators import evaluate, impute, models, pareto, profile, report, screen, split
 from meltframe.plans import views as V
 from meltframe.session import tune
 
@@ -117,8 +117,6 @@ def display_projection(spark, d):
 
 
 def _features(spark, d, names):
-    from meltframe.operators import models
-
     table = C.fill_zero(V.feature_table(spark, d), names)
     vector = models.assemble(table, names)
     return models.disassemble(vector.select("row_id", "features"), names)
@@ -563,3 +561,99 @@ def front_pairs(spark, d):
     pairs = screen.front_pairs(FRONT_OBJECTIVES)
     columns = {o: K.OBJECTIVES[o][2] for o in FRONT_OBJECTIVES}
     return screen.front_views(prepared(spark, d), pairs, columns)
+
+
+# --- models -------------------------------------------------------------------------
+# The published settings (100 trees, depth 50 there, 30 here) are the defaults of the operators. The queries grow
+# smaller forests, on every row, so that they show the plan without minutes of tree growing.
+
+SMALL = models.Forest(trees=10, depth=6, bins=32)
+SMALL_PHASE = models.Forest(trees=10, depth=6, bins=32, seed=4)
+TINY = models.Forest(trees=5, depth=4, bins=32)
+
+
+def _stored_features(spark, d):
+    return models.stored(V.feature_table(spark, d))
+
+
+def _family(table: DataFrame, targets=tuple(K.TARGETS)) -> models.Family:
+    specs = [s for s in models.FAMILY_A if s.target in targets]
+    return models.Family(models.train_family(table, specs, SMALL), models.train_phases(table, SMALL_PHASE))
+
+
+@query
+def rf_regress(spark, d):
+    table = _stored_features(spark, d)
+    spec = models.FAMILY_A[0]
+    model = models.fit_regressor(spec.rows(table), spec.target, spec.features, SMALL)
+    return models.predict(table, {"guess": model}, spec.features).select("row_id", "hardness", "guess")
+
+
+@query
+def rf_classify(spark, d):
+    table = _stored_features(spark, d)
+    scores = None
+    for phase in K.PHASE_FLAGS:
+        rows = table.withColumn(f"_{phase}", F.col(phase))
+        _, score = models.holdout_accuracy(rows, f"_{phase}", K.MECH_FEATURES, SMALL_PHASE)
+        score = score.withColumn("phase", F.lit(phase))
+        scores = score if scores is None else scores.unionByName(score)
+    return scores
+
+
+@query
+def cv_r2(spark, d):
+    table = _stored_features(spark, d)
+    specs = [s for s in models.FAMILY_A if s.target in ("hardness", "icorr_log10")]
+    return models.cv_r2(table, specs, forest=SMALL)
+
+
+@query
+def chained_impute(spark, d):
+    cols = [*K.CORR_FEATURES, *K.TARGETS]
+    table = V.feature_table(spark, d).select("row_id", *cols)
+    imputer = impute.ChainedImputer(cols, rounds=2, forest=TINY)
+    return imputer.fit_transform(table)[1].select("row_id", *K.TARGETS)
+
+
+@query
+def nested_cv_r2(spark, d):
+    return impute.nested_cv_r2(V.feature_table(spark, d), ["hardness", "icorr_log10"], folds=2, rounds=2,
+                               forest=TINY, imputer_forest=TINY)
+
+
+@query
+def batch_score(spark, d):
+    """Seven regressors in one pass over the table."""
+    table = _stored_features(spark, d)
+    family = models.train_family(table, models.FAMILY_A, TINY)
+    mech = {f"{t}_guess": family[t] for t in K.MECH_TARGETS}
+    corr = {f"{t}_guess": family[t] for t in K.CORR_TARGETS}
+    out = models.predict(models.predict(table, mech, K.MECH_FEATURES), corr, K.CORR_FEATURES)
+    return out.select("row_id", *mech, *corr)
+
+
+@query
+def phase_probability(spark, d):
+    table = _stored_features(spark, d)
+    phases = models.train_phases(table, SMALL_PHASE)
+    blank = table.withColumns({p: F.lit(0.0) for p in K.PHASE_FLAGS})
+    out = models.predict(blank, {f"{p}_flag": m for p, m in phases.items()}, K.MECH_FEATURES, probability=True)
+    return out.select("row_id", *[f"{p}_flag_probability" for p in K.PHASE_FLAGS])
+
+
+@query
+def two_stage_score(spark, d):
+    table = _stored_features(spark, d)
+    out = models.two_stage_score(table, _family(table, ("hardness", "icorr_log10")), phase_objectives=True)
+    return out.select("row_id", *K.PHASE_FLAGS, *[f"{p}_objective" for p in K.PHASE_FLAGS], "hardness", "icorr_log10")
+
+
+@query
+def screen_report(spark, d):
+    """Candidates decoded with the bounds of the alloys, scored by models trained on them, as a result table."""
+    family = _family(_stored_features(spark, d))
+    amounts = screen.decode(V.candidates(spark, d), profile.bounds_row(V.wide(spark, d)))
+    shares = comp.with_params(comp.shares_wide(amounts))
+    ready = models.environment(models.process_from_scores(shares), "NaCl", 0.6)
+    return report.screen_report(models.two_stage_score(ready, family))
