@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from meltframe import constants as K
 from meltframe.functions import columns as C
 from meltframe.operators import evaluate, split
-from meltframe.session import checkpoint_dir
 from meltframe.sources.tables import write_feature_config
 
 MAX_DEPTH = 30  # the deepest trees Spark ML grows
@@ -51,7 +50,7 @@ class TargetSpec:
 
     target: str
     domain: str | None
-    features: Sequence[str]
+    features: Sequence[str] | str  # feature columns, or the name of a ready vector column
     media: Sequence[str] = ()
 
     def rows(self, df: DataFrame) -> DataFrame:
@@ -62,18 +61,17 @@ class TargetSpec:
         return df.where(F.col(self.target).isNotNull())
 
 
-# Family A: every target on the observed rows of its own domain, corrosion on the seven listed media only.
-FAMILY_A = [TargetSpec(t, "mechanical", tuple(K.MECH_FEATURES)) for t in K.MECH_TARGETS] + [
-    TargetSpec(t, "corrosion", tuple(K.CORR_FEATURES), tuple(K.ELECTROLYTES)) for t in K.CORR_TARGETS
-]
-# Family B: every target on all rows of the imputed table.
-FAMILY_B = [TargetSpec(t, None, tuple(K.CORR_FEATURES)) for t in K.TARGETS]
+def family_a(mech: Sequence[str] | str = tuple(K.MECH_FEATURES),
+             corr: Sequence[str] | str = tuple(K.CORR_FEATURES)) -> list[TargetSpec]:
+    """Every target on the observed rows of its own domain, corrosion on the seven listed media only."""
+    return [TargetSpec(t, "mechanical", mech) for t in K.MECH_TARGETS] + [
+        TargetSpec(t, "corrosion", corr, tuple(K.ELECTROLYTES)) for t in K.CORR_TARGETS
+    ]
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The table written to the shared checkpoint folder: later jobs read it, lost executors cannot lose it."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def family_b(corr: Sequence[str] | str = tuple(K.CORR_FEATURES)) -> list[TargetSpec]:
+    """Every target on all rows of the imputed table."""
+    return [TargetSpec(t, None, corr) for t in K.TARGETS]
 
 
 def stable_layout(df: DataFrame, key: str = "row_id", partitions: int | None = None) -> DataFrame:
@@ -82,11 +80,21 @@ def stable_layout(df: DataFrame, key: str = "row_id", partitions: int | None = N
     return df.repartition(n, key).sortWithinPartitions(key)
 
 
-def assemble(df: DataFrame, names: Sequence[str], out: str = "features") -> DataFrame:
-    """Dense feature vector in the fixed name order; a missing value is an error (fill first)."""
+def assemble(df: DataFrame, names: Sequence[str] | str, out: str = "features") -> DataFrame:
+    """Dense feature vector in the fixed name order; a missing value is an error (fill first).
+    A single name is a vector column that exists already."""
+    if isinstance(names, str):
+        return df.withColumn(out, F.col(names))
     return VectorAssembler(inputCols=list(names), outputCol=out, handleInvalid="error").transform(df)
 
 
+def with_vectors(df: DataFrame) -> DataFrame:
+    """Add `features_58` and `features_66` and drop the columns only they need: a narrow table to store and fit on."""
+    filled = C.fill_zero(df, K.CORR_FEATURES)
+    both = assemble(assemble(filled, K.MECH_FEATURES, "features_58"), K.CORR_FEATURES, "features_66")
+    return both.drop(*[c for c in K.CORR_FEATURES if c not in K.PHASE_FLAGS])
+
+
 def disassemble(df: DataFrame, names: Sequence[str], vector: str = "features") -> DataFrame:
     rest = [c for c in df.columns if c != vector]
     return df.withColumn(vector, vector_to_array(F.col(vector))).selectExpr(
@@ -94,31 +102,38 @@ def disassemble(df: DataFrame, names: Sequence[str], vector: str = "features") -
     )
 
 
-def _training(df: DataFrame, label: str, names: Sequence[str], key: str) -> DataFrame:
-    filled = C.fill_zero(df.select(key, F.col(label).cast("double").alias("_label"), *names), names)
-    return assemble(stable_layout(filled, key), names).select("_label", "features")
+def _filled(df: DataFrame, names: Sequence[str] | str, out: str) -> DataFrame:
+    return assemble(df if isinstance(names, str) else C.fill_zero(df, names), names, out)
+
+
+def training_rows(df: DataFrame, label: str, names: Sequence[str] | str, key: str) -> DataFrame:
+    """Label and feature vector of the rows with a label, in a stable layout."""
+    known = df.where(F.col(label).isNotNull()).withColumn("_label", F.col(label).cast("double"))
+    return stable_layout(_filled(known, names, "_vector").select(key, "_label", F.col("_vector").alias("features")), key)
 
 
-def fit_regressor(df: DataFrame, target: str, names: Sequence[str], forest: Forest = REGRESSOR,
+def grow_regressor(rows: DataFrame, forest: Forest) -> RandomForestRegressionModel:
+    return RandomForestRegressor(featuresCol="features", labelCol="_label", featureSubsetStrategy="all",
+                                 **forest.params()).fit(rows)
+
+
+def fit_regressor(df: DataFrame, target: str, names: Sequence[str] | str, forest: Forest = REGRESSOR,
                   key: str = "row_id") -> RandomForestRegressionModel:
     """Forest over all features at each split, the target as given (take `icorr_log10` for the log target)."""
-    rf = RandomForestRegressor(featuresCol="features", labelCol="_label", featureSubsetStrategy="all",
-                               **forest.params())
-    return rf.fit(_training(df.where(F.col(target).isNotNull()), target, names, key))
+    return grow_regressor(training_rows(df, target, names, key), forest)
 
 
-def fit_classifier(df: DataFrame, label: str, names: Sequence[str], forest: Forest = CLASSIFIER,
+def fit_classifier(df: DataFrame, label: str, names: Sequence[str] | str, forest: Forest = CLASSIFIER,
                    key: str = "row_id") -> RandomForestClassificationModel:
     """Forest over a square-root sample of the features at each split."""
-    rf = RandomForestClassifier(featuresCol="features", labelCol="_label", featureSubsetStrategy="sqrt",
-                                **forest.params())
-    return rf.fit(_training(df.where(F.col(label).isNotNull()), label, names, key))
+    return RandomForestClassifier(featuresCol="features", labelCol="_label", featureSubsetStrategy="sqrt",
+                                  **forest.params()).fit(training_rows(df, label, names, key))
 
 
-def predict(df: DataFrame, models: Mapping[str, object], names: Sequence[str],
+def predict(df: DataFrame, models: Mapping[str, object], names: Sequence[str] | str,
             probability: bool = False) -> DataFrame:
     """Add one column per model (`name`), and `<name>_probability` of class 1 if asked; one vector for all."""
-    out = assemble(C.fill_zero(df, names), names, "_features")
+    out = _filled(df, names, "_features")
     for name, model in models.items():
         columns, helpers = {model.featuresCol: "_features", model.predictionCol: name}, []
         if isinstance(model, RandomForestClassificationModel):
@@ -133,11 +148,11 @@ def predict(df: DataFrame, models: Mapping[str, object], names: Sequence[str],
 
 # --- evaluation ------------------------------------------------------------------------
 
-def cross_predict(df: DataFrame, target: str, names: Sequence[str], folds: int = 5,
+def cross_predict(df: DataFrame, target: str, names: Sequence[str] | str, folds: int = 5,
                   forest: Forest = REGRESSOR, key: str = "row_id") -> DataFrame:
     """(key, fold, truth, guess): every observed row predicted by the model that did not see its fold."""
-    rows = split.with_fold(df.where(F.col(target).isNotNull()), key, folds) if "fold" not in df.columns else df.where(
-        F.col(target).isNotNull())
+    rows = df.where(F.col(target).isNotNull())
+    rows = rows if "fold" in df.columns else split.with_fold(rows, key, folds)
     parts = []
     for k in range(folds):
         model = fit_regressor(rows.where(F.col("fold") != k), target, names, forest, key)
@@ -161,7 +176,7 @@ def cv_r2(df: DataFrame, specs: Sequence[TargetSpec], folds: int = 5, forest: Fo
     return evaluate.cv_summary(scores, ["property"])
 
 
-def holdout_accuracy(df: DataFrame, label: str, names: Sequence[str], forest: Forest = CLASSIFIER,
+def holdout_accuracy(df: DataFrame, label: str, names: Sequence[str] | str, forest: Forest = CLASSIFIER,
                      key: str = "row_id") -> tuple[RandomForestClassificationModel, DataFrame]:
     """Classifier fitted on the 90 % part and its accuracy on the held-out 10 %."""
     rows = split.with_holdout(df.where(F.col(label).isNotNull()), key)
@@ -176,16 +191,17 @@ def train_family(df: DataFrame, specs: Sequence[TargetSpec], forest: Forest = RE
     return {s.target: fit_regressor(s.rows(df), s.target, s.features, forest, key) for s in specs}
 
 
-def train_phases(df: DataFrame, forest: Forest = CLASSIFIER, include_phase: bool = True,
-                 key: str = "row_id") -> dict[str, RandomForestClassificationModel]:
+def train_phases(df: DataFrame, forest: Forest = CLASSIFIER, names: Sequence[str] | str = tuple(K.MECH_FEATURES),
+                 include_phase: bool = True, key: str = "row_id") -> dict[str, RandomForestClassificationModel]:
     """One classifier per phase. With `include_phase` the flags stay among the features, the label included,
-    as the published models have it; without it they are held at zero, as they are when scoring."""
-    if not include_phase:
-        labels = df.withColumns({f"_{p}": F.col(p) for p in K.PHASE_FLAGS} | {p: F.lit(0) for p in K.PHASE_FLAGS})
-        return {p: fit_classifier(labels, f"_{p}", K.MECH_FEATURES, forest, key) for p in K.PHASE_FLAGS}
+    as in the published procedure; without it they are held at zero, as they are when scoring."""
     # the label doubles as a feature, so it is copied under another name
-    labels = df.withColumns({f"_{p}": F.col(p) for p in K.PHASE_FLAGS})
-    return {p: fit_classifier(labels, f"_{p}", K.MECH_FEATURES, forest, key) for p in K.PHASE_FLAGS}
+    rows = df.withColumns({f"_{p}": F.col(p) for p in K.PHASE_FLAGS})
+    if not include_phase:
+        if isinstance(names, str):
+            raise ValueError("phase slots can only be emptied in feature columns")
+        rows = rows.withColumns({p: F.lit(0) for p in K.PHASE_FLAGS})
+    return {p: fit_classifier(rows, f"_{p}", names, forest, key) for p in K.PHASE_FLAGS}
 
 
 # --- scoring ---------------------------------------------------------------------------

@@ -4,7 +4,7 @@ All objectives are minimised. Every step works on distinct objective vectors, so
 rows costs one vector. The front is found in three exact steps:
 
 1. each scan partition drops what its own rows dominate, before anything is shuffled;
-2. the survivors are made distinct and checkpointed, then hashed into blocks of bounded size;
+2. the survivors are made distinct and stored, then hashed into blocks of bounded size;
 3. every pair of blocks is compared in its own task (`cogroup`), and vectors dominated in any pair go.
 
 Dominance is transitive and irreflexive, so a dominated vector is dominated by some member of the front,
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meltframe.session import checkpoint_dir
+from meltframe.session import stored
 
 BLOCK_ROWS = 16384  # vectors a single task compares with each other
 WINDOW_ROWS = 4096  # vectors a scan task holds as its filter
@@ -104,20 +104,14 @@ def vectors(points: DataFrame, objectives: Sequence[str]) -> DataFrame:
 
 def front_vectors(points: DataFrame, objectives: Sequence[str], block_rows: int = BLOCK_ROWS,
                   window: int = WINDOW_ROWS) -> DataFrame:
-    """Distinct non-dominated objective vectors, checkpointed."""
+    """Distinct non-dominated objective vectors, as a stored table."""
     objectives = list(objectives)
-    checkpoint_dir(points.sparkSession)
     schema = ", ".join(f"`{o}` double" for o in objectives)
-    left = (
-        vectors(points, objectives)
-        .mapInArrow(_scan_filter(objectives, window), schema)
-        .distinct()
-        .checkpoint()
-    )
+    left = stored(vectors(points, objectives).mapInArrow(_scan_filter(objectives, window), schema).distinct())
     n = left.count()
     if n <= block_rows:
         # one block: its size was just checked
-        return left.coalesce(1).mapInArrow(_scan_filter(objectives, block_rows), schema).checkpoint()
+        return stored(left.coalesce(1).mapInArrow(_scan_filter(objectives, block_rows), schema))
 
     blocks = -(-n // block_rows) * 2
     block = F.pmod(F.xxhash64(*objectives), F.lit(blocks))
@@ -130,7 +124,7 @@ def front_vectors(points: DataFrame, objectives: Sequence[str], block_rows: int
         return _table(rows[dominated_by(rows, local_front(_matrix(theirs, objectives)))], objectives)
 
     dominated = target.groupBy("t", "s").cogroup(source.groupBy("t", "s")).applyInArrow(losers, schema)
-    return left.join(dominated.distinct(), objectives, "left_anti").checkpoint()
+    return stored(left.join(dominated.distinct(), objectives, "left_anti"))
 
 
 def _match(points: DataFrame, found: DataFrame, objectives: Sequence[str], how: str) -> DataFrame:
@@ -154,8 +148,7 @@ def pareto_front(points: DataFrame, objectives: Sequence[str], feasible: str | N
 def pareto_rank(points: DataFrame, objectives: Sequence[str], max_rank: int, **options) -> DataFrame:
     """Add `pareto_rank`: 1 for the front, 2 for the front of what remains, ... NULL beyond `max_rank`."""
     objectives = list(objectives)
-    checkpoint_dir(points.sparkSession)
-    rest = vectors(points, objectives).distinct().checkpoint()
+    rest = stored(vectors(points, objectives).distinct())
     ranked = None
     for rank in range(1, max_rank + 1):
         front = front_vectors(rest, objectives, **options)

@@ -13,7 +13,7 @@ from meltframe.functions import text as T
 from meltframe.operators import composition as comp
 from meltframe.operators import evaluate, impute, models, pareto, profile, report, screen, split
 from meltframe.plans import views as V
-from meltframe.session import tune
+from meltframe.session import stored, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -572,19 +572,23 @@ SMALL_PHASE = models.Forest(trees=10, depth=6, bins=32, seed=4)
 TINY = models.Forest(trees=5, depth=4, bins=32)
 
 
+V58, V66 = "features_58", "features_66"
+SPECS = models.family_a(V58, V66)
+
+
 def _stored_features(spark, d):
-    return models.stored(V.feature_table(spark, d))
+    """Targets, phases and the two feature vectors of every alloy, computed once."""
+    return stored(models.with_vectors(V.feature_table(spark, d)))
 
 
 def _family(table: DataFrame, targets=tuple(K.TARGETS)) -> models.Family:
-    specs = [s for s in models.FAMILY_A if s.target in targets]
-    return models.Family(models.train_family(table, specs, SMALL), models.train_phases(table, SMALL_PHASE))
+    specs = [s for s in SPECS if s.target in targets]
+    return models.Family(models.train_family(table, specs, SMALL), models.train_phases(table, SMALL_PHASE, V58))
 
 
 @query
 def rf_regress(spark, d):
-    table = _stored_features(spark, d)
-    spec = models.FAMILY_A[0]
+    table, spec = _stored_features(spark, d), SPECS[0]
     model = models.fit_regressor(spec.rows(table), spec.target, spec.features, SMALL)
     return models.predict(table, {"guess": model}, spec.features).select("row_id", "hardness", "guess")
 
@@ -592,20 +596,17 @@ def rf_regress(spark, d):
 @query
 def rf_classify(spark, d):
     table = _stored_features(spark, d)
-    scores = None
-    for phase in K.PHASE_FLAGS:
-        rows = table.withColumn(f"_{phase}", F.col(phase))
-        _, score = models.holdout_accuracy(rows, f"_{phase}", K.MECH_FEATURES, SMALL_PHASE)
-        score = score.withColumn("phase", F.lit(phase))
-        scores = score if scores is None else scores.unionByName(score)
-    return scores
+    scores = [models.holdout_accuracy(table, p, V58, SMALL_PHASE)[1] for p in K.PHASE_FLAGS]
+    out = scores[0]
+    for score in scores[1:]:
+        out = out.unionByName(score)
+    return out
 
 
 @query
 def cv_r2(spark, d):
-    table = _stored_features(spark, d)
-    specs = [s for s in models.FAMILY_A if s.target in ("hardness", "icorr_log10")]
-    return models.cv_r2(table, specs, forest=SMALL)
+    specs = [s for s in SPECS if s.target in ("hardness", "icorr_log10")]
+    return models.cv_r2(_stored_features(spark, d), specs, forest=SMALL)
 
 
 @query
@@ -626,26 +627,26 @@ def nested_cv_r2(spark, d):
 def batch_score(spark, d):
     """Seven regressors in one pass over the table."""
     table = _stored_features(spark, d)
-    family = models.train_family(table, models.FAMILY_A, TINY)
+    family = models.train_family(table, SPECS, TINY)
     mech = {f"{t}_guess": family[t] for t in K.MECH_TARGETS}
     corr = {f"{t}_guess": family[t] for t in K.CORR_TARGETS}
-    out = models.predict(models.predict(table, mech, K.MECH_FEATURES), corr, K.CORR_FEATURES)
-    return out.select("row_id", *mech, *corr)
+    return models.predict(models.predict(table, mech, V58), corr, V66).select("row_id", *mech, *corr)
 
 
 @query
 def phase_probability(spark, d):
+    """Phase probabilities of features that hold the phases already (the empty-slot form is in two_stage_score)."""
     table = _stored_features(spark, d)
-    phases = models.train_phases(table, SMALL_PHASE)
-    blank = table.withColumns({p: F.lit(0.0) for p in K.PHASE_FLAGS})
-    out = models.predict(blank, {f"{p}_flag": m for p, m in phases.items()}, K.MECH_FEATURES, probability=True)
-    return out.select("row_id", *[f"{p}_flag_probability" for p in K.PHASE_FLAGS])
+    phases = {f"{p}_flag": m for p, m in models.train_phases(table, SMALL_PHASE, V58).items()}
+    out = models.predict(table, phases, V58, probability=True)
+    return out.select("row_id", *[f"{p}_probability" for p in phases])
 
 
 @query
 def two_stage_score(spark, d):
-    table = _stored_features(spark, d)
-    out = models.two_stage_score(table, _family(table, ("hardness", "icorr_log10")), phase_objectives=True)
+    table = stored(V.feature_table(spark, d))
+    family = _family(stored(models.with_vectors(table)), ("hardness", "icorr_log10"))
+    out = models.two_stage_score(table, family, phase_objectives=True)
     return out.select("row_id", *K.PHASE_FLAGS, *[f"{p}_objective" for p in K.PHASE_FLAGS], "hardness", "icorr_log10")
 
 
@@ -654,6 +655,6 @@ def screen_report(spark, d):
     """Candidates decoded with the bounds of the alloys, scored by models trained on them, as a result table."""
     family = _family(_stored_features(spark, d))
     amounts = screen.decode(V.candidates(spark, d), profile.bounds_row(V.wide(spark, d)))
-    shares = comp.with_params(comp.shares_wide(amounts))
+    shares = comp.with_params(stored(comp.shares_wide(amounts)))
     ready = models.environment(models.process_from_scores(shares), "NaCl", 0.6)
     return report.screen_report(models.two_stage_score(ready, family))

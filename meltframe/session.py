@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -39,6 +40,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The table written to the shared checkpoint folder and read back.
+
+    Cuts the plan like a checkpoint, but is computed once (an eager checkpoint computes its input twice), is columnar,
+    and does not depend on any executor staying alive.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(app: str = "meltframe", cores: str | int = "*", memory: str = "12g") -> SparkSession:
     """Local session for tests and the bench."""
     builder = (
