@@ -115,9 +115,9 @@ def front_vectors(points: DataFrame, objectives: Sequence[str], block_rows: int
 
     blocks = -(-n // block_rows) * 2
     block = F.pmod(F.xxhash64(*objectives), F.lit(blocks))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    target = left.withColumn("t", block).withColumn("s", F.explode(every).cast("bigint"))
-    source = left.withColumn("s", block).withColumn("t", F.explode(every).cast("bigint"))
+    every = F.expr(f"explode(sequence(0L, {blocks - 1}L))")
+    target = left.withColumn("t", block).withColumn("s", every)
+    source = left.withColumn("s", block).withColumn("t", every)
 
     def losers(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         rows = _matrix(mine, objectives)
