@@ -299,7 +299,9 @@ def present_shares(threshold: float = K.PRESENT_ABOVE) -> Column:
         lambda t: t["amount"] > F.lit(threshold) * F.col(TOTAL),
     )
     total = F.aggregate(kept, F.lit(0.0), lambda acc, t: acc + t["amount"])
-    return F.when(
-        F.col(TOTAL) > 0,
-        F.transform(kept, lambda t: F.struct(t["elem_idx"].alias("elem_idx"), (t["amount"] / total).alias("share"))),
+    # the one-element array binds the total once; named inside the inner lambda it would be summed per element
+    shares = F.transform(
+        F.array(total),
+        lambda w: F.transform(kept, lambda t: F.struct(t["elem_idx"].alias("elem_idx"), (t["amount"] / w).alias("share"))),
     )
+    return F.when(F.col(TOTAL) > 0, F.get(shares, F.lit(0)))

@@ -18,7 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meltframe.session import stored
@@ -165,11 +165,10 @@ def _neighbours(values: DataFrame, buckets: int) -> DataFrame:
     A front may hold any share of the rows, so it is not sorted in one task: quantiles cut it into buckets,
     neighbours are looked up inside each bucket, and bucket edges are joined from a small table.
     """
-    from pyspark.sql import Window
-
     cuts = [i / buckets for i in range(1, buckets)]
     bounds = values.groupBy("pareto_rank").agg(F.percentile_approx("v", cuts, 1000).alias("bounds"))
-    placed = values.join(bounds, "pareto_rank").withColumn(
+    # one row per rank, and ranks are peeled one by one on the driver: a handful
+    placed = values.join(F.broadcast(bounds), "pareto_rank").withColumn(
         "bucket", F.size(F.filter("bounds", lambda b: b < F.col("v")))
     ).drop("bounds")
     inside = Window.partitionBy("pareto_rank", "bucket").orderBy("v")
@@ -181,7 +180,8 @@ def _neighbours(values: DataFrame, buckets: int) -> DataFrame:
         .select("pareto_rank", "bucket", F.lag("_hi").over(along).alias("_edge_below"),
                 F.lead("_lo").over(along).alias("_edge_above"))
     )
-    return near.join(edges, ["pareto_rank", "bucket"]).select(
+    # at most `buckets` rows per rank
+    return near.join(F.broadcast(edges), ["pareto_rank", "bucket"]).select(
         "pareto_rank", "v", "first_id", "last_id",
         F.coalesce("_below", "_edge_below").alias("below"),
         F.coalesce("_above", "_edge_above").alias("above"),
@@ -199,7 +199,7 @@ def crowding_distance(ranked: DataFrame, objectives: Sequence[str], key: str = "
     spans = inside.groupBy("pareto_rank").agg(
         *[(F.max(o).cast("double") - F.min(o).cast("double")).alias(f"_span_{o}") for o in objectives]
     )
-    out = inside.join(spans, "pareto_rank")
+    out = inside.join(F.broadcast(spans), "pareto_rank")
     for o in objectives:
         values = inside.groupBy("pareto_rank", F.col(o).cast("double").alias("v")).agg(
             F.min(key).alias("first_id"), F.max(key).alias("last_id")

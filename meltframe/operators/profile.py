@@ -105,9 +105,10 @@ def sample_notes(df: DataFrame, n: int = 20) -> DataFrame:
     )
 
 
-def mean_impute(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Missing cells replaced by the column mean; the means are one scalar subquery, not a join."""
+def mean_impute(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
+    """Missing cells replaced by the column mean; the means are one scalar subquery, not a join.
+    With a suffix the filled columns stand beside the observed ones, so comparing them needs no join either."""
     means = df.agg(F.struct(*[F.avg(c).alias(c) for c in cols]).alias("m")).scalar()
     return df.withColumn("_means", means).withColumns(
-        {c: F.coalesce(F.col(c), F.col("_means")[c]) for c in cols}
+        {f"{c}{suffix}": F.coalesce(F.col(c), F.col("_means")[c]) for c in cols}
     ).drop("_means")

@@ -37,24 +37,24 @@ EXPORT_NAMES = {
 }
 
 
-def imputed_export(observed: DataFrame, imputed: DataFrame, key: str = "row_id") -> DataFrame:
-    """Imputed targets, clipped and rounded, beside flags that tell observed cells from estimates.
+def with_observed_flags(df: DataFrame) -> DataFrame:
+    """`<target>_observed` flags, to be taken before imputation; they ride along in the row.
 
     The flag of the current density looks at its log column: a value that cannot be logged was not observed.
     """
-    left = observed.select(
-        key, "domain", "composition", *[C.observed(t).alias(f"{t}_observed") for t in K.TARGETS]
-    )
+    return df.withColumns({f"{t}_observed": C.observed(t) for t in K.TARGETS})
+
+
+def imputed_export(imputed: DataFrame, key: str = "row_id") -> DataFrame:
+    """Imputed targets, clipped and rounded, beside the flags that tell observed cells from estimates."""
     digits = {t: 3 for t in K.MECH_TARGETS} | {"ecorr_mv": 2, "epit_mv": 2, "icorr_log10": 4}
     log = C.clip_to_rule("icorr_log10")
-    right = imputed.select(
-        key,
+    return imputed.select(
+        key, "domain", "composition",
         *[F.bround(C.clip_to_rule(t), digits[t]).alias(f"{t}_imputed") for t in K.TARGETS],
         F.bround(F.pow(F.lit(10.0), log), 4).alias("icorr_imputed"),
+        *[f"{t}_observed" for t in K.TARGETS],
     )
-    cols = ["domain", "composition"]
-    cols += [f"{t}_imputed" for t in K.TARGETS] + ["icorr_imputed"] + [f"{t}_observed" for t in K.TARGETS]
-    return left.join(right, key).select(key, *cols)
 
 
 def export_display(df: DataFrame) -> DataFrame:

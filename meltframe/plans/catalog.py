@@ -232,9 +232,8 @@ def pair_enthalpy(spark, d):
 
 @query
 def observed_vs_imputed(spark, d):
-    seen = prepared(spark, d).select("row_id", *K.TARGETS)
-    filled = profile.mean_impute(seen, K.TARGETS).select("row_id", *[F.col(t).alias(f"{t}_filled") for t in K.TARGETS])
-    out = profile.observed_vs_imputed(seen.join(filled, "row_id"), {t: (t, f"{t}_filled") for t in K.TARGETS})
+    filled = profile.mean_impute(prepared(spark, d).select("row_id", *K.TARGETS), K.TARGETS, suffix="_filled")
+    out = profile.observed_vs_imputed(filled, {t: (t, f"{t}_filled") for t in K.TARGETS})
     return out.select("column", "kind", "n", *[F.round(s, 6).alias(s) for s in ("low", "high", "mean")])
 
 
@@ -404,7 +403,7 @@ def mean_impute(spark, d):
 @query
 def imputed_export(spark, d):
     seen = prepared(spark, d).withColumn("composition", F.lit(None).cast("string"))
-    return report.imputed_export(seen, profile.mean_impute(seen.select("row_id", *K.TARGETS), K.TARGETS))
+    return report.imputed_export(profile.mean_impute(report.with_observed_flags(seen), K.TARGETS))
 
 
 # --- splits and scores --------------------------------------------------------------

@@ -97,8 +97,7 @@ def test_export_has_the_published_columns(spark):
     df = spark.createDataFrame([(1, "mechanical", "AlFe", 3500.0, None, 1.0, 2.0, None, 4.0, -7.5)],
                                "row_id int, domain string, composition string, " + ", ".join(
                                    f"{t} double" for t in K.TARGETS))
-    filled = profile.mean_impute(df.na.fill(1.0), K.TARGETS)
-    export = report.imputed_export(df, filled)
+    export = report.imputed_export(profile.mean_impute(report.with_observed_flags(df), K.TARGETS))
     row = export.first()
     assert (row["hardness_imputed"], row["icorr_log10_imputed"], row["yield_mpa_observed"]) == (3000.0, -6.0, 0)
     assert len(report.export_display(export).columns) == 17
