@@ -5,6 +5,7 @@ Every step takes and returns tables (see `sources.tables` for reading and writin
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -85,11 +86,12 @@ def train_separate(inputs: DataFrame, forest: Forest = REGRESSOR, phase_forest:
 
 
 def train_imputed(inputs: DataFrame, forest: Forest = REGRESSOR, phase_forest: Forest = CLASSIFIER,
-                  imputer_forest: Forest = impute.IMPUTER_FOREST, rounds: int = 5,
-                  folds: int = 5) -> tuple[Training, impute.ImputerModel, DataFrame]:
+                  imputer_forest: Forest = impute.IMPUTER_FOREST, rounds: int = 5, folds: int = 5,
+                  scored: Sequence[str] = tuple(K.TARGETS)) -> tuple[Training, impute.ImputerModel, DataFrame]:
     """Family B: every target imputed, then one model per target on all rows; scored by nested cross-validation.
 
-    Returns the training, the imputer and the export of the imputed table.
+    Returns the training, the imputer and the export of the imputed table. `scored` names the targets that go
+    through the nested cross-validation.
     """
     cols = [*K.CORR_FEATURES, *K.TARGETS]
     keep = ["row_id", "domain", "composition", *[f"{t}_observed" for t in K.TARGETS]]
@@ -104,7 +106,7 @@ def train_imputed(inputs: DataFrame, forest: Forest = REGRESSOR, phase_forest: F
     regressors = models.train_family(table, models.family_b("features_66"), forest)
     real = table.withColumns({p: F.col(f"_label_{p}") for p in K.PHASE_FLAGS})
     phases, accuracies = _phases(real, phase_forest)
-    scores = impute.nested_cv_r2(source, K.TARGETS, folds=folds, rounds=rounds, forest=forest,
+    scores = impute.nested_cv_r2(source, list(scored), folds=folds, rounds=rounds, forest=forest,
                                  imputer_forest=imputer_forest)
     names = F.create_map(*[F.lit(v) for kv in K.TARGET_LABELS.items() for v in kv])
     metrics = scores.select(F.try_element_at(names, F.col("target")).alias("property"), "r2", "std", "n",
