@@ -1,3 +1,10 @@
 """Alloy-data analytics on Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# The few functions that run in Python workers travel with the job, so that executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
