@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -26,31 +27,46 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a scratch one only where none is set."""
+    """The shared checkpoint folder of the cluster, read from the session.
+
+    Where none is set, a single-process local session (tests, scripts) gets one of its own; any other master must name a
+    folder that all executors share.
+    """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="meltframe-ckpt-")
-    sc.setCheckpointDir(configured)
+        configured = tempfile.mkdtemp(prefix="meltframe-checkpoint-")
+        sc.setCheckpointDir(configured)
     return configured
 
 
+def shared_path(spark: SparkSession, kind: str = "tables") -> str:
+    """A new, unused path in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/{kind}/{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The table written to the shared checkpoint folder and read back.
 
     Cuts the plan like a checkpoint, but is computed once (an eager checkpoint computes its input twice), is columnar,
     and does not depend on any executor staying alive.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(*tables: DataFrame) -> None:
+    """Delete the files of stored tables that no later plan reads."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def local_session(app: str = "meltframe", cores: str | int = "*", memory: str = "12g") -> SparkSession:
     """Local session for tests and the bench."""
     builder = (
