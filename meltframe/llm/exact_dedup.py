@@ -114,8 +114,11 @@ def find_copies(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def drop_copies(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The rows of `docs` that stay, with all their columns; of repeated rows with one id one stays."""
-    stay = find_copies(docs, capacity).where("kept").select(
-        F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha")).distinct()
-    keyed = docs.withColumn("stay_sha_of_row", F.sha2(normal(F.col("text")), 256))
-    match = keyed["doc_id"].eqNullSafe(stay["stay_id"]) & (keyed["stay_sha_of_row"] == stay["stay_sha"])
-    return keyed.join(stay, match, "left_semi").dropDuplicates(["doc_id", "stay_sha_of_row"]).drop("stay_sha_of_row")
+    found = stored(find_copies(docs, capacity).select(F.col("doc_id").alias("found_id"), F.col("text_sha256").alias("found_sha"), "kept"))
+    gone = stored(found.where("not kept").distinct())
+    keyed = docs.withColumn("sha_of_row", F.sha2(normal(F.col("text")), 256))
+    match = keyed["doc_id"].eqNullSafe(gone["found_id"]) & (keyed["sha_of_row"] == gone["found_sha"])
+    stay = keyed.join(maybe_broadcast(gone, gone.count()), match, "left_anti")
+    if not found.where("kept").groupBy("found_id", "found_sha").count().where("count > 1").isEmpty():
+        stay = stay.dropDuplicates(["doc_id", "sha_of_row"])
+    return stay.select(*[stay[c] for c in docs.columns])
