@@ -12,8 +12,11 @@ from meltframe.llm import stages
 from meltframe.session import shared_path
 
 STAGES = [
+    ("language_id", stages.language_id),
     ("exact_dedup", stages.exact_dedup),
+    ("minhash_near_dedup", stages.near_dedup),
     ("source_mixing", stages.source_mixing),
+    ("sentencepiece", stages.sentencepiece),
 ]
 
 # The first and the last stage cannot be written in SQL; tests hold the whole against a brute-force version.
