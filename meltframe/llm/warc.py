@@ -22,6 +22,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,7 +41,8 @@ ARCHIVE, INDEX = 0, 1
 
 MEMBER_SCHEMA = "kind int, archive bigint, seq bigint, value binary"
 INDEX_SCHEMA = "offset bigint, length bigint, type string, id string, uri string"
-RECORD_SCHEMA = "page_id bigint, uri string, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint, payload binary"
+RECORD_SCHEMA = ("archive bigint, offset bigint, length bigint, page_id bigint, uri string, record_type string, payload_digest string, "
+                 "payload_bytes bigint, refers_to bigint, payload binary")
 
 
 def base32(hexed: Column) -> Column:
@@ -175,9 +177,31 @@ def normalise(spark: SparkSession, source: str, path: str) -> None:
     ordered.write.partitionBy("kind", "archive").option("lineSep", "\u0000").text(path)
 
 
-def parse(member: bytes) -> tuple:
-    """A record of the archive as a row of RECORD_SCHEMA; a response's payload is held against its digest."""
-    (fields, record), = split_records(inflate(member))
+def members(content: bytes, step: int = 1 << 16) -> Iterator[tuple[int, int, bytes]]:
+    """Offset, length and inflated bytes of every record of a normalised archive; an empty member belongs to the one before it."""
+    view, at, held = memoryview(content), 0, None
+    while at < len(view):
+        stream, start, parts = zlib.decompressobj(31), at, []
+        while not stream.eof:
+            piece = view[at:at + step]
+            if not len(piece):
+                raise ValueError("the archive ends within a gzip member")
+            parts.append(stream.decompress(piece))
+            at += len(piece) - len(stream.unused_data)
+        data = b"".join(parts)
+        if data:
+            if held:
+                yield held
+            held = (start, at - start, data)
+        elif held:
+            held = (held[0], at - held[0], held[2])
+    if held:
+        yield held
+
+
+def parse(data: bytes) -> tuple:
+    """What a record says, in the order of RECORD_SCHEMA; a response's payload is held against its digest."""
+    (fields, record), = split_records(iter([data]))
     block = record[-4 - int(fields["content-length"]):-4]
     head, _, payload = block.partition(b"\r\n\r\n")
     digest = fields["warc-payload-digest"].removeprefix("sha1:")
@@ -199,17 +223,25 @@ def parse(member: bytes) -> tuple:
 
 def _read(payloads: bool):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
-        names = ["page_id", "uri", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload"]
+        names = ["archive", "offset", "length", "page_id", "uri", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload"]
+        types = [pa.int64()] * 4 + [pa.string()] * 3 + [pa.int64()] * 2 + [pa.binary()]
+
+        def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+            for i, (archive, content) in enumerate(zip(batch["archive"].to_pylist(), batch["content"])):
+                content = content.as_buffer()
+                if "entries" in batch.schema.names:
+                    spans = [(e["offset"].as_py(), e["length"].as_py()) for e in batch["entries"][i]]
+                    found = ((at, size, b"".join(inflate(memoryview(content)[at:at + size]))) for at, size in spans)
+                else:
+                    found = members(content)
+                for at, size, data in found:
+                    row = parse(data)
+                    yield (archive, at, size, *(row if payloads else (*row[:-1], None)))
+
         for batch in batches:
-            for content, entries in zip(batch["content"], batch["entries"]):
-                view = memoryview(content.as_buffer())
-                spans = [(e["offset"].as_py(), e["length"].as_py()) for e in entries]
-                for start in range(0, len(spans), 500):
-                    rows = [parse(view[at:at + size]) for at, size in spans[start:start + 500]]
-                    if not payloads:
-                        rows = [(*row[:-1], None) for row in rows]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+            rows = rows_of(batch)
+            while some := list(islice(rows, 500)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), types)], names)
     return read
 
 
@@ -219,9 +251,13 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_archive(spark: SparkSession, path: str, wanted: DataFrame | None = None, payloads: bool = True) -> DataFrame:
-    """The records behind the entries of the index (`wanted`: some rows of `read_index`), each inflated alone."""
-    entries = read_index(spark, path) if wanted is None else wanted
-    spans = entries.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("entries"))
+    """The records of the archives, with the place of each.
+
+    Without `wanted` every archive is read from start to end, member by member, where it lies. With `wanted` (rows of `read_index`)
+    only those archives are opened, and in them only the members the index points to are inflated.
+    """
     files = spark.read.format("binaryFile").option("basePath", path).load(f"{path}/kind={ARCHIVE}").select("archive", "content")
-    joined = files.join(spans, "archive").select("content", "entries")
-    return joined.mapInArrow(_read(payloads), RECORD_SCHEMA)
+    if wanted is not None:
+        spans = wanted.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("entries"))
+        files = files.join(spans, "archive")
+    return files.mapInArrow(_read(payloads), RECORD_SCHEMA)
