@@ -225,8 +225,11 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def _terms_in(text: Column) -> Column:
     """Distinct words of a text and their beginnings, the latter marked with a star."""
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) >= 3))
-    stems = [F.transform(F.filter(words, lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*")))
-             for n in STEMS]
+
+    def beginnings(n: int) -> Column:
+        return F.transform(F.filter(words, lambda w: F.length(w) >= n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+
+    stems = [beginnings(n) for n in STEMS]
     return F.array_distinct(F.concat(words, *stems))
 
 
