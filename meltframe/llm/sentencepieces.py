@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from meltframe.llm.common import per_worker
 
 BLANK = "▁"
-# Segments a worker remembers at most; beyond that it starts anew.
-REMEMBERED = 300_000
+# Segments of a generation in a worker's memory; when one is full, the one before it is forgotten.
+REMEMBERED = 400_000
 # Piece types and the model type in the model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 BPE = 2
@@ -92,6 +92,8 @@ class Agenda:
             raise ValueError("a piece reaches from one word into the next")
         # a line feed is cut off too where no piece holds one beside other characters
         line = "" if any("\n" in p for p in inner) else "\n"
+        # marks that no piece joins to a letter before them
+        self.marks = "".join(m for m in ".,;:!?" if not any(x.isalpha() and y == m for p in inner for x, y in zip(p, p[1:])))
         self.cut = re.compile(f"{BLANK}+[^{BLANK}{line}]*|[^{BLANK}{line}]+" + (f"|{line}" if line else ""))
 
     def segments(self, text: str) -> list[str]:
@@ -148,17 +150,26 @@ class SegmentEncoder:
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.agenda = Agenda(self.library.serialized_model_proto())
-        # ids as decimal text joined by commas, and the decoded text, of each segment
+        # ids as decimal text joined by commas, and the decoded text, of each segment; two generations
         self.known: dict[str, tuple[str, str]] = {}
-
-    def learn(self, new: list[str]) -> None:
+        self.older: dict[str, tuple[str, str]] = {}
+
+    def recall(self, segment: str) -> tuple[str, str] | None:
+        """What is remembered of a segment, or of the word and the mark it consists of."""
+        found = self.known.get(segment) or self.older.get(segment)
+        if found is None and segment[-1] in self.agenda.marks and segment[-2:-1].isalpha():
+            word, mark = self.recall(segment[:-1]), self.recall(segment[-1])
+            if word and mark:
+                found = f"{word[0]},{mark[0]}", word[1] + mark[1]
+        return found
+
+    def learn(self, new: list[str]) -> dict[str, tuple[str, str]]:
         """Encode and decode new segments and compare both with the library."""
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
         # alone, a segment that starts within a word would get a blank in front: it is shown to the library after a line feed
         inner = [not s.startswith(BLANK) for s in new]
         lead = len(self.library.encode("\n"))
         shown = self.library.encode(["\n" + s if i else s[1:] for s, i in zip(new, inner)], num_threads=1)
+        out = {}
         for segment, inside, theirs in zip(new, inner, shown):
             ids = self.agenda.encode(segment)
             theirs = theirs[lead:] if inside else theirs
@@ -170,19 +181,30 @@ class SegmentEncoder:
                 text = " " + text
             if text != segment.replace(BLANK, " "):
                 raise ValueError(f"decoding does not give back {segment!r}")
-            self.known[segment] = ",".join(map(str, ids)), text
+            out[segment] = ",".join(map(str, ids)), text
+        return out
+
+    def remember(self, found: dict[str, tuple[str, str]]) -> None:
+        if len(self.known) + len(found) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        self.known.update(found)
 
     def encode(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """(ids joined by commas, decoded text) of each text."""
         cut = [self.agenda.segments(t) for t in texts]
-        new = list({s for segments in cut for s in segments if s not in self.known})
-        for start in range(0, len(new), 10_000):
-            self.learn(new[start:start + 10_000])
-        for segments in cut:
-            if any(s not in self.known for s in segments):  # forgotten when the memory was cleared
-                self.learn(list(dict.fromkeys(segments)))
-            found = [self.known[s] for s in segments]
-            yield ",".join([f[0] for f in found]), "".join([f[1] for f in found])[1:]
+        found = [list(map(self.known.get, segments)) for segments in cut]
+        missing = {s for segments, f in zip(cut, found) if None in f for s, x in zip(segments, f) if x is None}
+        if missing:
+            # a word with a mark behind it is known where both are; the word is learned, not the pair
+            bare = {s[:-1] if s[-1] in self.agenda.marks and s[-2:-1].isalpha() else s for s in missing} | set(self.agenda.marks)
+            fresh = self.learn([s for s in bare if self.recall(s) is None])
+            self.known.update(fresh)
+            recalled = {s: self.recall(s) for s in missing}
+            self.remember(recalled)
+            found = [[recalled[s] if x is None else x for s, x in zip(segments, f)] if None in f else f for segments, f in zip(cut, found)]
+        for f in found:
+            ids, decoded = zip(*f) if f else ((), ())
+            yield ",".join(ids), "".join(decoded)[1:]
 
 
 def _encoded(path: str, names: list[str], types: list, row: Callable[[str, str], tuple]):
