@@ -21,6 +21,7 @@ import math
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +30,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from meltframe.llm.common import per_worker
+from meltframe.llm.common import maybe_broadcast, per_worker
+from meltframe.session import stored
 
 FILE_SCHEMA = "doc_id long, row long, ahead long, n_tokens int, ids array<int>"
 # Bytes of text a file takes, about.
 FILE_BYTES = 256 << 20
-# Pieces a worker remembers at most; beyond that it starts anew.
-REMEMBERED = 400_000
+# Pieces of a generation in a worker's memory; when one is full, the one before it is forgotten.
+REMEMBERED = 350_000
 
 
 class PieceEncoder:
@@ -53,31 +55,56 @@ class PieceEncoder:
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.bytes_as_text = ByteLevel(add_prefix_space=False, use_regex=False)
+        # ids of a blank and the key, of two generations; ids of a line feed and the key
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.lines: dict[str, bytes] = {}
         self.marks = {m: self.by_library(m) for m in self.MARKS}
+        self.line = self.by_library("\n")
+        # the byte-level alphabet's form of a blank
+        self.blank = self.bytes_as_text.pre_tokenize_str(" ")[0][0]
 
     @staticmethod
     def packed(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def by_library(self, text: str) -> bytes:
         return self.packed(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
+    def word(self, blank: str, text: str) -> bytes:
+        """Ids of a part of a document without blanks; `blank` stands before it or nothing does."""
+        if text.isalpha():
+            # one token of the pre-tokeniser, so the model alone decides; it reads the byte-level alphabet
+            letters = (self.blank if blank else "") + text if text.isascii() else self.bytes_as_text.pre_tokenize_str(blank + text)[0][0]
+            return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        if text[-1:] in self.marks and text[:-1].isalpha():
+            return (self.piece(text[:-1]) if blank else self.word(blank, text[:-1])) + self.marks[text[-1]]
+        if "\n" in text:
+            first, *lines = text.split("\n")
+            # a line feed between two other characters is a token of its own
+            if first and all(lines) and not any(c.isspace() for line in (first, *lines) for c in (line[0], line[-1])):
+                return (self.piece(first) if blank else self.word(blank, first)) + b"".join(map(self.line_piece, lines))
+        return self.by_library(blank + text)
+
     def piece(self, text: str) -> bytes:
         """Ids of a blank and `text`, a part of a document without blanks."""
         known = self.pieces.get(text)
-        if known is not None:
-            return known
-        if text.isalpha():
-            # one token of the pre-tokeniser: the model alone decides
-            known = self.packed([t.id for t in self.model.tokenize(self.bytes_as_text.pre_tokenize_str(" " + text)[0][0])])
-        elif text[-1:] in self.marks and text[:-1].isalpha():
-            known = self.piece(text[:-1]) + self.marks[text[-1]]
-        else:
-            known = self.by_library(" " + text)
-        if len(self.pieces) >= REMEMBERED:
-            self.pieces.clear()
-        self.pieces[text] = known
+        if known is None:
+            known = self.older.get(text)
+            if known is None:
+                known = self.word(" ", text)
+            if len(self.pieces) >= REMEMBERED:
+                self.older, self.pieces = self.pieces, {}
+            self.pieces[text] = known
+        return known
+
+    def line_piece(self, text: str) -> bytes:
+        """Ids of a line feed and `text`."""
+        known = self.lines.get(text)
+        if known is None:
+            if len(self.lines) >= REMEMBERED // 4:
+                self.lines.clear()
+            known = self.lines[text] = self.line + self.word("", text)
         return known
 
     def encode(self, text: str) -> bytes:
@@ -85,10 +112,9 @@ class PieceEncoder:
             return self.by_library(text)
         first, *rest = text.split(" ")
         out = list(map(self.pieces.get, rest))
-        for i, known in enumerate(out):
-            if known is None:
-                out[i] = self.piece(rest[i])
-        return b"".join([self.by_library(first), *out])
+        if None in out:
+            out = [self.piece(rest[i]) if known is None else known for i, known in enumerate(out)]
+        return b"".join([self.word("", first), *out])
 
 
 def _encode(path: str, end_id: int):
@@ -136,8 +162,9 @@ def with_start(rows: DataFrame) -> DataFrame:
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min(F.struct("doc_id", "row")).alias("first"))
     # one row per file; equal ids are never in two files, and only the first can begin with a null
     before = Window.orderBy(F.col("first.doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("files_ahead"))
-    return rows.join(files, "file").withColumn("start", F.col("files_ahead") + F.col("ahead")).drop("file", "files_ahead")
+    files = stored(files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("files_ahead")))
+    # the rows stay where they are: the table of files is as small as their number
+    return rows.join(maybe_broadcast(files, files.count()), "file").withColumn("start", F.col("files_ahead") + F.col("ahead")).drop("file", "files_ahead")
 
 
 def _crc32(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
