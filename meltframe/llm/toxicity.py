@@ -35,7 +35,7 @@ from meltframe.session import stored
 # Labelled rows the regression is fitted to.
 FIT_ROWS = 20_000
 # Terms of the lexicon, the strongest first.
-TERMS = 5_000
+TERMS = 1_000
 MIN_TOXIC = 3
 STEMS = (4, 5, 6)
 WINDOW = 6
@@ -222,15 +222,37 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(maybe_broadcast(known, known.count()), "doc_id")
 
 
-def _terms_in(text: Column) -> Column:
-    """Distinct words of a text and their beginnings, the latter marked with a star."""
-    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) >= 3))
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) >= 3)
 
+
+def _terms_of(words: Column) -> Column:
+    """Distinct words and their beginnings, the latter marked with a star."""
     def beginnings(n: int) -> Column:
         return F.transform(F.filter(words, lambda w: F.length(w) >= n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
 
-    stems = [beginnings(n) for n in STEMS]
-    return F.array_distinct(F.concat(words, *stems))
+    return F.array_distinct(F.concat(words, *[beginnings(n) for n in STEMS]))
+
+
+def _terms(rows: DataFrame) -> DataFrame:
+    """term: a row per document and term in it."""
+    # the words are a column of their own, so that they are found once and not for each use
+    words = rows.select(F.array_distinct(_words(F.col("text"))).alias("words"))
+    return words.select(F.explode(_terms_of(F.col("words"))).alias("term"))
+
+
+def _settings(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, places): before how many different words each of the terms stands.
+
+    Copies of one toxic document repeat all its words, but each with the same word before it; a word that makes documents
+    toxic stands in many places.
+    """
+    words = rows.select(_words(F.col("text")).alias("words"))
+    pairs = words.select(F.explode(F.transform("words", lambda w, i: F.struct(
+        w.alias("word"), F.coalesce(F.get("words", i - 1), F.lit("")).alias("before")))).alias("p")).select("p.*").distinct()
+    ends = F.array(F.col("word"), *[F.concat(F.substring("word", 1, n), F.lit("*")) for n in STEMS])
+    return pairs.select(F.explode(ends).alias("term"), "before").join(terms, "term").groupBy("term").agg(
+        F.count_distinct("before").alias("places"))
 
 
 def likelihood_ratio(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
@@ -277,16 +299,18 @@ def learn_terms(rows: DataFrame) -> list[tuple[str, bool]]:
     n_toxic, n_other = totals.get(1, 0), sum(n for t, n in totals.items() if t != 1)
     if not n_toxic or not n_other:
         return []
-    candidates = stored(rows.where("toxic = 1").select(F.explode(_terms_in(F.col("text"))).alias("term")).groupBy("term").agg(
-        F.count("*").alias("a")).where(F.col("a") >= MIN_TOXIC))
+    candidates = stored(_terms(rows.where("toxic = 1")).groupBy("term").agg(F.count("*").alias("a")).where(F.col("a") >= MIN_TOXIC))
     n = candidates.count()
-    others = rows.where("toxic <> 1").select(F.explode(_terms_in(F.col("text"))).alias("term")).join(
-        maybe_broadcast(candidates.select("term"), n), "term").groupBy("term").agg(F.count("*").alias("b"))
+    others = _terms(rows.where("toxic <> 1")).join(maybe_broadcast(candidates.select("term"), n), "term").groupBy("term").agg(
+        F.count("*").alias("b"))
     # a term that could not reach the threshold even without any other document is not sent to the driver
     rate = n_toxic / (n_toxic + n_other)
     least = math.ceil(math.log(max(2, n)) / -math.log(rate)) if rate < 1 else MIN_TOXIC
     counted = candidates.where(F.col("a") >= least).join(others, "term", "left").select("term", "a", F.coalesce("b", F.lit(0)).alias("b"))
-    likely = counted.where((F.col("b") / n_other < F.lit(0.1) * F.col("a") / n_toxic))
+    likely = stored(counted.where((F.col("b") / n_other < F.lit(0.1) * F.col("a") / n_toxic)))
+    places = _settings(rows.where("toxic = 1"), maybe_broadcast(likely.select("term"), likely.count()))
+    # a term counts for no more documents than it has settings
+    likely = likely.join(places, "term").select("term", F.least("a", "places").alias("a"), "b").where(F.col("a") >= least)
     kept = likely.orderBy(F.col("a").desc(), "term").limit(20 * TERMS).collect()
     return choose_terms({r["term"]: (r["a"], r["b"]) for r in kept}, n_toxic, n_other, n)
 
