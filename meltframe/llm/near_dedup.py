@@ -5,7 +5,9 @@
    other in all bands with probability 2e-9.
 3. In each bucket that several classes share, all are compared with the least one. Links found are contracted to components.
 4. Buckets that still hold several components are finished: their members outside the bucket's largest component are compared with
-   all others of another component, in blocks of signatures.
+   all others of another component, in blocks of signatures. A member's most similar partners of a block go first, and the components
+   are contracted again before the next ones, so that a group of near copies is joined by few links and not by all its pairs; the last
+   round takes every partner that is left, so none is lost.
 A comparison estimates the similarity from the registers, corrected for accidental agreement, and drops the pair only six standard
 deviations below the threshold; the rest is decided on the full sets. Pairs inside one component need no comparison: they cannot change
 the result. No bucket is cut off, and none is in one task: anchors come from a grouping, blocks have a bounded number of rows.
@@ -34,6 +36,8 @@ BLOCK = 1_024
 # Standard deviations below the threshold at which an estimate drops a pair.
 DEVIATIONS = 6
 TEXTS_AT_ONCE = 512
+# Partners of a member per block and round; the last round takes all.
+PARTNERS = (1, 16, None)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -125,8 +129,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> D
     return links
 
 
-def _left_open(crowded: DataFrame, labels: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Promising pairs (a, b) of different components in buckets that hold several."""
+def _left_open(crowded: DataFrame, labels: DataFrame, classes: DataFrame, similarity: float, partners: int | None) -> DataFrame:
+    """Promising pairs (a, b) of different components in buckets that hold several: of each member outside a bucket's largest
+    component the `partners` most similar ones of a block, or all. `more` marks a member that has others."""
     now = crowded.join(labels, crowded["cid"] == labels["node"], "left").select(
         "band", "cid", F.coalesce("component", "cid").alias("component"))
     per_component = now.groupBy("band", "component").agg(F.count("*").alias("n"))
@@ -153,19 +158,25 @@ def _left_open(crowded: DataFrame, labels: DataFrame, classes: DataFrame, simila
         a, b = left["cid"].to_numpy(), right["cid"].to_numpy()
         ca, cb = left["component"].to_numpy(), right["component"].to_numpy()
         na, nb = left["n_shingles"].to_numpy(), right["n_shingles"].to_numpy()
-        out_a, out_b = [], []
+        out_a, out_b, out_more = [], [], []
         if len(a) and len(b):
             sa, sb = _matrix(left["signature"].combine_chunks()), _matrix(right["signature"].combine_chunks())
             for i in range(len(a)):
                 may = np.flatnonzero((cb != ca[i]) & (np.minimum(nb, na[i]) >= np.maximum(nb, na[i]) * similarity - 1e-6))
                 if len(may):
-                    near = S.estimate(np.broadcast_to(sa[i], (len(may), S.REGISTERS)), sb[may], np.full(len(may), na[i]), nb[may]) >= floor
-                    out_a.append(np.minimum(a[i], b[may[near]]))
-                    out_b.append(np.maximum(a[i], b[may[near]]))
+                    guess = S.estimate(np.broadcast_to(sa[i], (len(may), S.REGISTERS)), sb[may], np.full(len(may), na[i]), nb[may])
+                    near = guess >= floor
+                    guess, found = guess[near], b[may[near]]
+                    first = np.lexsort((found, -guess))[:partners]
+                    out_a.append(np.minimum(a[i], found[first]))
+                    out_b.append(np.maximum(a[i], found[first]))
+                    out_more.append(np.full(len(first), len(first) < len(found)))
         empty = np.empty(0, np.int64)
-        return pa.table({"a": np.concatenate([empty, *out_a]), "b": np.concatenate([empty, *out_b])})
+        return pa.table({"a": np.concatenate([empty, *out_a]), "b": np.concatenate([empty, *out_b]),
+                         "more": np.concatenate([empty.astype(bool), *out_more])})
 
-    return strays.unionByName(everyone).groupBy("band", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+    found = strays.unionByName(everyone).groupBy("band", "x", "y").applyInArrow(compare, "a long, b long, more boolean")
+    return found.groupBy("a", "b").agg(F.bool_or("more").alias("more"))
 
 
 def near_groups(docs: DataFrame, percent: int = 80, words: int = S.WORDS) -> DataFrame:
@@ -182,10 +193,17 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = S.WORDS) -> Dat
     pairs = stored(crowded.where("cid <> anchor").select(F.col("anchor").alias("a"), F.col("cid").alias("b")).distinct())
     links = _confirmed(_promising(pairs, signature, similarity), docs, percent, words)
     labels = stored(components(links))
-    rest = _left_open(crowded, labels, signature, similarity)
-    more = _confirmed(rest.join(pairs, ["a", "b"], "left_anti"), docs, percent, words)
-    if not more.isEmpty():
-        labels = stored(components(links.unionByName(more)))
+    compared = pairs
+    for partners in PARTNERS:
+        rest = stored(_left_open(crowded, labels, signature, similarity, partners))
+        fresh = rest.select("a", "b").join(compared, ["a", "b"], "left_anti")
+        more = _confirmed(fresh, docs, percent, words)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = stored(components(links))
+        if rest.where("more").isEmpty():
+            break
+        compared = compared.unionByName(rest.select("a", "b"))
     free(spread, crowded, pairs)
     named = classes.select("n_shingles", "digest1", "digest2", "cid").join(labels, classes["cid"] == labels["node"], "left").select(
         F.col("n_shingles").alias("n"), F.col("digest1").alias("d1"), F.col("digest2").alias("d2"), F.coalesce("component", "cid").alias("component"))
