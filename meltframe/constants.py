@@ -140,7 +140,7 @@ OBJECTIVES = {
     "BCC": ("maximize", "probability", "bcc"),
     "HCP": ("maximize", "probability", "hcp"),
     "IM": ("maximize", "probability", "im"),
-    "Aluminum Content": ("maximize", "molar ratio", "al_amount"),
+    "Aluminum Content": ("maximize", "molar ratio", "Al"),
 }
 MECH_OBJECTIVES = ["Tensile Strength", "Yield Strength", "Elongation", "Hardness"]
 CORR_OBJECTIVES = ["Ecorr", "Epit", "icorr"]

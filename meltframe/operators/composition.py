@@ -57,8 +57,17 @@ def pair_lookup(pairs: DataFrame, enthalpies: DataFrame) -> DataFrame:
 
 # --- forms ------------------------------------------------------------------------
 
+def known_elements(long: DataFrame, elem: str = "elem_idx") -> DataFrame:
+    """The rows as they are; an element index outside the table fails the job instead of losing its amount."""
+    last = len(K.ELEMENTS) - 1
+    return long.where(F.expr(
+        f"CASE WHEN `{elem}` BETWEEN 0 AND {last} THEN true "
+        f"ELSE raise_error(concat('unknown element index ', coalesce(CAST(`{elem}` AS STRING), 'NULL'))) END"))
+
+
 def to_wide(long: DataFrame, key: str = "row_id", elem: str = "elem_idx", amount: str = "amount") -> DataFrame:
     """One row per alloy, one column per element; repeated (alloy, element) rows add up."""
+    long = known_elements(long, elem)
     sums = [
         F.expr(f"CAST(coalesce(sum(CASE WHEN `{elem}` = {i} THEN `{amount}` END), 0) AS DOUBLE) AS {e}")
         for i, e in enumerate(K.ELEMENTS)
@@ -84,18 +93,17 @@ def to_long(wide: DataFrame, key: str = "row_id", above: float = 0.0) -> DataFra
 
 def clean_amounts(wide: DataFrame, above: float = 0.0) -> DataFrame:
     """Amounts that count as present; NULL, negative and tiny ones become 0."""
-    return wide.withColumns({e: F.expr(f"coalesce(CASE WHEN {e} > {_num(above)} THEN {e} END, 0D)") for e in K.ELEMENTS})
+    return wide.withColumns({e: F.expr(f"CASE WHEN {e} > {_num(above)} THEN CAST({e} AS DOUBLE) ELSE 0D END") for e in K.ELEMENTS})
 
 
-def with_total(wide: DataFrame) -> DataFrame:
-    """Add the amount total; element columns that may hold NULL are filled with 0 first.
+def with_total(wide: DataFrame, above: float = 0.0) -> DataFrame:
+    """Add the amount total over the elements present: amounts above the threshold, all others become 0.
 
-    Columns known to be non-NULL keep the generated arithmetic free of null branches, which decides
-    whether it fits the size the JIT compiler accepts.
+    The presence rule belongs to every composition operator, so it is applied here, where they all begin. The columns
+    that result are never NULL, which keeps the generated arithmetic free of null branches; that decides whether it
+    fits the size the JIT compiler accepts.
     """
-    loose = [f.name for f in wide.schema.fields if f.nullable and f.name in K.ELEMENT_INDEX]
-    solid = wide.withColumns({e: F.expr(f"coalesce(CAST({e} AS DOUBLE), 0D)") for e in loose}) if loose else wide
-    return solid.withColumn(TOTAL, F.expr(_add(K.ELEMENTS)))
+    return clean_amounts(wide, above).withColumn(TOTAL, F.expr(_add(K.ELEMENTS)))
 
 
 def share_sql(e: str) -> str:
@@ -107,19 +115,24 @@ def share(e: str) -> Column:
     return F.expr(share_sql(e))
 
 
-def shares_wide(wide: DataFrame) -> DataFrame:
+def shares_wide(wide: DataFrame, above: float = 0.0) -> DataFrame:
     """Molar fractions in the element columns; the other columns stay."""
     kept = [c for c in wide.columns if c not in K.ELEMENT_INDEX]
-    return with_total(wide).select(*kept, *[share(e).alias(e) for e in K.ELEMENTS])
+    return with_total(wide, above).select(*kept, *[share(e).alias(e) for e in K.ELEMENTS])
+
+
+def present_elements(above: float = 0.0) -> Column:
+    """(idx, amount) of the elements present, chosen inside the row so that only they become rows."""
+    return F.filter(
+        F.transform(elements_array(), lambda a, i: F.struct(i.alias("idx"), a.alias("amount"))),
+        lambda t: t["amount"] > above,
+    )
 
 
-def fractions(wide: DataFrame, key: str = "row_id") -> DataFrame:
+def fractions(wide: DataFrame, key: str = "row_id", above: float = 0.0) -> DataFrame:
     """Long form with the molar fraction of each element present."""
-    return (
-        with_total(wide)
-        .select(key, TOTAL, F.posexplode(elements_array()).alias("elem_idx", "amount"))
-        .where(F.col("amount") > 0)
-        .select(key, "elem_idx", (F.col("amount") / F.col(TOTAL)).alias("fraction"))
+    return with_total(wide, above).select(key, TOTAL, F.explode(present_elements()).alias("t")).select(
+        key, F.col("t.idx").alias("elem_idx"), (F.col("t.amount") / F.col(TOTAL)).alias("fraction")
     )
 
 
@@ -128,13 +141,9 @@ def element_pairs(wide: DataFrame, key: str = "row_id") -> DataFrame:
 
     Built inside the row of the alloy: no self-join, so a long alloy costs no more shuffle than a short one.
     """
-    present = F.filter(
-        F.transform(elements_array(), lambda a, i: F.struct(i.alias("idx"), a.alias("amount"))),
-        lambda t: t["amount"] > 0,
-    )
     symbols = F.expr("array(" + ", ".join(f"'{e}'" for e in K.ELEMENTS) + ")")
     return (
-        wide.select(key, present.alias("right"))
+        wide.select(key, present_elements().alias("right"))
         .select(key, "right", F.explode("right").alias("left"))
         .select(key, "left", F.explode(F.filter("right", lambda t: t["idx"] > F.col("left.idx"))).alias("right"))
         .select(
@@ -214,12 +223,13 @@ _SPREAD_OF = {"delta": "radius", "tm_std": "tm", "chi_std": "chi", "vec_std": "v
 _MEAN_OF = {"a": "lattice", "tm": "tm", "chi": "chi", "vec": "vec", "bulk": "bulk"}
 
 
-def with_params(wide: DataFrame, names: Sequence[str] = tuple(K.EMPIRICAL)) -> DataFrame:
-    """Add parameters by name; only the intermediate columns those need are computed."""
+def with_params(wide: DataFrame, names: Sequence[str] = tuple(K.EMPIRICAL), above: float = 0.0) -> DataFrame:
+    """Add parameters by name; only the intermediate columns those need are computed. Amounts that do not count as
+    present leave as 0."""
     wanted = set(names) | ({"tm", "entropy", "enthalpy"} if "omega" in names else set())
     centred = [p for n, p in _SPREAD_OF.items() if n in wanted]
     centres = {f"_{p}_centre": F.expr(_guard(f"{_scaled_sum(p)} / {TOTAL}")) for p in centred}
-    base = with_total(wide)
+    base = with_total(wide, above)
     base = base.withColumns(centres) if centres else base
     sql = {n: _mean(p) for n, p in _MEAN_OF.items()}
     sql |= {n: _spread(p, f"_{p}_centre") for n, p in _SPREAD_OF.items() if n != "delta"}
@@ -231,8 +241,9 @@ def with_params(wide: DataFrame, names: Sequence[str] = tuple(K.EMPIRICAL)) -> D
     return out.select(*wide.columns, *names)
 
 
-def empirical_params(wide: DataFrame, key: str = "row_id", names: Sequence[str] = tuple(K.EMPIRICAL)) -> DataFrame:
-    return with_params(wide, names).select(key, *names)
+def empirical_params(wide: DataFrame, key: str = "row_id", names: Sequence[str] = tuple(K.EMPIRICAL),
+                     above: float = 0.0) -> DataFrame:
+    return with_params(wide, names, above).select(key, *names)
 
 
 def round_params(df: DataFrame, names: Sequence[str] = tuple(K.EMPIRICAL)) -> DataFrame:
@@ -240,27 +251,21 @@ def round_params(df: DataFrame, names: Sequence[str] = tuple(K.EMPIRICAL)) -> Da
     return df.withColumns({n: F.bround(n, K.EMPIRICAL_DIGITS.get(n, K.DEFAULT_DIGITS)) for n in names})
 
 
-def weighted_sums(long: DataFrame, props: Sequence[str], key: str = "row_id", elem: str = "elem_idx",
-                  amount: str = "amount") -> DataFrame:
-    """Amount and amount * property sums per alloy straight from the long rows.
-
-    The property is read from a constant array, so the sums combine before the shuffle and no join is needed.
-    """
-    tables = {p: f"array({', '.join(_num(v) for v in K.SCALED[p])})" for p in props}
-    return long.groupBy(key).agg(
-        F.expr(f"sum(CAST(`{amount}` AS DOUBLE)) AS {TOTAL}"),
-        *[F.expr(f"sum(`{amount}` * get({t}, `{elem}`)) AS {p}") for p, t in tables.items()],
-    )
+def element_totals(long: DataFrame, elem: str = "elem_idx", amount: str = "amount", above: float = 0.0) -> DataFrame:
+    """Total amount of each element over all rows in which it is present."""
+    counted = F.expr(f"sum(CASE WHEN `{amount}` > {_num(above)} THEN CAST(`{amount}` AS DOUBLE) ELSE 0D END) AS total")
+    return known_elements(long, elem).groupBy(elem).agg(counted)
 
 
-def weighted_means(long: DataFrame, props: Sequence[str] = tuple(K.PROPERTIES), key: str = "row_id") -> DataFrame:
-    sums = weighted_sums(long, props, key)
-    return sums.select(key, *[F.expr(_guard(f"{p} / ({TOTAL} * {_num(K.SCALE[p])})")).alias(p) for p in props])
+def weighted_means(long: DataFrame, props: Sequence[str] = tuple(K.PROPERTIES), key: str = "row_id",
+                   above: float = 0.0) -> DataFrame:
+    """Amount-weighted means per alloy. Rows of one element add up before the presence rule looks at them, as in the
+    wide form that all other parameters start from; it takes the same single shuffle."""
+    return with_total(to_wide(long, key), above).select(key, *[F.expr(_mean(p)).alias(p) for p in props])
 
 
-def mixture_density(long: DataFrame, key: str = "row_id") -> DataFrame:
-    sums = weighted_sums(long, ["mass", "volume"], key)
-    return sums.select(key, F.expr("coalesce(try_divide(mass, volume), 0D) AS density"))
+def mixture_density(long: DataFrame, key: str = "row_id", above: float = 0.0) -> DataFrame:
+    return with_total(to_wide(long, key), above).select(key, density().alias("density"))
 
 
 def array_density(amounts: Column) -> Column:

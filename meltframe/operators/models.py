@@ -6,6 +6,7 @@ feeds several fits should be stored first (`stored`), so that its joins and aggr
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -27,17 +28,20 @@ MAX_DEPTH = 30  # the deepest trees Spark ML grows
 
 @dataclass(frozen=True)
 class Forest:
-    """Forest settings. `bins` is the number of split candidates per feature."""
+    """Forest settings. `bins` is the number of split candidates per feature, `leaf_rows` the least rows of a leaf (which
+    bounds the trees that reach the driver), `partitions` the layout the bootstrap draws from: part of the seed, in effect."""
 
     trees: int = 100
     depth: int = MAX_DEPTH
     seed: int = 0
     bins: int = 256
     memory_mb: int = 1024
+    leaf_rows: int = 1
+    partitions: int = 16
 
     def params(self) -> dict:
         return {"numTrees": self.trees, "maxDepth": self.depth, "seed": self.seed, "maxBins": self.bins,
-                "maxMemoryInMB": self.memory_mb}
+                "maxMemoryInMB": self.memory_mb, "minInstancesPerNode": self.leaf_rows}
 
 
 REGRESSOR = Forest()
@@ -74,10 +78,9 @@ def family_b(corr: Sequence[str] | str = tuple(K.CORR_FEATURES)) -> list[TargetS
     return [TargetSpec(t, None, corr) for t in K.TARGETS]
 
 
-def stable_layout(df: DataFrame, key: str = "row_id", partitions: int | None = None) -> DataFrame:
+def stable_layout(df: DataFrame, forest: Forest, key: str = "row_id") -> DataFrame:
     """Rows placed and ordered by key, since a forest's bootstrap follows the partition layout."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, key).sortWithinPartitions(key)
+    return df.repartition(forest.partitions, key).sortWithinPartitions(key)
 
 
 def assemble(df: DataFrame, names: Sequence[str] | str, out: str = "features") -> DataFrame:
@@ -106,10 +109,10 @@ def _filled(df: DataFrame, names: Sequence[str] | str, out: str) -> DataFrame:
     return assemble(df if isinstance(names, str) else C.fill_zero(df, names), names, out)
 
 
-def training_rows(df: DataFrame, label: str, names: Sequence[str] | str, key: str) -> DataFrame:
+def training_rows(df: DataFrame, label: str, names: Sequence[str] | str, forest: Forest, key: str) -> DataFrame:
     """Label and feature vector of the rows with a label, in a stable layout."""
     known = df.where(F.col(label).isNotNull()).withColumn("_label", F.col(label).cast("double"))
-    return stable_layout(_filled(known, names, "_vector").select(key, "_label", F.col("_vector").alias("features")), key)
+    return stable_layout(_filled(known, names, "_vector").select(key, "_label", F.col("_vector").alias("features")), forest, key)
 
 
 def grow_regressor(rows: DataFrame, forest: Forest) -> RandomForestRegressionModel:
@@ -120,14 +123,14 @@ def grow_regressor(rows: DataFrame, forest: Forest) -> RandomForestRegressionMod
 def fit_regressor(df: DataFrame, target: str, names: Sequence[str] | str, forest: Forest = REGRESSOR,
                   key: str = "row_id") -> RandomForestRegressionModel:
     """Forest over all features at each split, the target as given (take `icorr_log10` for the log target)."""
-    return grow_regressor(training_rows(df, target, names, key), forest)
+    return grow_regressor(training_rows(df, target, names, forest, key), forest)
 
 
 def fit_classifier(df: DataFrame, label: str, names: Sequence[str] | str, forest: Forest = CLASSIFIER,
                    key: str = "row_id") -> RandomForestClassificationModel:
     """Forest over a square-root sample of the features at each split."""
     return RandomForestClassifier(featuresCol="features", labelCol="_label", featureSubsetStrategy="sqrt",
-                                  **forest.params()).fit(training_rows(df, label, names, key))
+                                  **forest.params()).fit(training_rows(df, label, names, forest, key))
 
 
 def predict(df: DataFrame, models: Mapping[str, object], names: Sequence[str] | str,
@@ -218,16 +221,21 @@ class Family:
         for kind, models in (("regressor", self.regressors), ("classifier", self.phases)):
             for name, model in models.items():
                 PipelineModel([model]).write().overwrite().save(f"{path}/{kind}_{name}")
-        write_feature_config(SparkSession.active(), f"{path}/feature_config")
+        spark = SparkSession.active()
+        write_feature_config(spark, f"{path}/feature_config")
+        held = {"regressors": list(self.regressors), "phases": list(self.phases), "mech_features": list(self.mech_features)}
+        spark.createDataFrame([(json.dumps(held),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/family")
 
     @staticmethod
-    def load(path: str, targets: Sequence[str] = tuple(K.TARGETS), phases: Sequence[str] = tuple(K.PHASE_FLAGS),
-             mech_features: Sequence[str] = tuple(K.MECH_FEATURES)) -> Family:
+    def load(path: str) -> Family:
+        """The models saved under the path, with the features they were fitted on."""
+        held = json.loads(SparkSession.active().read.text(f"{path}/family").first()[0])
+
         def read(kind: str, name: str):
             return PipelineModel.load(f"{path}/{kind}_{name}").stages[0]
 
-        return Family({t: read("regressor", t) for t in targets}, {p: read("classifier", p) for p in phases},
-                      mech_features)
+        return Family({t: read("regressor", t) for t in held["regressors"]}, {p: read("classifier", p) for p in held["phases"]},
+                      held["mech_features"])
 
 
 def two_stage_score(df: DataFrame, family: Family, phase_objectives: bool = False) -> DataFrame:

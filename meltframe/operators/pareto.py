@@ -4,8 +4,9 @@ All objectives are minimised. Every step works on distinct objective vectors, so
 rows costs one vector. The front is found in three exact steps:
 
 1. each scan partition drops what its own rows dominate, before anything is shuffled;
-2. the survivors are made distinct and stored, then hashed into blocks of bounded size;
-3. every pair of blocks is compared in its own task (`cogroup`), and vectors dominated in any pair go.
+2. the survivors are made distinct and stored; the best of them by normalised objective sum, a bounded number, filter
+   the rest once more, and what is left is hashed into blocks of bounded size;
+3. every pair of blocks is compared in its own group (`cogroup`), and vectors dominated in any pair go.
 
 Dominance is transitive and irreflexive, so a dominated vector is dominated by some member of the front,
 and members of the front survive step 1: the result is the whole front whatever the partitioning.
@@ -21,10 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meltframe.session import stored
+from meltframe.session import free, stored
 
 BLOCK_ROWS = 16384  # vectors a single task compares with each other
 WINDOW_ROWS = 4096  # vectors a scan task holds as its filter
+BEST_ROWS = 1024  # vectors every task of the second filter holds
+BROADCAST_ROWS = 200_000  # rows of a counted side that is broadcast
+BUCKET_VALUES = 20_000  # distinct values a crowding bucket sorts
 
 
 def dominated_by(rows: np.ndarray, by: np.ndarray, or_equal: bool = False, step: int = 1024) -> np.ndarray:
@@ -102,18 +106,32 @@ def vectors(points: DataFrame, objectives: Sequence[str]) -> DataFrame:
     return points.select(*cols).where(known)
 
 
+def _score(table: DataFrame, objectives: Sequence[str]):
+    """Sum of the objectives, each scaled to its range in the table: a dominating vector never has the larger one."""
+    ends = table.agg(*[F.min(o).alias(f"lo_{o}") for o in objectives], *[F.max(o).alias(f"hi_{o}") for o in objectives]).first()
+    scaled = []
+    for o in objectives:
+        low, high = ends[f"lo_{o}"], ends[f"hi_{o}"]
+        if low is not None and np.isfinite(high - low) and high > low:
+            scaled.append((F.col(o) - F.lit(low)) / F.lit(high - low))
+    return reduce(lambda a, b: a + b, scaled, F.lit(0.0))
+
+
 def front_vectors(points: DataFrame, objectives: Sequence[str], block_rows: int = BLOCK_ROWS,
-                  window: int = WINDOW_ROWS) -> DataFrame:
-    """Distinct non-dominated objective vectors, as a stored table."""
+                  window: int = WINDOW_ROWS, best_rows: int = BEST_ROWS) -> DataFrame:
+    """Distinct non-dominated objective vectors, as a stored table. One procedure for every size: a small set is one block."""
     objectives = list(objectives)
     schema = ", ".join(f"`{o}` double" for o in objectives)
-    left = stored(vectors(points, objectives).mapInArrow(_scan_filter(objectives, window), schema).distinct())
-    n = left.count()
-    if n <= block_rows:
-        # one block: its size was just checked
-        return stored(left.coalesce(1).mapInArrow(_scan_filter(objectives, block_rows), schema))
+    first = stored(vectors(points, objectives).mapInArrow(_scan_filter(objectives, window), schema).distinct())
+    best = local_front(_matrix(first.orderBy(_score(first, objectives), *objectives).limit(best_rows).toArrow(), objectives))
 
-    blocks = -(-n // block_rows) * 2
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = _matrix(batch, objectives)
+            yield from _table(rows[~dominated_by(rows, best)], objectives).to_batches()
+
+    left = stored(first.mapInArrow(drop, schema))
+    blocks = max(1, -(-left.count() // block_rows))
     block = F.pmod(F.xxhash64(*objectives), F.lit(blocks))
     every = F.expr(f"explode(sequence(0L, {blocks - 1}L))")
     target = left.withColumn("t", block).withColumn("s", every)
@@ -124,7 +142,9 @@ def front_vectors(points: DataFrame, objectives: Sequence[str], block_rows: int
         return _table(rows[dominated_by(rows, local_front(_matrix(theirs, objectives)))], objectives)
 
     dominated = target.groupBy("t", "s").cogroup(source.groupBy("t", "s")).applyInArrow(losers, schema)
-    return stored(left.join(dominated.distinct(), objectives, "left_anti"))
+    front = stored(left.join(dominated.distinct(), objectives, "left_anti"))
+    free(first, left)
+    return front
 
 
 def _match(points: DataFrame, found: DataFrame, objectives: Sequence[str], how: str) -> DataFrame:
@@ -145,79 +165,80 @@ def pareto_front(points: DataFrame, objectives: Sequence[str], feasible: str | N
     return _match(points, front_vectors(points, objectives, **options), objectives, "left_semi")
 
 
-def pareto_rank(points: DataFrame, objectives: Sequence[str], max_rank: int, **options) -> DataFrame:
-    """Add `pareto_rank`: 1 for the front, 2 for the front of what remains, ... NULL beyond `max_rank`."""
+def pareto_rank(points: DataFrame, objectives: Sequence[str], max_rank: int | None = None, **options) -> DataFrame:
+    """Add `pareto_rank`: 1 for the front, 2 for the front of what remains, and so on until nothing is left.
+
+    With `max_rank` the peeling stops there and the ranks beyond are NULL. Rows with a missing objective have no rank.
+    """
     objectives = list(objectives)
     rest = stored(vectors(points, objectives).distinct())
-    ranked = None
-    for rank in range(1, max_rank + 1):
+    rank, ranked, left = 0, None, not rest.isEmpty()
+    while left and rank != max_rank:
+        rank += 1
         front = front_vectors(rest, objectives, **options)
         layer = front.withColumn("pareto_rank", F.lit(rank))
         ranked = layer if ranked is None else ranked.union(layer)
-        if rank < max_rank:
-            rest = rest.join(front, objectives, "left_anti")
-    return _match(points, ranked, objectives, "left")
+        before, rest = rest, stored(rest.join(front, objectives, "left_anti"))
+        free(before)
+        left = not rest.isEmpty()
+    if ranked is None:
+        return points.withColumn("pareto_rank", F.lit(None).cast("int"))
+    return _match(points, stored(ranked), objectives, "left")
+
+
+def _beside(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join with a stored table: broadcast up to a counted size, shuffled beyond it."""
+    return df.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, list(keys))
 
 
-def _neighbours(values: DataFrame, buckets: int) -> DataFrame:
-    """Previous and next distinct value (`below`, `above`) of `v` within each `pareto_rank`.
+def _neighbours(values: DataFrame, by: Sequence[str], bucket_values: int) -> DataFrame:
+    """Previous and next distinct value (`below`, `above`) of `v` within each group of `by`.
 
-    A front may hold any share of the rows, so it is not sorted in one task: quantiles cut it into buckets,
-    neighbours are looked up inside each bucket, and bucket edges are joined from a small table.
+    A group may hold any share of the values, so it is not sorted in one task: quantiles cut it into buckets of about
+    `bucket_values`, neighbours are looked up inside each bucket, and bucket edges are joined from a small table.
     """
+    most = values.groupBy(*by).count().agg(F.max("count")).first()[0] or 1
+    buckets = -(-most // bucket_values)
     cuts = [i / buckets for i in range(1, buckets)]
-    bounds = values.groupBy("pareto_rank").agg(F.percentile_approx("v", cuts, 1000).alias("bounds"))
-    # one row per rank, and ranks are peeled one by one on the driver: a handful
-    placed = values.join(F.broadcast(bounds), "pareto_rank").withColumn(
-        "bucket", F.size(F.filter("bounds", lambda b: b < F.col("v")))
-    ).drop("bounds")
-    inside = Window.partitionBy("pareto_rank", "bucket").orderBy("v")
+    placed = values.withColumn("bucket", F.lit(0))
+    if cuts:
+        bounds = stored(values.groupBy(*by).agg(F.percentile_approx("v", cuts, 10 * len(cuts) + 1000).alias("bounds")))
+        placed = _beside(values, bounds, by).withColumn("bucket", F.size(F.filter("bounds", lambda b: b < F.col("v")))).drop("bounds")
+    inside = Window.partitionBy(*by, "bucket").orderBy("v")
     near = placed.withColumns({"_below": F.lag("v").over(inside), "_above": F.lead("v").over(inside)})
-    along = Window.partitionBy("pareto_rank").orderBy("bucket")
-    edges = (
-        placed.groupBy("pareto_rank", "bucket")
+    along = Window.partitionBy(*by).orderBy("bucket")
+    edges = stored(
+        placed.groupBy(*by, "bucket")
         .agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
-        .select("pareto_rank", "bucket", F.lag("_hi").over(along).alias("_edge_below"),
-                F.lead("_lo").over(along).alias("_edge_above"))
+        .select(*by, "bucket", F.lag("_hi").over(along).alias("_edge_below"), F.lead("_lo").over(along).alias("_edge_above"))
     )
-    # at most `buckets` rows per rank
-    return near.join(F.broadcast(edges), ["pareto_rank", "bucket"]).select(
-        "pareto_rank", "v", "first_id", "last_id",
-        F.coalesce("_below", "_edge_below").alias("below"),
+    return _beside(near, edges, [*by, "bucket"]).select(
+        *by, "v", "first_id", "last_id", F.coalesce("_below", "_edge_below").alias("below"),
         F.coalesce("_above", "_edge_above").alias("above"),
     )
 
 
-def crowding_distance(ranked: DataFrame, objectives: Sequence[str], key: str = "id", buckets: int = 64) -> DataFrame:
+def crowding_distance(ranked: DataFrame, objectives: Sequence[str], key: str = "id",
+                      bucket_values: int = BUCKET_VALUES) -> DataFrame:
     """Add `crowding`: gap between the neighbours of a row within its rank, relative to the objective's range,
-    averaged over objectives. Rows at an end of any objective get NULL; an objective without range adds 0.
+    averaged over objectives. Rows at an end of any objective get NULL, as do rows without a rank; an objective
+    without range adds 0.
 
     Neighbours are taken in (objective, key) order. Rows sharing a value are neighbours of each other except
-    at the two ends of the run, so only distinct values have to be sorted.
+    at the two ends of the run, so only distinct values have to be sorted. The objectives of a row become rows of one
+    long table, so all of them take the same few steps. `key` is unique.
     """
-    inside = ranked.where(F.col("pareto_rank").isNotNull())
-    spans = inside.groupBy("pareto_rank").agg(
-        *[(F.max(o).cast("double") - F.min(o).cast("double")).alias(f"_span_{o}") for o in objectives]
-    )
-    out = inside.join(F.broadcast(spans), "pareto_rank")
-    for o in objectives:
-        values = inside.groupBy("pareto_rank", F.col(o).cast("double").alias("v")).agg(
-            F.min(key).alias("first_id"), F.max(key).alias("last_id")
-        )
-        near = _neighbours(values, buckets).withColumnsRenamed({"v": f"_v_{o}"})
-        value = F.col(f"_v_{o}")
-        below = F.when(F.col(key) == F.col("first_id"), F.col("below")).otherwise(value)
-        above = F.when(F.col(key) == F.col("last_id"), F.col("above")).otherwise(value)
-        gap = F.when(F.col(f"_span_{o}") > 0, (above - below) / F.col(f"_span_{o}")).when(
-            above.isNotNull() & below.isNotNull(), F.lit(0.0)
-        )
-        out = (
-            out.withColumn(f"_v_{o}", F.col(o).cast("double"))
-            .join(near, ["pareto_rank", f"_v_{o}"])
-            .withColumn(f"_gap_{o}", gap)
-            .drop("first_id", "last_id", "below", "above", f"_v_{o}")
-        )
-    total = reduce(lambda a, b: a + b, [F.col(f"_gap_{o}") for o in objectives])
-    return out.withColumn("crowding", total / F.lit(float(len(objectives)))).drop(
-        *[f"_gap_{o}" for o in objectives], *[f"_span_{o}" for o in objectives]
-    )
+    by = ["objective", "pareto_rank"]
+    pairs = F.array(*[F.struct(F.lit(i).alias("objective"), F.col(o).cast("double").alias("v")) for i, o in enumerate(objectives)])
+    long = stored(ranked.where(F.col("pareto_rank").isNotNull()).select(F.col(key).alias("_key"), "pareto_rank", F.inline(pairs)))
+    values = stored(long.groupBy(*by, "v").agg(F.min("_key").alias("first_id"), F.max("_key").alias("last_id")))
+    spans = stored(values.groupBy(*by).agg((F.max("v") - F.min("v")).alias("span")))
+    near = stored(_beside(_neighbours(values, by, bucket_values), spans, by))
+    below = F.when(F.col("_key") == F.col("first_id"), F.col("below")).otherwise(F.col("v"))
+    above = F.when(F.col("_key") == F.col("last_id"), F.col("above")).otherwise(F.col("v"))
+    gap = F.when(F.col("span") > 0, (above - below) / F.col("span")).when(above.isNotNull() & below.isNotNull(), F.lit(0.0))
+    gaps = _beside(long, near, [*by, "v"]).select("_key", "objective", gap.alias("gap"))
+    at = [F.max(F.when(F.col("objective") == i, F.col("gap"))).alias(f"_gap_{i}") for i in range(len(objectives))]
+    total = reduce(lambda a, b: a + b, [F.col(f"_gap_{i}") for i in range(len(objectives))])
+    crowding = stored(gaps.groupBy("_key").agg(*at).select("_key", (total / F.lit(float(len(objectives)))).alias("crowding")))
+    return ranked.join(crowding, ranked[key] == crowding["_key"], "left").drop("_key")

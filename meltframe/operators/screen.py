@@ -5,6 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,6 @@ from meltframe import constants as K
 from meltframe.functions import keys, text
 from meltframe.operators import composition as comp
 
-MAX_WEIGHTS = 1_000_000
-
 
 @dataclass(frozen=True)
 class ScreenRequest:
@@ -34,14 +33,14 @@ class ScreenRequest:
         if unknown:
             raise ValueError(f"unknown elements: {unknown}")
         if not self.allowed:
-            raise ValueError("no elements allowed: add at least one element to the pool")
+            raise ValueError("the element pool is empty")
         if len(set(self.allowed)) < 2:
-            warnings.warn("only one element allowed; most alloy models need at least two", stacklevel=2)
+            warnings.warn("a pool of one element leaves only the pure metal", stacklevel=2)
         clash = [e for e in self.required if e in self.banned]
         if clash:
-            raise ValueError(f"required elements are not in the allowed pool: {clash}")
+            raise ValueError(f"required but banned: {clash}")
         if len(set(self.objectives)) < 2:
-            raise ValueError("choose at least two objectives")
+            raise ValueError("a front needs two different objectives or more")
         strange = [o for o in self.objectives if o not in K.OBJECTIVES]
         if strange:
             raise ValueError(f"unknown objectives: {strange}")
@@ -71,22 +70,22 @@ def latent_candidates(df: DataFrame, key: str, size: int = 10, low: float = -3.0
     )
 
 
-def layer_weights(table: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Dense layers from rows (layer, unit, input, weight); input -1 is the bias. The table is small, and checked."""
-    rows = table.select("layer", "unit", "input", "weight").limit(MAX_WEIGHTS + 1).toArrow()
-    if rows.num_rows > MAX_WEIGHTS:
-        raise ValueError(f"more than {MAX_WEIGHTS} weights")
-    data = {c: rows.column(c).to_numpy() for c in rows.column_names}
+def layer_weights(table: DataFrame, widths: Sequence[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Dense layers from rows (layer, unit, input, weight); input -1 is the bias.
+
+    `widths` declares the network, inputs first: (10, 39, 39) has two layers. The table must hold exactly one row per
+    weight and bias of it, so what is read is as large as the declared network and nothing is filled in unseen.
+    """
+    cells = {(k, u, i) for k, (n, m) in enumerate(pairwise(widths)) for u in range(m) for i in range(-1, n)}
+    rows = table.select("layer", "unit", "input", "weight").limit(len(cells) + 1).collect()
+    given = {(r["layer"], r["unit"], r["input"]): float("nan") if r["weight"] is None else r["weight"] for r in rows}
+    if len(rows) != len(cells) or set(given) != cells or any(np.isnan(list(given.values()))):
+        raise ValueError(f"{len(cells)} weights are declared, one row each; missing: {sorted(cells - set(given))[:3]}, "
+                         f"unknown: {sorted(set(given) - cells, key=str)[:3]}, rows: {len(rows)}")
     layers = []
-    for k in np.unique(data["layer"]):
-        at = data["layer"] == k
-        unit, source, weight = data["unit"][at], data["input"][at], data["weight"][at].astype(float)
-        matrix = np.zeros((unit.max() + 1, source.max() + 1))
-        bias = np.zeros(unit.max() + 1)
-        is_bias = source < 0
-        matrix[unit[~is_bias], source[~is_bias]] = weight[~is_bias]
-        bias[unit[is_bias]] = weight[is_bias]
-        layers.append((matrix, bias))
+    for k, (n, m) in enumerate(pairwise(widths)):
+        full = np.array([[given[k, u, i] for i in range(-1, n)] for u in range(m)], float).reshape(m, n + 1)
+        layers.append((full[:, 1:], full[:, 0]))
     return layers
 
 
@@ -178,20 +177,26 @@ def objective_column(name: str) -> str:
     return "f_" + name.lower().replace(" ", "_")
 
 
-def front_pairs(objectives: Sequence[str], available: Sequence[str] | None = None) -> list[tuple[str, str, str]]:
+# Which views a front gets: (group of x, group of y, title). Within one group the first two objectives are shown; a view of
+# two groups shows the first of each; the last rule pairs every ungrouped objective with the first one, and titles itself.
+VIEW_RULES = [
+    ("mechanical", "mechanical", "Mechanical"), ("mechanical", "corrosion", "Mech vs Corrosion"),
+    ("corrosion", "corrosion", "Corrosion"), ("first", "other", None),
+]
+
+
+def front_pairs(objectives: Sequence[str]) -> list[tuple[str, str, str]]:
     """(x, y, title) of the objective pairs worth viewing for a selection of objectives."""
-    valid = [o for o in objectives if available is None or o in available]
-    mech = [o for o in valid if o in K.MECH_OBJECTIVES]
-    corr = [o for o in valid if o in K.CORR_OBJECTIVES]
-    rest = [o for o in valid if o not in mech and o not in corr]
-    pairs = [(*mech[:2], "Mechanical")] if len(mech) > 1 else []
-    pairs += [(mech[0], corr[0], "Mech vs Corrosion")] if mech and corr else []
-    pairs += [(*corr[:2], "Corrosion")] if len(corr) > 1 else []
-    anchor = next(iter(mech or corr or valid), None)
-    pairs += [(anchor, o, f"{anchor} vs {o}") for o in rest if o != anchor]
-    if not pairs and len(valid) > 1:
-        pairs = [(valid[0], valid[1], "Objectives")]
-    return pairs
+    group_of = dict.fromkeys(K.MECH_OBJECTIVES, "mechanical") | dict.fromkeys(K.CORR_OBJECTIVES, "corrosion")
+    groups: dict[str, list[str]] = {"mechanical": [], "corrosion": [], "other": []}
+    for o in objectives:
+        groups[group_of.get(o, "other")].append(o)
+    groups["first"] = [*groups["mechanical"], *groups["corrosion"], *groups["other"]][:1]
+    views = []
+    for left, right, title in VIEW_RULES:
+        pairs = [(x, y) for x in groups[left] for y in groups[right] if x != y]
+        views += [(x, y, title or f"{x} vs {y}") for x, y in (pairs[:1] if title else pairs)]
+    return views
 
 
 def front_views(df: DataFrame, pairs: Sequence[tuple[str, str, str]], columns: dict[str, str],

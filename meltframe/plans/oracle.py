@@ -23,7 +23,8 @@ TARGET_COLS = {t: f"NULLIF({t}, 0)" for t in K.RAW_TARGETS}
 PREPARED = "prepared AS (SELECT * REPLACE (" + ", ".join(f"{v} AS {t}" for t, v in TARGET_COLS.items()) + """),
   CASE WHEN icorr > 0 THEN log10(icorr) END AS icorr_log10 FROM record)"""
 CAND = """cand AS (SELECT vec_id AS row_id, CAST(i - 1 AS INTEGER) AS elem_idx,
-  CAST(FLOOR(ABS(CAST(embedding[i] AS DOUBLE)) * 1000000) AS BIGINT) AS raw FROM embeddings, range(1, 40) AS r(i))"""
+  CAST(FLOOR(ABS(CAST(embedding[i] AS DOUBLE)) * 1000000) + COALESCE(FLOOR(ABS(CAST(embedding[i + 39] AS DOUBLE)) * 1000000), 0) AS BIGINT)
+  AS raw FROM embeddings, range(1, 40) AS r(i))"""
 
 
 def _matches(cls: int) -> str:
@@ -110,11 +111,11 @@ _FEATURE_ROWS = [RECORD, PHRASES, NOTED, COMP, PROPS, PAIRS, PARAMS, WIDE,
 
 
 def _feature_list(names: list[str]) -> str:
-    return ", ".join(f'CAST("{n}" AS DOUBLE) AS "{n}"' for n in names)
+    return ", ".join(f'COALESCE(CAST("{n}" AS DOUBLE), 0) AS "{n}"' for n in names)
 
 
 for _name, _cols in (("features_58", K.MECH_FEATURES), ("features_66", K.CORR_FEATURES)):
-    add(_name, _FEATURE_ROWS, f"SELECT row_id, {_feature_list(_cols)} FROM flagged JOIN wide USING (row_id) JOIN params USING (row_id)")
+    add(_name, _FEATURE_ROWS, f"SELECT row_id, {_feature_list(_cols)} FROM flagged LEFT JOIN wide USING (row_id) LEFT JOIN params USING (row_id)")
 
 # --- filters --------------------------------------------------------------------------
 
@@ -234,8 +235,8 @@ add("composition_bounds", [COMP, PROPS], """SELECT elem, CASE WHEN COUNT(row_id)
   THEN 0.0::DOUBLE ELSE CAST(MIN(amount) AS DOUBLE) END AS low, CAST(COALESCE(MAX(amount), 0) AS DOUBLE) AS high
   FROM props LEFT JOIN comp USING (elem_idx) GROUP BY elem""")
 ORACLE["domain_means"] = f"WITH {RECORD}, {COMP}, {PROPS}, {PAIRS}, {PARAMS} SELECT domain, " + ", ".join(
-    f"round(AVG({n}), 6) AS {n}" for n in ("delta", "tm")) + ", round(AVG(raw_params.entropy), 6) AS entropy, " + ", ".join(
-    f"round(AVG({n}), 6) AS {n}" for n in ("vec", "density")) + " FROM raw_params JOIN record USING (row_id) GROUP BY domain"
+    f"round(AVG(COALESCE(raw_params.{n}, 0)), 6) AS {n}" for n in ("delta", "tm", "entropy", "vec", "density")
+) + " FROM record LEFT JOIN raw_params USING (row_id) GROUP BY domain"
 add("sample_mappings", [RECORD, PHRASES, NOTED], """SELECT row_id, phrase, process_class FROM noted
   WHERE domain = 'corrosion' AND phrase IS NOT NULL AND phrase <> '0' ORDER BY row_id LIMIT 20""")
 
@@ -301,11 +302,12 @@ add("dense_relu", [CAND, _layer(0, "elem_idx AS i, raw AS value"), _layer(1, "u
 add("decode_candidates", [CAND, COMP, f"""bounds AS (SELECT elem_idx, CASE WHEN COUNT(*) < (SELECT COUNT(DISTINCT row_id) FROM comp)
   THEN 0 ELSE MIN(amount) END AS low, MAX(amount) AS high FROM comp GROUP BY elem_idx)"""],
     "SELECT row_id, elem_idx, CAST(raw * high + low AS DOUBLE) AS amount FROM cand JOIN bounds USING (elem_idx)")
+_OBJECTIVE_SQL = {"icorr_log10": "round(icorr_log10, 9)", "density": "COALESCE(density, 0)", "Al": 'COALESCE("Al", 0)'}
 add("objective_matrix", [RECORD, PREPARED, COMP, PROPS, WIDE], """, dens AS (SELECT row_id, CAST(SUM(amount * mass) AS DOUBLE)
   / SUM(amount * volume) AS density FROM comp JOIN props USING (elem_idx) GROUP BY row_id)
-  SELECT row_id, 0 - hardness AS f_hardness, 0 - elongation_pct AS f_elongation, 0 - ecorr_mv AS f_ecorr,
-  density AS f_density, CAST(0 - fcc AS DOUBLE) AS f_fcc, 0 - "Al" AS f_aluminum_content
-  FROM prepared JOIN dens USING (row_id) JOIN wide USING (row_id)""")
+  SELECT row_id, """ + ", ".join(
+    f"{'0 - ' if way == 'maximize' else ''}CAST({_OBJECTIVE_SQL.get(col, col)} AS DOUBLE) AS f_{name.lower().replace(' ', '_')}"
+    for name, (way, _, col) in K.OBJECTIVES.items()) + " FROM prepared LEFT JOIN dens USING (row_id) LEFT JOIN wide USING (row_id)")
 POINTS = """points AS (SELECT p_partkey AS id, p_retailprice AS o1, CAST(-p_size AS BIGINT) AS o2,
   (p_partkey * 7919) % 1000 AS o3 FROM part)"""
 
@@ -328,13 +330,13 @@ add("pareto_rank", [POINTS, RANKS], "SELECT id, o1, o2, o3, pareto_rank FROM ran
 
 def _gap(o: str) -> str:
     over = f"OVER (PARTITION BY pareto_rank ORDER BY {o}, id)"
-    return f"""CASE WHEN lead({o}) {over} IS NULL OR lag({o}) {over} IS NULL THEN NULL
-  ELSE CAST(lead({o}) {over} - lag({o}) {over} AS DOUBLE)
-  / CAST(MAX({o}) OVER (PARTITION BY pareto_rank) - MIN({o}) OVER (PARTITION BY pareto_rank) AS DOUBLE) END"""
+    span = f"MAX({o}) OVER (PARTITION BY pareto_rank) - MIN({o}) OVER (PARTITION BY pareto_rank)"
+    return f"""CASE WHEN pareto_rank IS NULL OR lead({o}) {over} IS NULL OR lag({o}) {over} IS NULL THEN NULL WHEN {span} = 0 THEN 0
+  ELSE CAST(lead({o}) {over} - lag({o}) {over} AS DOUBLE) / CAST({span} AS DOUBLE) END"""
 
 
 add("crowding_distance", [POINTS, RANKS], f"""SELECT id, pareto_rank, round((g1 + g2 + g3) / 3, 9) AS crowding FROM
-  (SELECT id, pareto_rank, {_gap('o1')} AS g1, {_gap('o2')} AS g2, {_gap('o3')} AS g3 FROM ranks WHERE pareto_rank <= 2)""")
+  (SELECT id, pareto_rank, {_gap('o1')} AS g1, {_gap('o2')} AS g2, {_gap('o3')} AS g3 FROM ranks)""")
 add("front_pairs", [RECORD, PREPARED], " UNION ALL ".join(
     f"SELECT row_id, '{title}' AS title, '{x}' AS x_name, '{y}' AS y_name, CAST({K.OBJECTIVES[x][2]} AS DOUBLE) AS x, "
     f"CAST({K.OBJECTIVES[y][2]} AS DOUBLE) AS y FROM prepared"
@@ -342,3 +344,38 @@ add("front_pairs", [RECORD, PREPARED], " UNION ALL ".join(
         ("Hardness", "Yield Strength", "Mechanical"), ("Hardness", "Ecorr", "Mech vs Corrosion"),
         ("Ecorr", "Epit", "Corrosion"), ("Hardness", "FCC", "Hardness vs FCC"),
     ]))
+
+# --- models ---------------------------------------------------------------------------
+# What must hold for every row, whatever the forests answer.
+
+_SEVEN = " UNION ALL ".join(f"SELECT row_id, '{t}' AS target, CAST({{}} AS DOUBLE) AS truth FROM prepared".format(
+    f"round({t}, 9)" if t == "icorr_log10" else t) for t in K.TARGETS)
+_MEDIA_LIST = ", ".join(f"'{m}'" for m in K.ELECTROLYTES)
+_OWN_ROWS = {t: f"domain = 'mechanical' AND {t} IS NOT NULL" if t in K.MECH_TARGETS else
+             f"domain = 'corrosion' AND electrolyte IN ({_MEDIA_LIST}) AND {t} IS NOT NULL" for t in K.TARGETS}
+add("rf_regress", [RECORD, PREPARED], f"SELECT *, TRUE AS in_range FROM ({_SEVEN})")
+add("rf_classify", [RECORD], " UNION ALL ".join(
+    f"SELECT '{p}' AS phase, COUNT(*) AS n, TRUE AS better_than_chance FROM record WHERE {p} IS NOT NULL "
+    f"AND {hash_sql('row_id', '14')} < {int(0.1 * 4294967296)}" for p in K.PHASE_FLAGS))
+add("cv_r2", [RECORD, PREPARED], " UNION ALL ".join(
+    f"SELECT '{K.TARGET_LABELS[t]}' AS property, COUNT(*) AS n, TRUE AS scored FROM prepared WHERE {_OWN_ROWS[t]}" for t in K.TARGETS))
+add("chained_impute", [RECORD, PREPARED], "SELECT row_id, " + ", ".join(
+    f"round({t}, 9) AS {t}" if t == "icorr_log10" else t for t in K.TARGETS) + ", 0 AS n_gaps FROM prepared")
+add("nested_cv_r2", [RECORD, PREPARED], " UNION ALL ".join(
+    f"SELECT '{t}' AS target, COUNT(*) AS n, TRUE AS scored FROM prepared WHERE {t} IS NOT NULL AND domain = "
+    f"'{'mechanical' if t in K.MECH_TARGETS else 'corrosion'}'" for t in K.TARGETS))
+add("batch_score", [RECORD], f"SELECT row_id, {len(K.TARGETS)} AS n_in_range FROM record")
+add("phase_probability", [RECORD], f"SELECT row_id, {len(K.PHASE_FLAGS)} AS n_probabilities FROM record")
+add("two_stage_score", [RECORD], f"SELECT row_id, {2 * len(K.PHASE_FLAGS)} AS n_flags, {len(K.TARGETS)} AS n_in_range FROM record")
+add("screen_report", [CAND, COMP, PROPS, f"""bounds AS (SELECT elem_idx, CASE WHEN COUNT(*) < (SELECT COUNT(DISTINCT row_id) FROM comp)
+  THEN 0 ELSE MIN(amount) END AS low, MAX(amount) AS high FROM comp GROUP BY elem_idx)""",
+  "amounts AS (SELECT row_id, elem_idx, CAST(raw * high + low AS DOUBLE) AS a FROM cand JOIN bounds USING (elem_idx))",
+  """facts AS (SELECT row_id, SUM(a) AS w, MAX(a) AS top, SUM(a * mass) / SUM(a * volume) AS density,
+  -SUM(CASE WHEN elem = 'Al' THEN a ELSE 0 END) AS al FROM amounts JOIN props USING (elem_idx) GROUP BY row_id)""",
+  f"kept AS (SELECT * FROM facts WHERE w > 0 AND top / w <= {K.MAX_FRACTION})",
+  """front AS (SELECT b.* FROM kept b WHERE NOT EXISTS (SELECT 1 FROM kept a WHERE a.density <= b.density AND a.al <= b.al
+  AND (a.density < b.density OR a.al < b.al)))""",
+  "best AS (SELECT row_id, CAST(arg_max(elem_idx - 32, raw * 100 - elem_idx) AS INTEGER) AS best FROM cand WHERE elem_idx >= 32 GROUP BY row_id)"],
+  f"""SELECT row_id, CAST(SUM(CASE WHEN a > {K.PRESENT_ABOVE} * w THEN 1 ELSE 0 END) AS INTEGER) AS n_elements,
+  CASE any_value(best) + 1 {_LABELS} ELSE 'Unknown' END AS process, 1.0::DOUBLE AS composition_sum, TRUE AS scored
+  FROM front JOIN amounts USING (row_id) JOIN best USING (row_id) GROUP BY row_id""")

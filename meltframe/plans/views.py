@@ -102,7 +102,9 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     amounts = amounts.withColumns({n: F.round(n, 6) for n in ("entropy", "omega")})
     record = noted_record(spark, sf_dir).withColumn("process_class", T.process_class(F.col("phrase")))
     record = C.add_test_environment(record.withColumns(C.process_flags()))
-    return C.prepare_targets(record).join(amounts, "row_id")
+    # a record without composition keeps its row: no amounts, parameters of an empty alloy
+    computed = [c for c in amounts.columns if c != "row_id"]
+    return C.prepare_targets(record).join(amounts, "row_id", "left").na.fill(0.0, subset=computed)
 
 
 def objective_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,13 +122,13 @@ def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate vectors: 39 whole non-negative entries, 32 element amounts then 7 process scores."""
-    return table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("row_id"),
-        F.transform(
-            F.slice("embedding", 1, 39), lambda e: F.floor(F.abs(e.cast("double")) * 1000000).cast("bigint")
-        ).alias("raw"),
-    )
+    """Candidate vectors: 39 whole non-negative entries, 32 element amounts then 7 process scores.
+
+    The 64 entries of a vector fold onto the 39: entry 40 adds to the first, 64 to the twenty-fifth.
+    """
+    whole = F.transform("embedding", lambda e: F.floor(F.abs(e.cast("double")) * 1000000).cast("bigint"))
+    folded = F.zip_with(F.slice(whole, 1, 39), F.slice(whole, 40, 39), lambda a, b: a + F.coalesce(b, F.lit(0)))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), folded.alias("raw"))
 
 
 def candidates_wide(spark: SparkSession, sf_dir: str) -> DataFrame:

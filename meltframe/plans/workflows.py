@@ -28,7 +28,7 @@ def fill_parameters(alloys: DataFrame) -> DataFrame:
     mask = F.col("domain") == "corrosion"
     held = alloys.withColumnsRenamed({n: f"_old_{n}" for n in K.EMPIRICAL})
     amounts = held.withColumns({f"_raw_{e}": F.col(e) for e in K.ELEMENTS})
-    fresh = comp.round_params(comp.with_params(comp.clean_amounts(amounts)))
+    fresh = comp.round_params(comp.with_params(amounts))
     return fresh.select(
         *[F.col(f"_raw_{c}").alias(c) if c in K.ELEMENT_INDEX
           else C.update_where(mask, F.col(c), F.col(f"_old_{c}")).alias(c) if c in K.EMPIRICAL
@@ -78,7 +78,9 @@ def _phases(table: DataFrame, forest: Forest) -> tuple[dict, DataFrame]:
 def train_separate(inputs: DataFrame, forest: Forest = REGRESSOR, phase_forest: Forest = CLASSIFIER,
                    folds: int = 5) -> Training:
     """Family A: one model per target on its observed rows, cross-validated; nothing is imputed."""
-    table = stored(models.with_vectors(inputs))
+    # the labels as given: the vectors fill a missing phase with 0, which is a feature and no label
+    labels = {f"_label_{p}": F.col(p) for p in K.PHASE_FLAGS}
+    table = stored(models.with_vectors(inputs.withColumns(labels)).withColumns({p: F.col(f"_label_{p}") for p in K.PHASE_FLAGS}))
     specs = models.family_a("features_58", "features_66")
     metrics = models.cv_r2(table, specs, folds, forest).withColumn("model_family", F.lit("A"))
     phases, accuracies = _phases(table, phase_forest)

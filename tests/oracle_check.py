@@ -57,7 +57,7 @@ def main() -> int:
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     wanted = sys.argv[2].split(",") if len(sys.argv) > 2 else None
     sf_dir = f"/root/testdata/sf{sf}"
-    spark, con = local_session(cores=8), connect(sf_dir)
+    spark, con = local_session(cores=int(os.environ.get("ORACLE_CORES", "8"))), connect(sf_dir)
     queries, oracle = entry.queries(), entry.oracle_sql()
     failed = 0
     for name in wanted or queries:

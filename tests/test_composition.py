@@ -62,6 +62,22 @@ def test_negative_and_missing_amounts_are_absent(spark):
     assert row["tm"] == 933.0 and row["density"] == pytest.approx(2.698)
 
 
+def test_presence_rule_is_part_of_every_operator(spark):
+    long = spark.createDataFrame([("x", 1, 2.0), ("x", 8, -1.0), ("x", 3, None)], "row_id string, elem_idx int, amount double")
+    assert [(r["elem_idx"], r["fraction"]) for r in comp.fractions(comp.to_wide(long)).collect()] == [(1, 1.0)]
+    assert comp.weighted_means(long, ["tm"]).first()["tm"] == comp.empirical_params(comp.to_wide(long)).first()["tm"] == 933.0
+    assert comp.mixture_density(long).first()["density"] == pytest.approx(2.698)
+    low = spark.createDataFrame([("x", 1, 2.0), ("x", 8, 0.001)], "row_id string, elem_idx int, amount double")
+    assert comp.fractions(comp.to_wide(low), above=0.01).count() == 1 and comp.fractions(comp.to_wide(low)).count() == 2
+
+
+def test_unknown_elements_fail(spark):
+    for index in (40, -1, None):
+        long = spark.createDataFrame([("x", 1, 2.0), ("x", index, 1.0)], "row_id string, elem_idx int, amount double")
+        with pytest.raises(Exception, match="unknown element index"):
+            comp.to_wide(long).collect()
+
+
 def test_forms_agree(spark):
     wide = comp.to_wide(long_table(spark, RECIPES))
     back = comp.to_wide(comp.to_long(wide))

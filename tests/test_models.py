@@ -70,7 +70,7 @@ def test_family_round_trip_and_two_stage_scores(spark, table, tmp_path):
     specs = [s for s in models.family_a("features_58", "features_66") if s.target in ("hardness", "icorr_log10")]
     family = models.Family(models.train_family(vectors, specs, FOREST), models.train_phases(vectors, FOREST, "features_58"))
     family.save(str(tmp_path / "family"))
-    loaded = models.Family.load(str(tmp_path / "family"), ["hardness", "icorr_log10"])
+    loaded = models.Family.load(str(tmp_path / "family"))
     cols = ["row_id", "hardness", "icorr_log10", *K.PHASE_FLAGS, *[f"{p}_probability" for p in K.PHASE_FLAGS]]
     a = models.two_stage_score(table, family).select(cols).orderBy("row_id").collect()
     b = models.two_stage_score(table, loaded).select(cols).orderBy("row_id").collect()
@@ -81,6 +81,40 @@ def test_family_round_trip_and_two_stage_scores(spark, table, tmp_path):
     assert (tmp_path / "family" / "feature_config").exists()
 
 
+def test_family_of_the_imputed_kind_round_trip(spark, table, tmp_path):
+    """Its mechanical models split on the environment too, so the feature list has to travel with them."""
+    specs = [s for s in models.family_b() if s.target == "hardness"]
+    family = models.Family(models.train_family(table, specs, FOREST), models.train_phases(table, FOREST), K.CORR_FEATURES)
+    family.save(str(tmp_path / "b"))
+    loaded = models.Family.load(str(tmp_path / "b"))
+    assert loaded.mech_features == list(K.CORR_FEATURES)
+    a, b = [models.two_stage_score(table, f).select("row_id", "hardness").orderBy("row_id").collect() for f in (family, loaded)]
+    assert a == b
+
+
+def test_imputer_leaves_an_empty_column_and_an_empty_table(spark, simple):
+    holes = simple.withColumns({"q": F.when(F.col("row_id") % 9 != 0, F.col("q")), "none": F.lit(None).cast("double")})
+    imputer = impute.ChainedImputer(["p", "q", "none"], rounds=2, forest=FOREST)
+    model, filled = imputer.fit_transform(holes)
+    assert [c for c, _ in model.steps[0]] == ["q"]
+    assert filled.where("none is not null or q is null").isEmpty() and filled.count() == 600
+    assert model.transform(holes).where("none is not null or q is null").isEmpty()
+    assert imputer.fit_transform(holes.where("false"))[1].isEmpty()
+
+
+def test_forest_does_not_follow_the_session(spark, simple):
+    def run(partitions):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        model = models.fit_regressor(simple, "label", ["p", "q", "r"], FOREST)
+        return models.predict(simple, {"guess": model}, ["p", "q", "r"]).agg(F.sum("guess")).first()[0]
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert run("8") == pytest.approx(run("5"), abs=1e-9)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_honest_classifier_does_not_see_its_label(table):
     with_label = models.train_phases(table, FOREST)["fcc"]
     honest = models.train_phases(table, FOREST, include_phase=False)["fcc"]

@@ -69,9 +69,12 @@ def test_ranks_and_crowding_match_brute_force(spark):
     got = {r["id"]: r["pareto_rank"] for r in ranked.collect()}
     expected = brute_ranks(rows, 3)
     assert got == {i: expected.get(i) for i in range(len(rows))}
-    for buckets in (64, 4):
-        crowd = {r["id"]: r["crowding"] for r in pareto.crowding_distance(ranked, OBJ, buckets=buckets).collect()}
-        assert set(crowd) == set(expected)
+    everyone = {r["id"]: r["pareto_rank"] for r in pareto.pareto_rank(df, OBJ, block_rows=16, best_rows=4).collect()}
+    assert everyone == brute_ranks(rows, len(rows))
+    for bucket_values in (20_000, 3):
+        crowd = {r["id"]: r["crowding"] for r in pareto.crowding_distance(ranked, OBJ, bucket_values=bucket_values).collect()}
+        assert set(crowd) == set(range(len(rows)))
+        assert all(crowd[i] is None for i in crowd if i not in expected)
         for rank in (1, 2, 3):
             ids = [i for i, k in expected.items() if k == rank]
             total = {i: 0.0 for i in ids}

@@ -15,11 +15,11 @@ def wide_of(spark, recipes):
 
 
 def test_request_checks():
-    with pytest.raises(ValueError, match="no elements allowed"):
+    with pytest.raises(ValueError, match="pool is empty"):
         screen.ScreenRequest(allowed=[]).validate()
-    with pytest.raises(ValueError, match="not in the allowed pool"):
+    with pytest.raises(ValueError, match="required but banned"):
         screen.ScreenRequest(allowed=["Al", "Fe"], required=["Ni"]).validate()
-    with pytest.raises(ValueError, match="two objectives"):
+    with pytest.raises(ValueError, match="two different objectives"):
         screen.ScreenRequest(objectives=["Density"]).validate()
     with pytest.raises(ValueError, match="unknown"):
         screen.ScreenRequest(required=["Xx"]).validate()
@@ -58,7 +58,7 @@ def test_dense_layers_match_numpy(spark):
     table = spark.createDataFrame(rows, "layer int, unit int, input int, weight double")
     x = g.uniform(-3, 3, (50, 10))
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "row_id long, latent array<double>")
-    out = screen.dense_relu(df, "latent", screen.layer_weights(table)).orderBy("row_id").collect()
+    out = screen.dense_relu(df, "latent", screen.layer_weights(table, (10, 39, 39, 39))).orderBy("row_id").collect()
     for m, b in layers:
         x = np.maximum(x @ m.T + b, 0)
     assert np.allclose([r["raw"] for r in out], x)
@@ -67,6 +67,19 @@ def test_dense_layers_match_numpy(spark):
         screen.dense_relu(short, "latent", layers).collect()
 
 
+def test_weights_must_be_complete_and_unique(spark):
+    rows = [(0, u, i, 0.5) for u in range(2) for i in range(-1, 3)]
+
+    def read(given):
+        return screen.layer_weights(spark.createDataFrame(given, "layer int, unit int, input int, weight double"), (3, 2))
+
+    (matrix, bias), = read(rows)
+    assert matrix.shape == (2, 3) and bias.tolist() == [0.5, 0.5]
+    for wrong in (rows[1:], [*rows, rows[0]], [*rows[1:], (0, 0, 7, 1.0)], [*rows[1:], (*rows[0][:3], None)], []):
+        with pytest.raises(ValueError, match="8 weights are declared"):
+            read(wrong)
+
+
 def test_candidates_follow_the_key_alone(spark):
     a = screen.latent_candidates(spark.range(100), "id").orderBy("id").collect()
     b = screen.latent_candidates(spark.range(100).repartition(7), "id").orderBy("id").collect()
