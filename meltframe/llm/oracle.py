@@ -94,3 +94,51 @@ p AS (SELECT q.vec_id AS query_id, v.vec_id, sqrt(list_sum(list_transform(list_z
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INT) AS rank, vec_id, score
 FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) <= 10
 """
+
+
+def _framed(column: str) -> str:
+    return f"coalesce(strlen(CAST({column} AS VARCHAR)) || ':' || {column}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_framed(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+# CRC-32 bit by bit over the ASCII codes of the decimal id
+_CRC32 = """xor(4294967295, list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))))"""
+
+ORACLE_SQL["op13_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, {_leaf("text")} AS leaf, CASE WHEN {_CRC32} % 5 = 0 THEN {_leaf(f"translate(text, '{UPPER}', '{UPPER.lower()}')")} END AS altered
+  FROM documents),
+p AS (SELECT row_number() OVER () AS row, doc_id, leaf, altered, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, altered) - 1 AS spot FROM d),
+n(tree, lvl, spot, width, digest) AS (
+  SELECT tree, 0, spot, count(*) OVER (PARTITION BY tree), leaf FROM p
+  UNION ALL SELECT tree, lvl + 1, spot // 16, (width + 15) // 16, sha256(string_agg(digest, '' ORDER BY spot)) FROM n WHERE width > 1
+  GROUP BY tree, lvl, spot // 16, width),
+s AS (SELECT tree, digest AS subroot FROM n WHERE width = 1),
+m(lvl, spot, width, digest) AS (
+  SELECT 0, tree, count(*) OVER (), subroot FROM s
+  UNION ALL SELECT lvl + 1, spot // 16, (width + 15) // 16, sha256(string_agg(digest, '' ORDER BY spot)) FROM m WHERE width > 1 GROUP BY lvl, spot // 16, width),
+r AS (SELECT digest AS root FROM m WHERE width = 1),
+h AS (SELECT tree, max(lvl) AS height FROM n GROUP BY tree),
+-- one step per level of the source's tree, then of the tree of subroots
+step(row, tree, lvl, spot, node, proof) AS (
+  SELECT row, tree, 0, spot, coalesce(altered, leaf), '' FROM p
+  UNION ALL SELECT row, tree, lvl + 1, any_value(CASE WHEN lvl + 1 = height THEN tree ELSE spot // 16 END),
+    sha256(string_agg(CASE WHEN mine THEN node ELSE digest END, '' ORDER BY sibling)),
+    any_value(proof) || coalesce(string_agg(digest, '' ORDER BY sibling) FILTER (WHERE NOT mine), '')
+  FROM (
+    SELECT step.*, h.height, x.spot AS sibling, x.digest, x.spot = step.spot AS mine FROM step JOIN h USING (tree)
+    JOIN n x ON x.tree = step.tree AND x.lvl = step.lvl AND x.spot // 16 = step.spot // 16 WHERE step.lvl < h.height AND x.width > 1
+    UNION ALL
+    SELECT row, tree, u.lvl, u.at_top, node, proof, -1, x.spot, x.digest, x.spot = u.at_top
+    FROM (SELECT step.*, height, CASE WHEN lvl = height THEN tree ELSE spot END AS at_top FROM step JOIN h USING (tree) WHERE lvl >= height) u
+    JOIN m x ON x.lvl = u.lvl - u.height AND x.width > 1 AND x.spot // 16 = u.at_top // 16)
+  GROUP BY row, tree, lvl),
+last AS (SELECT row, arg_max(node, lvl) AS folded_root, arg_max(proof, lvl) AS proof FROM step GROUP BY row)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM p JOIN last USING (row) JOIN s USING (tree), r
+"""

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meltframe.llm import chat, exact_dedup, language, mixing, near_dedup, neighbours, sentencepieces, token_files, toxicity, warc
-from meltframe.llm.common import table
+from meltframe.llm import chat, exact_dedup, language, merkle, mixing, near_dedup, neighbours, sentencepieces, token_files, toxicity, warc
+from meltframe.llm.common import ascii_lower, table
 from meltframe.llm.oracle import ORACLE_SQL  # noqa: F401 - read from here by the entry
 from meltframe.session import shared_path, tune
 
@@ -111,3 +111,11 @@ def op9_exact_dedup(spark, d):
 def op10_nearest_vectors(spark, d):
     """The ten nearest vectors of every hundredth vector, among all."""
     return neighbours.nearest(table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query
+def op13_merkle_manifest(spark, d):
+    """All documents with their proofs, and what the proofs say of those whose text was lower-cased."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = merkle.manifest(table(spark, d, "documents"), altered=F.when(tampered, ascii_lower(F.col("text"))))
+    return merkle.digests(found)
