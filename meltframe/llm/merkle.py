@@ -28,7 +28,8 @@ from meltframe.session import free, stored
 
 FANOUT = 16
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
-RESULT = "doc_id long, leaf string, subroot string, root string, path array<struct<before:string,after:string>>, altered string"
+PATH = "array<struct<before:string,after:string>>"
+RESULT = f"doc_id long, leaf string, subroot string, root string, path {PATH}, altered string"
 
 
 def hashed(*parts: Column) -> Column:
@@ -117,14 +118,18 @@ def levels(nodes: DataFrame, carried: Sequence[str] = ()) -> tuple[list[DataFram
     return runs, tops
 
 
-def descend(runs: list[DataFrame], tops: list[DataFrame], top_paths: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
-    """Paths of the lowest nodes; `top_paths` has the path above the top of each tree (tree, subroot, path)."""
+def descend(runs: list[DataFrame], tops: list[DataFrame], top_paths: DataFrame | None, carried: Sequence[str] = ()) -> DataFrame:
+    """Paths of the lowest nodes; `top_paths` has the path above the top of each tree (tree, subroot, path), or is None where the
+    trees' tops have nothing above them."""
     paths = None
     for level in reversed(range(len(tops))):
         kept = carried if level == 0 else ()
-        above = top_paths.select(F.col("tree").alias("of"), "subroot", "path")
-        # one row per tree that ends on this level
-        ends = tops[level].join(above, F.col("tree") == F.col("of")).select("tree", "at", "digest", *kept, "subroot", "path")
+        if top_paths is None:
+            ends = tops[level].withColumn("subroot", F.lit(None).cast("string")).withColumn("path", F.array().cast(PATH))
+        else:
+            # one row per tree that ends on this level
+            ends = tops[level].join(top_paths.withColumnRenamed("tree", "of"), F.col("tree") == F.col("of"))
+        ends = ends.select("tree", "at", "digest", *kept, "subroot", "path")
         paths = ends if paths is None else ends.unionByName(children(runs[level], paths, kept))
         if level:
             paths = stored(paths)
@@ -152,9 +157,7 @@ def manifest(docs: DataFrame, altered: Column | None = None) -> DataFrame:
     subroots = ranked(ends, "tree", [F.col("source").asc_nulls_first()])
     upper_runs, upper_tops = levels(subroots, ("member",))
     root = upper_tops[-1].first()["digest"]
-    no_path = F.array().cast("array<struct<before:string,after:string>>")
-    start = spark.range(1).select(F.lit("").alias("tree"), F.lit(None).cast("string").alias("subroot"), no_path.alias("path"))
-    source_paths = descend(upper_runs, upper_tops, start, ("member",))
+    source_paths = descend(upper_runs, upper_tops, None, ("member",))
     source_paths = stored(source_paths.select(F.col("member").alias("tree"), F.col("digest").alias("subroot"), "path"))
     free(*upper_runs)
     paths = descend(runs, tops, source_paths, carried)

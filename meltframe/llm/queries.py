@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meltframe.llm import chat, exact_dedup, language, merkle, mixing, near_dedup, neighbours, sentencepieces, token_files, toxicity, warc
+from meltframe.llm import chat, exact_dedup, language, merkle, mixing, near_dedup, neighbours, packing, sentencepieces, token_files, toxicity, warc
 from meltframe.llm.common import ascii_lower, table
 from meltframe.llm.oracle import ORACLE_SQL  # noqa: F401 - read from here by the entry
 from meltframe.session import shared_path, tune
@@ -119,3 +119,9 @@ def op13_merkle_manifest(spark, d):
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     found = merkle.manifest(table(spark, d, "documents"), altered=F.when(tampered, ascii_lower(F.col("text"))))
     return merkle.digests(found)
+
+
+@query
+def op11_best_fit_packing(spark, d):
+    """Every document tokenised and packed into sequences of 2048 tokens."""
+    return packing.pack(table(spark, d, "documents"), tokenizer("word_bpe_49k.json"), end_id=0, capacity=2_048)
