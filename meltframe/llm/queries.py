@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meltframe.llm import chat, exact_dedup, language, merkle, mixing, near_dedup, neighbours, packing, sentencepieces, token_files, toxicity, warc
+from meltframe.llm import chat, exact_dedup, language, merkle, mixing, near_dedup, neighbours, packing, sentencepieces, token_files, toxicity, warc, whitening
 from meltframe.llm.common import ascii_lower, table
 from meltframe.llm.oracle import ORACLE_SQL  # noqa: F401 - read from here by the entry
 from meltframe.session import shared_path, tune
@@ -125,3 +125,9 @@ def op13_merkle_manifest(spark, d):
 def op11_best_fit_packing(spark, d):
     """Every document tokenised and packed into sequences of 2048 tokens."""
     return packing.pack(table(spark, d, "documents"), tokenizer("word_bpe_49k.json"), end_id=0, capacity=2_048)
+
+
+@query
+def op12_embedding_whitening(spark, d):
+    """Every vector whitened along the 16 components of largest variance."""
+    return whitening.whiten(table(spark, d, "embeddings"), most=16)
