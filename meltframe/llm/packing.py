@@ -16,6 +16,7 @@ are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,6 +38,8 @@ SLACK = 8
 LOCAL_ITEMS = 65_536
 GROUP_ITEMS = 65_536
 FAN_IN_BITS = 3
+# Runs of marks a worker remembers.
+MARKS_REMEMBERED = 10_000
 PART_BITS = 33
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long"
@@ -46,15 +49,20 @@ MOVE_SCHEMA = "bin long, into long, shift long, fill long"
 class WordEncoder:
     """Ids of texts by a vocabulary that drops white space, so that words are encoded apart."""
 
-    MARKS = ".,;:!?"
+    # Latin letters whose lower case does not depend on their neighbours and that compose with nothing, then ASCII marks
+    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([!-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
-        self.marks = {m: self.by_library(m) for m in self.MARKS}
+        as_text = ByteLevel(add_prefix_space=False, use_regex=False)
+        # the byte-level alphabet's form of each letter
+        self.letters = {i: as_text.pre_tokenize_str(chr(i))[0][0] for i in range(0x80, 0x180)}
+        self.marks: dict[str, bytes] = {}
         self.memory = wordids.Memory(self.word)
 
     def by_library(self, text: str) -> bytes:
@@ -62,13 +70,19 @@ class WordEncoder:
 
     def word(self, text: str) -> bytes:
         """Ids of a part of a document without ASCII white space."""
-        if text.isascii():
-            core = text[:-1] if text[-1:] in self.marks else text
-            if core.isalpha():
-                # letters are one word of the pre-tokeniser and read as they are in lower case; a mark after them is another
-                ids = wordids.packed([t.id for t in self.model.tokenize(core.lower())])
-                return ids if core is text else ids + self.marks[text[-1]]
-        return self.by_library(text)
+        plain = self.PLAIN.fullmatch(text)
+        if not plain:
+            return self.by_library(text)
+        core, tail = plain.groups()
+        if tail:
+            # letters are one word of the pre-tokeniser, the marks after them another
+            if tail not in self.marks:
+                if len(self.marks) >= MARKS_REMEMBERED:
+                    self.marks.clear()
+                self.marks[tail] = self.by_library(tail)
+            return self.memory.get(core) + self.marks[tail]
+        lower = core.lower()
+        return wordids.packed([t.id for t in self.model.tokenize(lower if lower.isascii() else lower.translate(self.letters))])
 
     def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another (unsigned), and where each text's begin."""

@@ -8,8 +8,8 @@ A file row is doc_id, row (position in its file), ahead (ids before it in its fi
 a sum of ids per file, so no single task passes over the rows.
 
 Encoding is the tokenizers library's, one piece of text at a time: a blank between two other characters always starts a new token of
-the byte-level pre-tokeniser, so a text is cut there and each piece is encoded once per worker and remembered. Texts in which blanks
-stand in a run with other white space are encoded whole.
+the byte-level pre-tokeniser, so texts are cut there, a batch of them at once; each different piece is encoded once per worker and
+remembered, and ids are gathered. Texts in which blanks stand in a run with other white space are cut one by one, or encoded whole.
 
 Defined results: null text is empty, so its document is the end id alone; null doc_ids come first; rows with equal ids follow each
 other in order of their text; an empty table gives files without rows; other columns are ignored.
@@ -21,23 +21,24 @@ import math
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from meltframe.llm import wordids
 from meltframe.llm.common import maybe_broadcast, per_worker
 from meltframe.session import stored
 
 FILE_SCHEMA = "doc_id long, row long, ahead long, n_tokens int, ids array<int>"
 # Bytes of text a file takes, about.
 FILE_BYTES = 256 << 20
-# Pieces of a generation in a worker's memory; when one is full, the one before it is forgotten.
-REMEMBERED = 350_000
+# Pieces after a line feed that a worker remembers.
+LINES_REMEMBERED = 90_000
 
 
 class PieceEncoder:
@@ -55,28 +56,23 @@ class PieceEncoder:
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.bytes_as_text = ByteLevel(add_prefix_space=False, use_regex=False)
-        # ids of a blank and the key, of two generations; ids of a line feed and the key
-        self.pieces: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        # ids of a blank and the key; ids of a line feed and the key
+        self.pieces = wordids.Memory(self.piece_of)
         self.lines: dict[str, bytes] = {}
         self.marks = {m: self.by_library(m) for m in self.MARKS}
         self.line = self.by_library("\n")
         # the byte-level alphabet's form of a blank
         self.blank = self.bytes_as_text.pre_tokenize_str(" ")[0][0]
 
-    @staticmethod
-    def packed(ids: list[int]) -> bytes:
-        return array("I", ids).tobytes()
-
     def by_library(self, text: str) -> bytes:
-        return self.packed(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        return wordids.packed(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
     def word(self, blank: str, text: str) -> bytes:
         """Ids of a part of a document without blanks; `blank` stands before it or nothing does."""
         if text.isalpha():
             # one token of the pre-tokeniser, so the model alone decides; it reads the byte-level alphabet
             letters = (self.blank if blank else "") + text if text.isascii() else self.bytes_as_text.pre_tokenize_str(blank + text)[0][0]
-            return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            return wordids.packed([t.id for t in self.model.tokenize(letters)])
         if text[-1:] in self.marks and text[:-1].isalpha():
             return (self.piece(text[:-1]) if blank else self.word(blank, text[:-1])) + self.marks[text[-1]]
         if "\n" in text:
@@ -89,20 +85,17 @@ class PieceEncoder:
     def piece(self, text: str) -> bytes:
         """Ids of a blank and `text`, a part of a document without blanks."""
         known = self.pieces.get(text)
-        if known is None:
-            known = self.older.get(text)
-            if known is None:
-                known = self.word(" ", text)
-            if len(self.pieces) >= REMEMBERED:
-                self.older, self.pieces = self.pieces, {}
-            self.pieces[text] = known
-        return known
+        return self.word(" ", text) if known is None else known
+
+    def piece_of(self, text: str) -> bytes | None:
+        """The same, or None where the blank before or after may be in a run of white space."""
+        return None if not text or text[0].isspace() or text[-1].isspace() else self.word(" ", text)
 
     def line_piece(self, text: str) -> bytes:
         """Ids of a line feed and `text`."""
         known = self.lines.get(text)
         if known is None:
-            if len(self.lines) >= REMEMBERED // 4:
+            if len(self.lines) >= LINES_REMEMBERED:
                 self.lines.clear()
             known = self.lines[text] = self.line + self.word("", text)
         return known
@@ -111,28 +104,31 @@ class PieceEncoder:
         if self.JOINED.search(text):
             return self.by_library(text)
         first, *rest = text.split(" ")
-        out = list(map(self.pieces.get, rest))
-        if None in out:
-            out = [self.piece(rest[i]) if known is None else known for i, known in enumerate(out)]
-        return b"".join([self.word("", first), *out])
+        return b"".join([self.first(first), *map(self.piece, rest)])
+
+    def first(self, text: str) -> bytes:
+        return self.word("", text)
+
+    def encode_all(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another (unsigned), and where each text's begin."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        parts, bounds = wordids.part_bounds(pc.split_pattern(texts, " "))
+        return wordids.gather(parts, bounds, self.pieces, end_id, lambda i: self.encode(texts[i].as_py()), self.first)
 
 
 def _encode(path: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_worker(("piece encoder", path), lambda: PieceEncoder(path))
-        end = PieceEncoder.packed([end_id])
         row = ahead = 0
         for whole in batches:
-            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-                ids = [encoder.encode(t or "") + end for t in batch["text"].to_pylist()]
-                sizes = np.array([len(x) // 4 for x in ids], np.int64)
-                offsets = np.concatenate([[0], np.cumsum(sizes)])
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                rows = pa.array(np.arange(row, row + len(ids)))
+            for batch in wordids.slices(whole):
+                ids, offsets = encoder.encode_all(batch["text"], end_id)
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32)))
+                rows = pa.array(np.arange(row, row + batch.num_rows))
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"], rows, pa.array(ahead + offsets[:-1]), pa.array(sizes.astype(np.int32)), lists],
+                    [batch["doc_id"], rows, pa.array(ahead + offsets[:-1]), pa.array(np.diff(offsets).astype(np.int32)), lists],
                     ["doc_id", "row", "ahead", "n_tokens", "ids"])
-                row, ahead = row + len(ids), ahead + int(offsets[-1])
+                row, ahead = row + batch.num_rows, ahead + int(offsets[-1])
     return encode
 
 

@@ -14,28 +14,46 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Parts of a generation in a worker's memory; when one is full, the one before it is forgotten.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 # Bytes of text handled at once, unless one text is longer.
-BYTES_AT_ONCE = 4 << 20
+BYTES_AT_ONCE = 8 << 20
 
 
 class Memory:
-    """Ids of parts as little-endian bytes, two generations of them."""
+    """Ids of parts as little-endian bytes, two generations of them; None for a part whose text must be encoded as a whole."""
+
+    ODD = 0
 
     def __init__(self, make: Callable[[str], bytes | None]):
         self.make = make
-        self.young: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
+        self.young: dict[str, bytes | int] = {}
+        self.old: dict[str, bytes | int] = {}
+
+    def _remember(self, part: str) -> bytes | int:
+        known = self.old.get(part)
+        if known is None:
+            known = self.make(part)
+            if known is None:
+                known = self.ODD
+        if len(self.young) >= REMEMBERED:
+            self.old, self.young = self.young, {}
+        self.young[part] = known
+        return known
 
     def get(self, part: str) -> bytes | None:
-        try:
-            return self.young[part]
-        except KeyError:
-            known = self.old[part] if part in self.old else self.make(part)
-            if len(self.young) >= REMEMBERED:
-                self.old, self.young = self.young, {}
-            self.young[part] = known
-            return known
+        known = self.young.get(part)
+        if known is None:
+            known = self._remember(part)
+        return None if known is self.ODD else known
+
+    def get_all(self, parts: list[str]) -> tuple[list[bytes], list[int]]:
+        """Ids of different parts (empty for odd ones), and the places of the odd ones."""
+        known = list(map(self.young.get, parts))
+        known = [self._remember(p) if k is None else k for p, k in zip(parts, known)]
+        odd = [i for i, k in enumerate(known) if k is self.ODD] if self.ODD in known else []
+        for i in odd:
+            known[i] = b""
+        return known, odd
 
 
 def packed(ids: list[int]) -> bytes:
@@ -55,39 +73,53 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = BYTES_AT_ONC
 
 
 def gather(parts: pa.Array, bounds: np.ndarray, memory: Memory, end_id: int | None,
-           whole: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray]:
+           whole: Callable[[int], bytes], first: Callable[[str], bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, and where each text's ids begin (one more than texts).
 
-    `parts` are the parts of all texts, text i having parts bounds[i]:bounds[i + 1]. Where the memory has None for a part, the text's
-    ids come from `whole(i)`.
+    `parts` are the parts of all texts, text i having parts bounds[i]:bounds[i + 1] and at least one. Where the memory has None for a
+    part, the text's ids come from `whole(i)`. A text's first part is encoded by `first`, if that is given.
     """
     coded = parts.dictionary_encode()
-    known = list(map(memory.get, coded.dictionary.to_pylist()))
-    codes = coded.indices.to_numpy().astype(np.int64)
-    n = len(bounds) - 1
-    odd = np.fromiter((k is None for k in known), bool, len(known))
-    if odd.any():
-        hit = np.concatenate([[0], np.cumsum(odd[codes])])
+    words = coded.dictionary.to_pylist()
+    known, odd = memory.get_all(words)
+    codes = coded.indices.to_numpy()
+    if odd or first:
+        codes = codes.copy()
+    nothing = len(known)
+    known.append(b"")
+    begin = codes[bounds[:-1]]
+    if odd:
+        is_odd = np.zeros(nothing, bool)
+        is_odd[odd] = True
+        hit = np.concatenate([[0], np.cumsum(is_odd[codes])])
         for i in np.flatnonzero(hit[bounds[1:]] > hit[bounds[:-1]]).tolist():
             # the text's first part stands for all of it, its other parts for nothing
-            at, stop = bounds[i], bounds[i + 1]
-            codes[at + 1:stop] = -1
-            codes[at] = len(known)
+            codes[bounds[i]:bounds[i + 1]] = nothing
+            codes[bounds[i]] = len(known)
             known.append(whole(i))
-        known = [k or b"" for k in known]
-    if end_id is not None:
-        codes = np.insert(codes, bounds[1:], len(known))
-        bounds = bounds + np.arange(n + 1)
-        known.append(packed([end_id]))
-    known.append(b"")  # code -1
+            begin[i] = -1
+    if first:
+        for i, code in enumerate(begin.tolist()):
+            if code >= 0:
+                codes[bounds[i]] = len(known)
+                known.append(first(words[code]))
     sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
     flat = np.frombuffer(b"".join(known), "<u4")
-    starts = np.cumsum(sizes) - sizes
     counts = sizes[codes]
     ends = np.cumsum(counts)
-    total = int(ends[-1]) if len(ends) else 0
-    ids = flat[np.repeat(starts[codes] - (ends - counts), counts) + np.arange(total)]
-    return ids, np.concatenate([[0], ends])[bounds]
+    starts = np.concatenate([[0], ends])[bounds]
+    total = int(starts[-1])
+    # where a part's ids lie in `flat`, less where they go; all of it fits 32 bits unless a text is very long
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    shift = ((np.cumsum(sizes) - sizes)[codes] - (ends - counts)).astype(kind)
+    source = np.repeat(shift, counts)
+    source += np.arange(total, dtype=kind)
+    ids = flat[source]
+    if end_id is not None:
+        n = len(bounds) - 1
+        ids = np.insert(ids, starts[1:], np.uint32(end_id))
+        starts = starts + np.arange(n + 1)
+    return ids, starts
 
 
 def part_bounds(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -2,10 +2,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from meltframe.llm import token_files as T
+from meltframe.llm import wordids as W
 
 tokenizers = pytest.importorskip("tokenizers")
 
@@ -29,11 +31,15 @@ def expected(vocabulary, rows):
 
 
 def test_pieces_equal_the_library(vocabulary, monkeypatch):
-    monkeypatch.setattr(T, "REMEMBERED", 50)
+    monkeypatch.setattr(W, "REMEMBERED", 50)
     library, encoder, rng = tokenizers.Tokenizer.from_file(vocabulary), T.PieceEncoder(vocabulary), random.Random(2)
     letters = "abcdeéß'.,!? \n\t   0123½²  中_<|>"
     for text in TEXTS + ["".join(rng.choices(letters, k=rng.randrange(60))) for _ in range(800)]:
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    texts = TEXTS + [None] + ["".join(rng.choices(letters, k=rng.randrange(60))) for _ in range(2_000)]
+    ids, bounds = encoder.encode_all(pa.array(texts, pa.string()).slice(3), 0)
+    for text, a, b in zip(texts[3:], bounds[:-1], bounds[1:]):
+        assert ids[a:b].tolist() == library.encode(text or "", add_special_tokens=False).ids + [0], text
 
 
 def test_files_round_trip(docs_of, spark, vocabulary, tmp_path, monkeypatch):
