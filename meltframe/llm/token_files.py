@@ -37,8 +37,8 @@ from meltframe.session import stored
 FILE_SCHEMA = "doc_id long, row long, ahead long, n_tokens int, ids array<int>"
 # Bytes of text a file takes, about.
 FILE_BYTES = 256 << 20
-# Pieces after a line feed that a worker remembers.
-LINES_REMEMBERED = 90_000
+# Runs of marks a worker remembers.
+MARKS_REMEMBERED = 10_000
 
 
 class PieceEncoder:
@@ -46,7 +46,8 @@ class PieceEncoder:
 
     # a blank that has white space on both sides, or ends the text after some: its neighbours belong to one token
     JOINED = re.compile(r"\s (?:\s|\Z)")
-    MARKS = ".,;:!?"
+    # Latin letters, then ASCII marks
+    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ſ]+)([!-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,56 +56,61 @@ class PieceEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
-        self.bytes_as_text = ByteLevel(add_prefix_space=False, use_regex=False)
-        # ids of a blank and the key; ids of a line feed and the key
-        self.pieces = wordids.Memory(self.piece_of)
-        self.lines: dict[str, bytes] = {}
-        self.marks = {m: self.by_library(m) for m in self.MARKS}
+        as_text = ByteLevel(add_prefix_space=False, use_regex=False)
+        # the byte-level alphabet's form of letters and of a blank
+        self.letters = {i: as_text.pre_tokenize_str(chr(i))[0][0] for i in range(0x80, 0x180)}
+        self.blank = as_text.pre_tokenize_str(" ")[0][0]
         self.line = self.by_library("\n")
-        # the byte-level alphabet's form of a blank
-        self.blank = self.bytes_as_text.pre_tokenize_str(" ")[0][0]
+        self.marks: dict[str, bytes] = {}
+        self.pieces = wordids.Memory(self.piece_of)
 
     def by_library(self, text: str) -> bytes:
         return wordids.packed(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
     def word(self, blank: str, text: str) -> bytes:
         """Ids of a part of a document without blanks; `blank` stands before it or nothing does."""
-        if text.isalpha():
-            # one token of the pre-tokeniser, so the model alone decides; it reads the byte-level alphabet
-            letters = (self.blank if blank else "") + text if text.isascii() else self.bytes_as_text.pre_tokenize_str(blank + text)[0][0]
-            return wordids.packed([t.id for t in self.model.tokenize(letters)])
-        if text[-1:] in self.marks and text[:-1].isalpha():
-            return (self.piece(text[:-1]) if blank else self.word(blank, text[:-1])) + self.marks[text[-1]]
+        plain = self.PLAIN.fullmatch(text)
+        if plain:
+            core, tail = plain.groups()
+            if tail:
+                # letters are one token of the pre-tokeniser, the marks after them another
+                return (self.piece(core) if blank else self.word(blank, core)) + self.tail(tail)
+            # the model alone decides; it reads the byte-level alphabet
+            letters = core if core.isascii() else core.translate(self.letters)
+            return wordids.packed([t.id for t in self.model.tokenize(self.blank + letters if blank else letters)])
         if "\n" in text:
             first, *lines = text.split("\n")
             # a line feed between two other characters is a token of its own
             if first and all(lines) and not any(c.isspace() for line in (first, *lines) for c in (line[0], line[-1])):
-                return (self.piece(first) if blank else self.word(blank, first)) + b"".join(map(self.line_piece, lines))
+                return (self.piece(first) if blank else self.word(blank, first)) + b"".join([self.piece("\n" + x) for x in lines])
         return self.by_library(blank + text)
 
-    def piece(self, text: str) -> bytes:
-        """Ids of a blank and `text`, a part of a document without blanks."""
-        known = self.pieces.get(text)
-        return self.word(" ", text) if known is None else known
-
-    def piece_of(self, text: str) -> bytes | None:
-        """The same, or None where the blank before or after may be in a run of white space."""
-        return None if not text or text[0].isspace() or text[-1].isspace() else self.word(" ", text)
-
-    def line_piece(self, text: str) -> bytes:
-        """Ids of a line feed and `text`."""
-        known = self.lines.get(text)
-        if known is None:
-            if len(self.lines) >= LINES_REMEMBERED:
-                self.lines.clear()
-            known = self.lines[text] = self.line + self.word("", text)
-        return known
+    def tail(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) >= MARKS_REMEMBERED:
+                self.marks.clear()
+            self.marks[marks] = self.by_library(marks)
+        return self.marks[marks]
+
+    def piece(self, part: str) -> bytes:
+        """Ids of a blank and `part`, a part of a document without blanks; of `part` alone where it begins with a line feed."""
+        known = self.pieces.get(part)
+        return self.word(" ", part) if known is None else known
+
+    def piece_of(self, part: str) -> bytes | None:
+        """The same, or None where the blank or line feed before or after may be in a run of white space."""
+        line = part[:1] == "\n"
+        text = part[1:] if line else part
+        if not text or text[0].isspace() or text[-1].isspace():
+            return None
+        return self.line + self.word("", text) if line else self.word(" ", text)
 
     def encode(self, text: str) -> bytes:
         if self.JOINED.search(text):
             return self.by_library(text)
         first, *rest = text.split(" ")
-        return b"".join([self.first(first), *map(self.piece, rest)])
+        # a part that begins with a line feed has a blank before it here
+        return b"".join([self.first(first), *[self.word(" ", part) if part[:1] == "\n" else self.piece(part) for part in rest]])
 
     def first(self, text: str) -> bytes:
         return self.word("", text)
@@ -112,7 +118,8 @@ class PieceEncoder:
     def encode_all(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another (unsigned), and where each text's begin."""
         texts = texts.cast(pa.large_string()).fill_null("")
-        parts, bounds = wordids.part_bounds(pc.split_pattern(texts, " "))
+        # a line feed begins a part too; where there was a blank before it, an empty part comes first and the text is cut by itself
+        parts, bounds = wordids.part_bounds(pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " "))
         return wordids.gather(parts, bounds, self.pieces, end_id, lambda i: self.encode(texts[i].as_py()), self.first)
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Parts of a generation in a worker's memory; when one is full, the one before it is forgotten.
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 # Bytes of text handled at once, unless one text is longer.
 BYTES_AT_ONCE = 8 << 20
 
