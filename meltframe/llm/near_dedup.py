@@ -4,11 +4,12 @@
 2. A class has 256 registers (leading-zero count and mantissa bits) cut into 51 bands of five; two classes of similarity 0.8 miss each
    other in all bands with probability 2e-9.
 3. In each bucket that several classes share, all are compared with the least one. Links found are contracted to components.
-4. Buckets that still hold several components are finished: their members outside the bucket's largest component are compared with
-   all others of another component, in blocks of signatures.
+4. Buckets of more than two that still hold several components are finished: their members outside the bucket's largest component are
+   compared with all others of another component, in blocks that hold the full sets. A pair is looked at in the first bucket both share.
+   A block decides its pairs itself and emits the links of a spanning forest, fewer than it has rows; unlinked pairs leave no row behind.
 A comparison estimates the similarity from the registers, corrected for accidental agreement, and drops the pair only six standard
 deviations below the threshold; the rest is decided on the full sets. Pairs inside one component need no comparison: they cannot change
-the result. No bucket is cut off, and none is in one task: anchors come from a grouping, blocks have a bounded number of rows.
+the result. No bucket is cut off, and none is in one task: anchors come from a grouping, blocks have a bounded number of rows and items.
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing; rows that repeat a doc_id with other
 texts are one document in all links; rows with a null doc_id take no part and are their own group (null); an empty table gives an empty
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from meltframe.llm import shingles as S
 from meltframe.llm.common import maybe_broadcast, per_worker
@@ -30,7 +32,9 @@ from meltframe.llm.components import components
 from meltframe.session import free, stored
 
 BAND_ROWS = 5
-BLOCK = 1_024
+# Rows of a block and items of all their sets, about.
+BLOCK, BLOCK_ITEMS = 1_024, 2_000_000
+SEEDS = (0x5EED, 0xF00D)
 # Standard deviations below the threshold at which an estimate drops a pair.
 DEVIATIONS = 6
 TEXTS_AT_ONCE = 512
@@ -46,6 +50,10 @@ def _shingler(words: int) -> S.Shingler:
     return per_worker(("shingler", words), lambda: S.Shingler(words))
 
 
+def _digest(items: np.ndarray, seed: int) -> int:
+    return int(S.mixed(items ^ np.uint64(seed)).sum(dtype=np.uint64).view(np.int64))
+
+
 def signatures(docs: DataFrame, words: int = S.WORDS) -> DataFrame:
     """doc_id, n_shingles, two 64-bit digests of the set, signature (its registers)."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +62,7 @@ def signatures(docs: DataFrame, words: int = S.WORDS) -> DataFrame:
             rows = []
             for items in shingler.sets(batch["text"]):
                 # sums of independently mixed items: equal for equal sets, in any order
-                digests = [int(S.mixed(items ^ np.uint64(seed)).sum(dtype=np.uint64).view(np.int64)) for seed in (0x5EED, 0xF00D)]
+                digests = [_digest(items, seed) for seed in SEEDS]
                 rows.append((len(items), *digests, S.registers(items).tobytes()))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(c, t) for c, t in zip(zip(*rows), types)]],
@@ -125,47 +133,97 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> D
     return links
 
 
-def _left_open(crowded: DataFrame, labels: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Promising pairs (a, b) of different components in buckets that hold several."""
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """cid, digest1, items (the whole set, sorted 64-bit hashes) of every text whose doc_id is a `cid` of the stored table `wanted`."""
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = _shingler(words)
+        for batch in _slices(batches, 256):
+            sets = list(shingler.sets(batch["text"]))
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], pa.array([_digest(x, SEEDS[0]) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())],
+                ["cid", "digest1", "items"])
+
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(
+        maybe_broadcast(wanted.select(F.col("cid").alias("doc_id")), wanted.count()), "doc_id", "left_semi")
+    return stored(texts.mapInArrow(collect, "cid long, digest1 long, items binary").groupBy("cid", "digest1").agg(F.any_value("items").alias("items")))
+
+
+def _finish(crowded: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """Links (a, b) that join the components which buckets still hold apart, at most one fewer than rows in every block.
+
+    Buckets of two are done: their one pair was compared before. A block holds whole sets, so pairs are decided where they meet, and a
+    pair is looked at only in the first bucket that both share, and only while the two are in different components of the block.
+    """
     now = crowded.join(labels, crowded["cid"] == labels["node"], "left").select(
         "band", "cid", F.coalesce("component", "cid").alias("component"))
-    per_component = now.groupBy("band", "component").agg(F.count("*").alias("n"))
+    sized = now.join(classes.select("cid", "n_shingles"), "cid")
+    per_component = sized.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("items"))
     per_band = per_component.groupBy("band").agg(
-        F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("n"))
-    open_bands = stored(per_band.where("n > most").select(
-        "band", "largest", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("strays"), F.ceil(F.col("n") / BLOCK).cast("int").alias("alls")))
-    rows = now.join(open_bands, "band").join(classes, "cid").withColumn("at", F.pmod(F.xxhash64("cid"), F.lit(1 << 20)).cast("int"))
+        F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("n"),
+        F.sum("items").alias("items"))
+    per_band = per_band.where("n > most and n > 2")
+    whole_blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("items") / BLOCK_ITEMS))
+    stray_blocks = F.greatest(F.ceil((F.col("n") - F.col("most")) / BLOCK), F.ceil(F.col("items") * (1 - F.col("most") / F.col("n")) / BLOCK_ITEMS))
+    open_bands = stored(per_band.select("band", "largest", stray_blocks.cast("int").alias("strays"), whole_blocks.cast("int").alias("alls")))
+    members = stored(now.join(maybe_broadcast(open_bands, open_bands.count(), 200_000), "band"))
+    wanted = stored(members.select("cid").distinct())
+    whole = _sets(docs, wanted, words)
+    # one row per distinct text that is still in question, with all that a block needs of it
+    texts = stored(classes.join(whole, ["cid", "digest1"]))
+    rows = members.join(texts, "cid").withColumn("at", F.pmod(F.xxhash64("cid"), F.lit(1 << 20)).cast("int"))
 
     def blocks(upto: str):
         return F.sequence(F.lit(0), F.col(upto) - 1)
 
-    columns = ["band", "x", "y", "left", "cid", "component", "n_shingles", "signature"]
+    columns = ["band", "x", "y", "left", "cid", "component", "n_shingles", "signature", "items"]
     strays = rows.where("component <> largest").withColumn("x", F.col("at") % F.col("strays")).withColumn(
         "y", F.explode(blocks("alls"))).withColumn("left", F.lit(True)).select(columns)
     everyone = rows.withColumn("y", F.col("at") % F.col("alls")).withColumn(
         "x", F.explode(blocks("strays"))).withColumn("left", F.lit(False)).select(columns)
-
+    similarity = percent / 100
     floor = _floor(similarity)
 
     def compare(table: pa.Table) -> pa.Table:
-        left = table.filter(table["left"])
-        right = table.filter(pa.compute.invert(table["left"]))
-        a, b = left["cid"].to_numpy(), right["cid"].to_numpy()
-        ca, cb = left["component"].to_numpy(), right["component"].to_numpy()
-        na, nb = left["n_shingles"].to_numpy(), right["n_shingles"].to_numpy()
-        out_a, out_b = [], []
-        if len(a) and len(b):
+        left = table.filter(table["left"]).combine_chunks()
+        right = table.filter(pa.compute.invert(table["left"])).combine_chunks()
+        out: list[tuple[int, int]] = []
+        if left.num_rows and right.num_rows:
+            a, b = left["cid"].to_numpy(), right["cid"].to_numpy()
+            na, nb = left["n_shingles"].to_numpy(), right["n_shingles"].to_numpy()
             sa, sb = _matrix(left["signature"].combine_chunks()), _matrix(right["signature"].combine_chunks())
-            for i in range(len(a)):
-                may = np.flatnonzero((cb != ca[i]) & (np.minimum(nb, na[i]) >= np.maximum(nb, na[i]) * similarity - 1e-6))
-                if len(may):
-                    near = S.estimate(np.broadcast_to(sa[i], (len(may), S.REGISTERS)), sb[may], np.full(len(may), na[i]), nb[may]) >= floor
-                    out_a.append(np.minimum(a[i], b[may[near]]))
-                    out_b.append(np.maximum(a[i], b[may[near]]))
-        empty = np.empty(0, np.int64)
-        return pa.table({"a": np.concatenate([empty, *out_a]), "b": np.concatenate([empty, *out_b])})
-
-    return strays.unionByName(everyone).groupBy("band", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+            ka, kb = S.band_keys(sa, BAND_ROWS), S.band_keys(sb, BAND_ROWS)
+            band = table["band"][0].as_py()
+            _, label = np.unique(np.concatenate([left["component"].to_numpy(), right["component"].to_numpy()]), return_inverse=True)
+            la, lb = label[:len(a)].copy(), label[len(a):].copy()
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in right["items"].combine_chunks()]
+            for i, mine in enumerate(left["items"].combine_chunks()):
+                place = np.flatnonzero(ka[i] == band)
+                if not len(place):
+                    continue
+                place = int(place[0])
+                may = np.flatnonzero((lb != la[i]) & (kb[:, place] == band) & (np.minimum(nb, na[i]) >= np.maximum(nb, na[i]) * similarity - 1e-6))
+                may = may[~(kb[may, :place] == ka[i, :place]).any(axis=1)]
+                if not len(may):
+                    continue
+                close = S.estimate(np.broadcast_to(sa[i], (len(may), S.REGISTERS)), sb[may], np.full(len(may), na[i]), nb[may])
+                may = may[close >= floor]
+                mine = np.frombuffer(mine.as_buffer(), np.uint64)
+                for some in np.array_split(may, -(-len(may) // 256)) if len(may) else ():
+                    items = np.concatenate([sets[j] for j in some])
+                    starts = np.cumsum(nb[some]) - nb[some]
+                    spot = np.minimum(np.searchsorted(mine, items), len(mine) - 1)
+                    common = np.add.reduceat((mine[spot] == items).astype(np.int64), starts)
+                    for j in some[100 * common >= percent * (na[i] + nb[some] - common)]:
+                        if lb[j] != la[i]:
+                            out.append((int(a[i]), int(b[j])))
+                            old = lb[j]
+                            lb[lb == old] = la[i]
+                            la[la == old] = la[i]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    links = stored(strays.unionByName(everyone).groupBy("band", "x", "y").applyInArrow(compare, "a long, b long").distinct())
+    free(open_bands, members, wanted, whole, texts)
+    return links
 
 
 def near_groups(docs: DataFrame, percent: int = 80, words: int = S.WORDS) -> DataFrame:
@@ -182,8 +240,7 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = S.WORDS) -> Dat
     pairs = stored(crowded.where("cid <> anchor").select(F.col("anchor").alias("a"), F.col("cid").alias("b")).distinct())
     links = _confirmed(_promising(pairs, signature, similarity), docs, percent, words)
     labels = stored(components(links))
-    rest = _left_open(crowded, labels, signature, similarity)
-    more = _confirmed(rest.join(pairs, ["a", "b"], "left_anti"), docs, percent, words)
+    more = _finish(crowded, labels, classes.select("cid", "digest1", "n_shingles", "signature"), docs, percent, words)
     if not more.isEmpty():
         labels = stored(components(links.unionByName(more)))
     free(spread, crowded, pairs)
@@ -198,12 +255,19 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = S.WORDS) -> Dat
 def drop_near_copies(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     """The rows of `docs` that stay, one document of each group, with all their columns.
 
-    Of rows that repeat a doc_id one stays; rows with a null doc_id all stay.
+    Of rows that repeat a doc_id the one with the smallest text stays (null before any text, then by a digest of all columns); rows
+    with a null doc_id all stay.
     """
     groups = stored(near_groups(docs, percent, words).select("doc_id", "kept"))
-    gone = stored(groups.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct())
-    kept = docs.join(maybe_broadcast(gone, gone.count()), docs["doc_id"] == gone["gone_id"], "left_anti")
-    again = groups.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    names = iter(f"meltframe_{i}" for i in range(len(docs.columns) + 8))
+    gone_id, place = (next(n for n in names if n not in docs.columns) for _ in range(2))
+    gone = stored(groups.where("not kept").select(F.col("doc_id").alias(gone_id)).distinct())
+    kept = docs.join(maybe_broadcast(gone, gone.count()), F.col("doc_id").cast("bigint") == F.col(gone_id), "left_anti")
+    again = stored(groups.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(gone_id)))
     if again.isEmpty():
         return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    repeated = F.col("doc_id").cast("bigint") == F.col(gone_id)
+    once = kept.join(maybe_broadcast(again, again.count()), repeated, "left_anti")
+    twice = kept.join(maybe_broadcast(again, again.count()), repeated, "left_semi")
+    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first(), *[F.xxhash64(c) for c in docs.columns if c != "text"])
+    return once.unionByName(twice.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place))
