@@ -35,7 +35,7 @@ from meltframe.llm.common import maybe_broadcast, per_worker
 from meltframe.session import stored
 
 FILE_SCHEMA = "doc_id long, row long, ahead long, n_tokens int, ids array<int>"
-# Bytes of text a file takes, about.
+# Bytes of the documents' table a file takes, about.
 FILE_BYTES = 256 << 20
 # Runs of marks a worker remembers.
 MARKS_REMEMBERED = 10_000
@@ -69,15 +69,9 @@ class PieceEncoder:
 
     def word(self, blank: str, text: str) -> bytes:
         """Ids of a part of a document without blanks; `blank` stands before it or nothing does."""
-        plain = self.PLAIN.fullmatch(text)
-        if plain:
-            core, tail = plain.groups()
-            if tail:
-                # letters are one token of the pre-tokeniser, the marks after them another
-                return (self.piece(core) if blank else self.word(blank, core)) + self.tail(tail)
-            # the model alone decides; it reads the byte-level alphabet
-            letters = core if core.isascii() else core.translate(self.letters)
-            return wordids.packed([t.id for t in self.model.tokenize(self.blank + letters if blank else letters)])
+        plain = self.plain(blank, text)
+        if plain is not None:
+            return plain
         if "\n" in text:
             first, *lines = text.split("\n")
             # a line feed between two other characters is a token of its own
@@ -85,6 +79,19 @@ class PieceEncoder:
                 return (self.piece(first) if blank else self.word(blank, first)) + b"".join([self.piece("\n" + x) for x in lines])
         return self.by_library(blank + text)
 
+    def plain(self, blank: str, text: str) -> bytes | None:
+        """Ids of a Latin word with marks behind it; None for anything else."""
+        found = self.PLAIN.fullmatch(text)
+        if not found:
+            return None
+        core, tail = found.groups()
+        if tail:
+            # letters are one token of the pre-tokeniser, the marks after them another
+            return (self.piece(core) if blank else self.word(blank, core)) + self.tail(tail)
+        # the model alone decides; it reads the byte-level alphabet
+        letters = core if core.isascii() else core.translate(self.letters)
+        return wordids.packed([t.id for t in self.model.tokenize(self.blank + letters if blank else letters)])
+
     def tail(self, marks: str) -> bytes:
         if marks not in self.marks:
             if len(self.marks) >= MARKS_REMEMBERED:
@@ -99,6 +106,9 @@ class PieceEncoder:
 
     def piece_of(self, part: str) -> bytes | None:
         """The same, or None where the blank or line feed before or after may be in a run of white space."""
+        plain = self.plain(" ", part)
+        if plain is not None:
+            return plain
         line = part[:1] == "\n"
         text = part[1:] if line else part
         if not text or text[0].isspace() or text[-1].isspace():
@@ -143,7 +153,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, te
     """ORC files of the documents' ids in ascending doc_id order; `tokenizer` is the vocabulary file's path."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
     if text_bytes is None:
-        text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        # what the files say; a table that is not read from files is measured
+        text_bytes = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if text_bytes >= 1 << 60:
+            text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     files = max(int(parts) if int(parts) * (1 << 20) < text_bytes else 1, math.ceil(text_bytes / FILE_BYTES))
     ordered = docs.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
