@@ -11,8 +11,8 @@ from meltframe.llm.queries import tokenizer
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without text or without a letter go."""
-    return language.drop_unknown(docs, language.training_sample(docs, F.lit(True)))
+    """Documents that a learned language explains, with the language filled in where it was null; all others go."""
+    return language.keep_known(docs, language.training_sample(docs, F.lit(True)))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from meltframe.llm import mixing, queries, stages
+from meltframe.llm import language, mixing, queries, stages
+from test_language import explained
 
 spm = pytest.importorskip("sentencepiece")
 
@@ -33,11 +34,13 @@ def corpus():
         near = text.split()
         near[len(near) // 2] = "otherword"
         rows.append((i, text.upper() if i % 3 == 0 else " ".join(near) if i % 3 == 1 else ["", "123 --", None][i % 9 // 3], None, "a"))
+    # letters without a language
+    rows += [(75, "".join(rng.choice("漢字仮名交") for _ in range(300)), None, "a"), (76, "".join(rng.choice("αβγδε ζη") for _ in range(300)), None, "b")]
     return [(i, t, lang, s, len(t or "")) for i, t, lang, s in rows]
 
 
-def brute(rows, model):
-    rows = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+def brute(rows, model, sample):
+    rows = [r for r in rows if explained(sample, r[1])]
     best = {}
     for r in rows:
         key = r[1].translate(UPPER)
@@ -91,7 +94,9 @@ def test_equals_brute_force(spark, tmp_path):
     rows = corpus()
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())
-    assert got == brute(rows, queries.tokenizer("piece_bpe_32k.model"))
+    sample = language.training_sample(spark.read.parquet(f"{tmp_path}/documents.parquet"), F.lit(True))
+    want = brute(rows, queries.tokenizer("piece_bpe_32k.model"), sample)
+    assert got == want and not {i for i, *_ in want} & {75, 76}
 
 
 def test_stages_return_the_columns_of_documents(docs_of, spark):
@@ -108,5 +113,5 @@ def test_stages_return_the_columns_of_documents(docs_of, spark):
 
 def test_queries_are_registered():
     names = [n.split("_")[0] for n in queries.QUERIES]
-    assert names == [f"op{i}" for i in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10)]
+    assert names == [f"op{i}" for i in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 13, 11, 12)]
     assert mixing.MixPlan().share == 1.5 and F is not None
