@@ -54,7 +54,8 @@ def files(path, end=""):
 
 
 def test_pages_come_back(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(W, "RECORDS", 3)  # several archives
+    monkeypatch.setattr(W, "CLASS_BYTES", (10, 20, 100_000))  # several archives, of several classes
+    monkeypatch.setattr(W, "ARCHIVE_BYTES", 30)
     whole, members = through(spark, ROWS, tmp_path)
     assert read(W.read_archive(spark, members)) == expected(ROWS)
     texts = {r["payload"].decode() for r in W.read_archive(spark, members).where("record_type = 'response'").collect()}
@@ -66,7 +67,8 @@ def test_pages_come_back(spark, tmp_path, monkeypatch):
         assert stream.eof and not stream.unused_data
     # the members of an archive tile its file, and any reader of gzip gets all records
     for entry in W.read_index(spark, members).groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("e")).collect():
-        content = open(files(f"{members}/kind=0/archive={entry['archive']}")[0], "rb").read()
+        file, = [f for f in files(f"{members}/kind=0") if f"part-{entry['archive']:05d}-" in f]
+        content = open(file, "rb").read()
         at = 0
         for offset, length in entry["e"]:
             assert offset == at and gzip.decompress(content[offset:offset + length]).startswith(b"WARC/1.1\r\n")
@@ -74,6 +76,28 @@ def test_pages_come_back(spark, tmp_path, monkeypatch):
         assert at == len(content) and gzip.decompress(content).count(b"WARC-Record-ID") == len(entry["e"])
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    """1,500 files from one task: all numbers differ and every record is found where the index says."""
+    monkeypatch.setattr(W, "CLASS_BYTES", (40, 80, 160))
+    monkeypatch.setattr(W, "ARCHIVE_BYTES", 160)
+    rows = [(i, "u", "x" * (i % 7 * 33)) for i in range(3_000)]
+    whole, members = f"{tmp_path}/whole", f"{tmp_path}/members"
+    W.write_monolithic(pages_of(spark, rows).coalesce(1), whole)
+    sizes = [len(b"".join(W.inflate(open(f, "rb").read()))) for f in files(whole)]
+    assert len(sizes) > 1_000 and max(sizes) < 160 + 4 * 600
+    W.normalise(spark, whole, members)
+    place = ["archive", "offset", "length"]
+    joined = W.read_archive(spark, members).join(W.read_index(spark, members), place)
+    assert joined.count() == 3_000 and read(W.read_archive(spark, members)) == expected(rows)
+
+
+def test_bytes_that_are_no_text_pass_the_writer(spark, tmp_path):
+    odd = [bytes([b]) * 3 + b"\xff\xfe\xc0\x80" + bytes(range(1, 256)) for b in range(1, 256)]
+    rows = spark.createDataFrame([(i, b) for i, b in enumerate(odd)], "i int, value binary").coalesce(1).sortWithinPartitions("i")
+    rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\u0000").text(f"{tmp_path}/t")
+    assert b"".join(open(f, "rb").read() for f in files(f"{tmp_path}/t")) == b"".join(b + b"\0" for b in odd)
+
+
 def test_single_records_are_read_by_offset(spark, tmp_path):
     _, members = through(spark, ROWS, tmp_path)
     wanted = W.read_index(spark, members).where("id in ('<urn:page:5>', '<urn:page:2>')")
@@ -92,7 +116,7 @@ def test_empty_table(spark, tmp_path):
     W.write_monolithic(pages_of(spark, []), whole)
     assert not files(whole) or all(not b"".join(W.inflate(open(f, "rb").read())) for f in files(whole))
     W.normalise(spark, whole, f"{tmp_path}/members")
-    assert W.read_archive(spark, f"{tmp_path}/members").count() == 0
+    assert W.read_archive(spark, f"{tmp_path}/members").count() == 0 and W.read_index(spark, f"{tmp_path}/members").count() == 0
 
 
 def test_large_records_get_an_empty_member():
