@@ -53,7 +53,7 @@ def test_colliding_keys_are_told_apart_by_bytes(docs_of, monkeypatch):
 
 def test_directory_splits_only_full_buckets(spark):
     keys = spark.range(1000).select(F.xxhash64("id").alias("key"))
-    cells, depth = E.directory(keys, 1000, capacity=50)
+    cells, depth = E.directory(keys, capacity=50)
     placed = keys.withColumn("cell", E._cell(F.col("key"), depth)).join(cells, "cell")
     fill = placed.groupBy("bucket", "local_depth").count().collect()
     assert sum(r["count"] for r in fill) == 1000 and max(r["count"] for r in fill) <= 50
@@ -63,8 +63,32 @@ def test_directory_splits_only_full_buckets(spark):
     assert len({r["bucket"] for r in fill}) == len(fill)
 
 
+def test_directory_goes_on_while_a_bucket_is_full(spark):
+    """Keys that agree in their first 40 bits are still told apart."""
+    keys = spark.range(64).select((F.col("id") * (1 << 12) + 5).alias("key"))
+    cells, depth = E.directory(keys, capacity=4)
+    fill = keys.withColumn("cell", E._cell(F.col("key"), depth)).join(cells, "cell").groupBy("bucket").count().collect()
+    assert depth >= 50 and max(r["count"] for r in fill) <= 4
+
+
+def test_rows_are_found_through_cells_and_buckets(docs_of):
+    """A row whose cell is gone from the directory finds nothing; one whose cell points elsewhere finds nothing either."""
+    docs = docs_of([(i, f"text {i % 40}") for i in range(120)])
+    entries = E.read_entries(docs)
+    groups = entries.groupBy("key", "sha", "bytes").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    cells, depth = E.directory(groups, capacity=4)
+    index = E.build_index(groups, cells, depth, capacity=4)
+    crowded = E.crowded_keys(index)
+    assert E.lookup(entries, index, cells, depth, crowded).count() == 120
+    gone = cells.orderBy("cell").first()["cell"]
+    lost = entries.where(E._cell(F.col("key"), depth) == gone).count()
+    assert lost > 0 and E.lookup(entries, index, cells.where(F.col("cell") != gone), depth, crowded).count() == 120 - lost
+    astray = cells.withColumn("bucket", F.when(F.col("cell") == gone, F.lit(-1)).otherwise(F.col("bucket")))
+    assert E.lookup(entries, index, astray, depth, crowded).count() == 120 - lost
+
+
 def test_drop_copies_keeps_columns_and_clashing_names(docs_of):
-    docs = docs_of(ROWS).withColumn("kept", F.lit("mine")).withColumn("key", F.lit(1)).withColumn("sha", F.lit(2))
+    docs = docs_of(ROWS).withColumn("kept", F.lit("mine")).withColumn("key", F.lit(1)).withColumn("sha", F.lit(2)).withColumn("sha_of_row", F.lit("x")).withColumn("found_id_0", F.lit(3))
     out = E.drop_copies(docs)
     assert out.columns == docs.columns
     stay = {(i, sha) for i, _, _, kept, sha in brute(ROWS) if kept}
