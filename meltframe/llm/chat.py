@@ -95,20 +95,20 @@ def _segments(turn: Column, template: Template) -> Column:
 
 
 def _run_machine(turns: Column, template: Template) -> Column:
-    """struct(state, at, bad): the state after all turns, the number of turns and the first without a transition."""
+    """One step per turn: the state the machine is in, whether it has a transition for the turn's role, and the segments it emits.
+
+    After a turn the machine is in the state named by its role, so every step knows its state from the turn before it, and a
+    conversation of any length is one linear pass. From the first turn without a transition on it only emits.
+    """
     allowed = F.array(*[F.lit(f"{a}>{b}") for a, b in template.transitions])
 
-    def step(now: Column, turn: Column) -> Column:
-        stuck = now["bad"].isNotNull()
-        goes = F.array_contains(allowed, F.concat(now["state"], F.lit(">"), turn["role"]))
+    def step(turn: Column, at: Column) -> Column:
+        state = F.when(at == 0, F.lit(START)).otherwise(F.get(turns, at - 1)["role"])
         return F.struct(
-            F.when(stuck | ~goes, now["state"]).otherwise(turn["role"]).alias("state"),
-            (now["at"] + 1).alias("at"),
-            F.when(stuck | goes, now["bad"]).otherwise(now["at"]).alias("bad"),
-        )
+            state.alias("state"), F.array_contains(allowed, F.concat(state, F.lit(">"), turn["role"])).alias("goes"),
+            _segments(turn, template).alias("segments"))
 
-    first = F.struct(F.lit(START).alias("state"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("bad"))
-    return F.aggregate(turns, first, step)
+    return F.transform(turns, step)
 
 
 def format_chat(turns: DataFrame, template: Template | None = None) -> DataFrame:
@@ -121,18 +121,19 @@ def format_chat(turns: DataFrame, template: Template | None = None) -> DataFrame
     row = F.struct("turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
     grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))
     machine = grouped.select(
-        "conv_id", F.size("turns").alias("n_turns"), _run_machine(F.col("turns"), template).alias("end"),
-        F.flatten(F.transform("turns", lambda t: _segments(t, template))).alias("segments"),
-    )
-    bad = F.coalesce(F.col("end.bad"), F.when(~F.col("end.state").isin(*template.final), F.col("end.at")))
-    return machine.select(
+        "conv_id", F.size("turns").alias("n_turns"), F.element_at("turns", -1)["role"].alias("end"), _run_machine(F.col("turns"), template).alias("steps"))
+    emitted = machine.select(
+        "conv_id", "n_turns", "end", F.flatten(F.transform("steps", lambda s: s["segments"])).alias("segments"),
+        (F.array_position(F.transform("steps", lambda s: s["goes"]), F.lit(False)) - 1).cast("int").alias("stuck"))
+    bad = F.when(F.col("stuck") >= 0, F.col("stuck")).when(~F.col("end").isin(*template.final), F.col("n_turns"))
+    return emitted.select(
         "conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("text"), "segments", "n_turns",
         bad.isNull().alias("valid"), bad.alias("bad_turn"),
     )
 
 
 def read_chat(formatted: DataFrame, template: Template | None = None) -> DataFrame:
-    """conv_id, turns (role, text) parsed from the formatted string, and the unescaped text under the loss mask."""
+    """conv_id, turns (role, text) parsed from the formatted string, the unescaped text under the loss mask, and the machine's verdict."""
     template = template or Template()
 
     def between(piece: Column, before: str, after: str) -> Column:
@@ -156,5 +157,5 @@ def read_chat(formatted: DataFrame, template: Template | None = None) -> DataFra
     spoken = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"], template))
     return formatted.select(
         "conv_id", F.transform(F.slice(pieces, 1, F.size(pieces) - 1), parse).alias("turns"),
-        F.array_join(spoken, "").alias("loss_text"), F.length("text").cast("bigint").alias("formatted_chars"),
+        F.array_join(spoken, "").alias("loss_text"), F.length("text").cast("bigint").alias("formatted_chars"), "valid", "bad_turn",
     )

@@ -130,16 +130,17 @@ def blocks_of(laid: DataFrame, plan: MixPlan) -> DataFrame:
 
 
 def mix(docs: DataFrame, plan: MixPlan | None = None) -> DataFrame:
-    """One row per document: doc_id, place (of its source), size, source_size, target, taken, copies.
+    """One row per document: doc_id, place (of its source), size, source_size, target, taken, first_slot, copy_slots.
 
-    `taken` are the words the slots take of it, `copies` the passes in which any are.
+    `taken` are the words the slots take of it, `first_slot` the slot that takes the first of them in the order of the schedule (null if
+    none does), `copy_slots` that of each pass in which any are taken.
     """
     plan = plan or MixPlan()
     if not 0 < plan.most <= 2:
         raise ValueError("a source is passed twice at most")
     measured = stored(measure(docs))
     sources = stored(targets(measured, plan))
-    slots = schedule(sources, plan).withColumnRenamed("words", "width").select("place", "block", "width")
+    slots = schedule(sources, plan).withColumnRenamed("words", "width").select("place", "block", "width", "slot")
     pieces = blocks_of(lay_out(measured, sources), plan)
     joined = pieces.join(slots, ["place", "block"], "left")
     begin = F.col("block") * plan.block_words
@@ -148,18 +149,27 @@ def mix(docs: DataFrame, plan: MixPlan | None = None) -> DataFrame:
     per_pass = joined.withColumn("words", F.when(F.col("width").isNull(), F.lit(0)).otherwise(words))
     key = ["place", "at", "doc_id", "size", "source_size", "target"]
     taken = per_pass.groupBy(*key).agg(
-        F.sum("words").cast("bigint").alias("taken"), F.count_distinct(F.when(F.col("words") > 0, F.col("pass"))).alias("copies"),
+        F.sum("words").cast("bigint").alias("taken"),
+        *[F.min(F.when((F.col("words") > 0) & (F.col("pass") == p), F.col("slot"))).alias(f"slot{p}") for p in (0, 1)],
         F.count(F.when(F.col("block").isNull(), 1)).alias("empties"))
     # documents without words share a position with their neighbour: identical ones were counted together
     taken = taken.withColumn("again", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("empties")))))
-    return taken.select("doc_id", "place", "size", "source_size", "target", "taken", "copies")
+    return taken.select("doc_id", "place", "size", "source_size", "target", "taken", F.least("slot0", "slot1").alias("first_slot"),
+                        F.array_compact(F.array("slot0", "slot1")).alias("copy_slots"))
 
 
 def apply_mix(docs: DataFrame, plan: MixPlan | None = None) -> DataFrame:
-    """The mixed documents with all their columns: each as often as the mix takes it, in whole or (at the end of a source) in part."""
-    mixed = mix(docs, plan).where("copies > 0").groupBy(F.col("doc_id").alias("mixed_id"), F.col("size").alias("mixed_size")).agg(
-        F.max("copies").alias("mixed_copies"))
-    sized = docs.withColumn("size_of_row", word_count(F.col("text")))
-    match = sized["doc_id"].eqNullSafe(mixed["mixed_id"]) & (sized["size_of_row"] == mixed["mixed_size"])
-    out = sized.join(mixed, match).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mixed_copies").cast("int"))))
-    return out.select(*docs.columns)
+    """The mixed documents with all their columns, in the order of the schedule's slots, each as often as the mix takes words of it.
+
+    Documents stay whole: the one at the end of a source is there although the target falls inside it, so a source's words can exceed its
+    target by less than that document's.
+    """
+    names = [f"{c}_{n}" for n in range(len(docs.columns) + 1) for c in ("mixed_id", "mixed_size", "mixed_slots", "row_size", "slot")]
+    mixed_id, mixed_size, mixed_slots, row_size, slot = [c for c in names if c not in docs.columns][:5]
+    # rows that repeat an id and a size are alike to the schedule: each gets what the one with most copies gets
+    mixed = mix(docs, plan).where(F.size("copy_slots") > 0).groupBy(F.col("doc_id").alias(mixed_id), F.col("size").alias(mixed_size)).agg(
+        F.max_by("copy_slots", F.struct(F.size("copy_slots"), "first_slot")).alias(mixed_slots))
+    sized = docs.withColumn(row_size, word_count(F.col("text")))
+    match = F.col("doc_id").eqNullSafe(F.col(mixed_id)) & (F.col(row_size) == F.col(mixed_size))
+    out = sized.join(mixed, match).withColumn(slot, F.explode(mixed_slots))
+    return out.orderBy(slot, "doc_id").select(*docs.columns)

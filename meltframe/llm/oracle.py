@@ -9,6 +9,9 @@ ORACLE_SQL: dict[str, str] = {}
 # The strings the template uses for control, in the order of their one-letter codes a, b, c ...
 CONTROLS = ["<s>", "</s>", "[ROLE]", "[/ROLE]", "[SYS]", "[/SYS]", "[INST]", "[/INST]", "[OUT]", "[/OUT]"]
 
+# What may follow what.
+MOVES = ["start>system", "start>user", "system>user", "user>assistant", "assistant>user"]
+
 
 def _escaped(column: str) -> str:
     out = f"replace({column}, '\\', '\\0')"
@@ -24,13 +27,16 @@ WITH t AS (
 f AS (SELECT *, CASE role WHEN 'system' THEN '<s>[SYS]' || {_escaped("text")} || '[/SYS]</s>'
   WHEN 'user' THEN '<s>[INST]' || {_escaped("text")} || '[/INST]</s>'
   WHEN 'assistant' THEN '<s>[OUT]' || {_escaped("text")} || '[/OUT]</s>'
-  ELSE '<s>[ROLE]' || {_escaped("role")} || '[/ROLE]' || {_escaped("text")} || '</s>' END AS shown FROM t)
-SELECT conv_id, count(*) AS n_turns,
+  ELSE '<s>[ROLE]' || {_escaped("role")} || '[/ROLE]' || {_escaped("text")} || '</s>' END AS shown,
+  row_number() OVER turns - 1 AS place, coalesce(lag(role) OVER turns, 'start') || '>' || role IN ({", ".join(f"'{m}'" for m in MOVES)}) AS goes FROM t
+  WINDOW turns AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+b AS (SELECT *, CASE WHEN NOT goes THEN place WHEN place = max(place) OVER (PARTITION BY conv_id) AND role <> 'assistant' THEN place + 1 END AS bad FROM f)
+SELECT conv_id, count(*) AS n_turns, min(bad) IS NULL AS valid, CAST(min(bad) AS INT) AS bad_turn,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(length(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(shown)) AS BIGINT) AS formatted_chars
-FROM f GROUP BY conv_id
+FROM b GROUP BY conv_id
 """
 
 ORACLE_SQL["op8_source_mix"] = """
@@ -43,12 +49,26 @@ l AS (SELECT *, ((sum(source_size) OVER ()) * 1.5::DOUBLE - coalesce(sum(stop) O
     / ((sum(weight) OVER ()) - coalesce(sum(weight) OVER before, 0)) AS level
   FROM w WINDOW before AS (ORDER BY stop / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 g AS (SELECT source, source_size, least(stop, coalesce(weight * (SELECT level FROM l WHERE stop / weight > level ORDER BY stop / weight, place LIMIT 1), stop)) AS target FROM l),
-o AS (SELECT d.doc_id, d.size, g.source_size, g.target, floor(g.target) AS words,
+q AS (SELECT g.*, s.place, CAST(floor(target) AS BIGINT) AS words, CAST(ceil(floor(target) / 1024) AS BIGINT) AS slots
+  FROM g JOIN s ON g.source IS NOT DISTINCT FROM s.source),
+-- a source's interval of [0, 2^32), as wide as its share of all slots
+i AS (SELECT place, slots, "all", CAST(floor((upto - slots) / "all" * 4294967296) AS BIGINT) AS low, CAST(floor(upto / "all" * 4294967296) AS BIGINT) AS high
+  FROM (SELECT *, (sum(slots) OVER (ORDER BY place))::DOUBLE AS upto, (sum(slots) OVER ())::DOUBLE AS "all" FROM q WHERE target >= 1)),
+-- golden-ratio points; a source's points in order take its blocks
+c AS (SELECT slot, place, block FROM (
+    SELECT slot, place, slots, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS block
+    FROM (SELECT r AS slot, (r % 2147483648) * 2654435769 % 4294967296 AS spot FROM range(CAST((SELECT 3 * max("all") + 8 FROM i) AS BIGINT)) t(r))
+    JOIN i ON spot >= low AND spot < high) WHERE block < slots),
+o AS (SELECT row_number() OVER () AS row, d.doc_id, d.size, q.place, q.source_size, q.target, q.words,
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+k AS (SELECT row, min(slot) AS first_slot
+  FROM (SELECT row, place, unnest([start, source_size + start]) AS a, size, words FROM o) p
+  JOIN c ON c.place = p.place AND least(p.a + p.size, p.words, (block + 1) * 1024) > greatest(p.a, block * 1024) GROUP BY row)
 SELECT doc_id, size, source_size, target,
-  CAST(greatest(0, least(start + size, words) - start) + greatest(0, least(source_size + start + size, words) - source_size - start) AS BIGINT) AS taken
-FROM o
+  CAST(greatest(0, least(start + size, words) - start) + greatest(0, least(source_size + start + size, words) - source_size - start) AS BIGINT) AS taken,
+  CAST(first_slot AS BIGINT) AS first_slot
+FROM o LEFT JOIN k USING (row)
 """
 
 ORACLE_SQL["op9_exact_dedup"] = f"""

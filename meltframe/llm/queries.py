@@ -75,7 +75,8 @@ def op5_chat_format(spark, d):
     line = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return back.select(
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(F.array_join(line, ""), 256).alias("turns_sha256"),
-        F.length("loss_text").cast("bigint").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
+        F.length("loss_text").cast("bigint").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars",
+        "valid", "bad_turn")
 
 
 @query
@@ -98,7 +99,7 @@ def op7_language_id(spark, d):
 @query
 def op8_source_mix(spark, d):
     """All documents mixed to 150 % of their words, sources weighing 5, 2, 1 in turn."""
-    return mixing.mix(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 @query

@@ -53,3 +53,16 @@ def test_templates_are_checked():
         chat.Template(turn_open="a\\b").controls()
     with pytest.raises(ValueError):
         chat.Template(turn_open="</s>").controls()
+
+
+def test_a_removed_transition_changes_the_verdict(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (1, 3, "assistant", "d"), (2, 0, "user", "a"), (2, 1, "assistant", "b")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+
+    def verdicts(template):
+        return {r["conv_id"]: (r["valid"], r["bad_turn"]) for r in chat.read_chat(chat.format_chat(turns, template), template).collect()}
+
+    assert verdicts(chat.Template()) == {1: (True, None), 2: (True, None)}
+    fewer = tuple(t for t in chat.Template().transitions if t != ("assistant", "user"))
+    assert verdicts(chat.Template(transitions=fewer)) == {1: (False, 2), 2: (True, None)}
+    assert verdicts(chat.Template(final=("user",))) == {1: (False, 4), 2: (False, 2)}

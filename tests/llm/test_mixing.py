@@ -88,10 +88,29 @@ def test_one_source_and_none(docs_of):
 
 def test_apply_mix_repeats_documents(docs_of):
     docs = docs_of([(i, "w " * 10, "xx", "ab"[i % 2], 0) for i in range(40)]).withColumn("copies", F.lit("x"))
-    mixed = {r["doc_id"]: r["copies"] for r in M.mix(docs, M.MixPlan(block_words=7)).collect()}
+    mixed = {r["doc_id"]: len(r["copy_slots"]) for r in M.mix(docs, M.MixPlan(block_words=7)).collect()}
     got = {}
     out = M.apply_mix(docs, M.MixPlan(block_words=7))
     assert out.columns == docs.columns
     for r in out.collect():
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + 1
     assert got == {i: n for i, n in mixed.items() if n}
+
+
+def test_mix_comes_in_the_order_of_the_schedule_with_any_column_names(docs_of):
+    clashing = ("copy", "size_of_row", "mixed_id", "mixed_id_0", "slot_0", "row_size_0", "mixed_copies")
+    docs = docs_of([(i, "w " * (5 + i % 9), "xx", "ab"[i % 2], 0) for i in range(60)]).withColumns({c: F.lit(c) for c in clashing})
+    plan = M.MixPlan(block_words=7)
+    out = M.apply_mix(docs, plan)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert all(r[c] == c for r in rows for c in clashing)
+    slots = {r["doc_id"]: sorted(r["copy_slots"]) for r in M.mix(docs, plan).collect()}
+    assert sorted(r["doc_id"] for r in rows) == sorted(i for i, s in slots.items() for _ in s)
+    seen = [s for i, s in sorted(((r, s) for r, all_ in slots.items() for s in all_), key=lambda x: (x[1], x[0]))]
+    taken, at = {}, []
+    for r in rows:
+        k = taken.get(r["doc_id"], 0)
+        taken[r["doc_id"]] = k + 1
+        at.append(slots[r["doc_id"]][k])
+    assert at == sorted(at) == seen
