@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import partial, reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from meltframe import constants as K
 from meltframe.functions import columns as C
 from meltframe.operators import evaluate, split
+from meltframe.session import together
 from meltframe.sources.tables import write_feature_config
 
 MAX_DEPTH = 30  # the deepest trees Spark ML grows
@@ -156,27 +158,24 @@ def cross_predict(df: DataFrame, target: str, names: Sequence[str] | str, folds:
     """(key, fold, truth, guess): every observed row predicted by the model that did not see its fold."""
     rows = df.where(F.col(target).isNotNull())
     rows = rows if "fold" in df.columns else split.with_fold(rows, key, folds)
-    parts = []
-    for k in range(folds):
+
+    def one_fold(k: int) -> DataFrame:
         model = fit_regressor(rows.where(F.col("fold") != k), target, names, forest, key)
         scored = predict(rows.where(F.col("fold") == k), {"guess": model}, names)
-        parts.append(scored.select(key, "fold", F.col(target).alias("truth"), "guess"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+        return scored.select(key, "fold", F.col(target).alias("truth"), "guess")
+
+    return reduce(DataFrame.union, together(df.sparkSession, [partial(one_fold, k) for k in range(folds)], at_once=folds))
 
 
 def cv_r2(df: DataFrame, specs: Sequence[TargetSpec], folds: int = 5, forest: Forest = REGRESSOR,
           key: str = "row_id") -> DataFrame:
-    """R² mean and deviation over the folds, one row per target."""
-    scores = None
-    for spec in specs:
+    """R² mean and deviation over the folds, one row per target; targets and folds are fitted side by side."""
+    def one_target(spec: TargetSpec) -> DataFrame:
         guesses = cross_predict(spec.rows(df), spec.target, spec.features, folds, forest, key)
-        part = evaluate.r2_score(guesses, "truth", "guess", ["fold"]).withColumn(
-            "property", F.lit(K.TARGET_LABELS[spec.target]))
-        scores = part if scores is None else scores.unionByName(part)
-    return evaluate.cv_summary(scores, ["property"])
+        return evaluate.r2_score(guesses, "truth", "guess", ["fold"]).withColumn("property", F.lit(K.TARGET_LABELS[spec.target]))
+
+    scores = together(df.sparkSession, [partial(one_target, spec) for spec in specs], at_once=2)
+    return evaluate.cv_summary(reduce(DataFrame.unionByName, scores), ["property"])
 
 
 def holdout_accuracy(df: DataFrame, label: str, names: Sequence[str] | str, forest: Forest = CLASSIFIER,
@@ -190,8 +189,9 @@ def holdout_accuracy(df: DataFrame, label: str, names: Sequence[str] | str, fore
 
 def train_family(df: DataFrame, specs: Sequence[TargetSpec], forest: Forest = REGRESSOR,
                  key: str = "row_id") -> dict[str, RandomForestRegressionModel]:
-    """One regressor per spec on all its rows."""
-    return {s.target: fit_regressor(s.rows(df), s.target, s.features, forest, key) for s in specs}
+    """One regressor per spec on all its rows, fitted side by side."""
+    fits = [partial(fit_regressor, s.rows(df), s.target, s.features, forest, key) for s in specs]
+    return dict(zip([s.target for s in specs], together(df.sparkSession, fits), strict=True))
 
 
 def train_phases(df: DataFrame, forest: Forest = CLASSIFIER, names: Sequence[str] | str = tuple(K.MECH_FEATURES),

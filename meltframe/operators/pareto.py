@@ -5,15 +5,22 @@ rows costs one vector. The front is found in three exact steps:
 
 1. each scan partition drops what its own rows dominate, before anything is shuffled;
 2. the survivors are made distinct and stored; the best of them by normalised objective sum, a bounded number, filter
-   the rest once more, and what is left is hashed into blocks of bounded size;
-3. every pair of blocks is compared in its own group (`cogroup`), and vectors dominated in any pair go.
+   the rest once more;
+3. what is left is cut into cells, a grid of quantile strips of every objective, and cells with many vectors into blocks of bounded
+   size. A pair of blocks is compared, in a group of its own (`cogroup`), only where the smallest corner of the one is nowhere above
+   the largest corner of the other; only for those pairs are rows copied. Vectors dominated in any pair go.
 
 Dominance is transitive and irreflexive, so a dominated vector is dominated by some member of the front,
 and members of the front survive step 1: the result is the whole front whatever the partitioning.
+
+Ranks come from one sweep over the same kind of grid, not from one front after the other. A vector can only be dominated from cells whose
+coordinates are nowhere larger, so cells with equal coordinate sums are independent of each other and are ranked together, in the order of
+the sums: with g strips and m objectives that is m (g - 1) + 1 steps, however many fronts there are.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -28,6 +35,7 @@ BLOCK_ROWS = 16384  # vectors a single task compares with each other
 WINDOW_ROWS = 4096  # vectors a scan task holds as its filter
 BEST_ROWS = 1024  # vectors every task of the second filter holds
 BROADCAST_ROWS = 200_000  # rows of a counted side that is broadcast
+CELL_ROWS = 4096  # vectors of a cell in which ranks are found, about
 BUCKET_VALUES = 20_000  # distinct values a crowding bucket sorts
 
 
@@ -131,11 +139,12 @@ def front_vectors(points: DataFrame, objectives: Sequence[str], block_rows: int
             yield from _table(rows[~dominated_by(rows, best)], objectives).to_batches()
 
     left = stored(first.mapInArrow(drop, schema))
-    blocks = max(1, -(-left.count() // block_rows))
-    block = F.pmod(F.xxhash64(*objectives), F.lit(blocks))
-    every = F.expr(f"explode(sequence(0L, {blocks - 1}L))")
-    target = left.withColumn("t", block).withColumn("s", every)
-    source = left.withColumn("s", block).withColumn("t", every)
+    laid = _in_blocks(_in_cells(left, objectives, block_rows), objectives, block_rows)
+    pairs = block_pairs(corners(laid, objectives), objectives)
+    target = _beside(laid, pairs.select(F.col("t").alias("block"), "s"), ["block"]).withColumnRenamed("block", "t")
+    # columns of their own, since both sides of the cogroup come from one table
+    mirror = laid.select(*[F.col(c).alias(c) for c in laid.columns])
+    source = _beside(mirror, pairs.select(F.col("s").alias("block"), "t"), ["block"]).withColumnRenamed("block", "s")
 
     def losers(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         rows = _matrix(mine, objectives)
@@ -143,10 +152,49 @@ def front_vectors(points: DataFrame, objectives: Sequence[str], block_rows: int
 
     dominated = target.groupBy("t", "s").cogroup(source.groupBy("t", "s")).applyInArrow(losers, schema)
     front = stored(left.join(dominated.distinct(), objectives, "left_anti"))
-    free(first, left)
+    free(first, left, laid, pairs)
     return front
 
 
+def _in_cells(table: DataFrame, objectives: Sequence[str], rows: int) -> DataFrame:
+    """Add `at`, the strip of each objective: as many strips as make cells of about `rows` vectors, cut at quantiles."""
+    cells = table.count() / rows
+    strips = 1 if cells <= 1 else max(2, math.ceil(cells ** (1 / len(objectives))))
+    cuts = table.approxQuantile(list(objectives), [i / strips for i in range(1, strips)], 1 / (50 * strips)) if strips > 1 else []
+    at = [reduce(lambda a, b: a + b, [(F.col(o) > F.lit(c)).cast("int") for c in sorted(set(c_of))], F.lit(0))
+          for o, c_of in zip(objectives, cuts or [[]] * len(objectives), strict=True)]
+    return table.withColumn("at", F.array(*at))
+
+
+def _in_blocks(table: DataFrame, objectives: Sequence[str], rows: int) -> DataFrame:
+    """Stored table with `block`: a cell, or a hashed part of one that holds more than `rows` vectors."""
+    table = stored(table)
+    sizes = stored(table.groupBy("at").agg(F.ceil(F.count("*") / rows).alias("parts")))
+    part = F.pmod(F.xxhash64(*objectives), F.col("parts"))
+    return stored(_beside(table, sizes, ["at"]).withColumn("block", F.concat_ws(",", F.col("at").cast("array<string>"), part)).drop("parts"))
+
+
+def corners(blocks: DataFrame, objectives: Sequence[str]) -> DataFrame:
+    """A row per block: its cell and the least and largest value of every objective."""
+    return stored(blocks.groupBy("block", "at").agg(
+        F.array(*[F.min(o) for o in objectives]).alias("low"), F.array(*[F.max(o) for o in objectives]).alias("high")))
+
+
+def block_pairs(boxes: DataFrame, objectives: Sequence[str]) -> DataFrame:
+    """(t, s, whole): block s may hold vectors that dominate some of block t; `whole`: all of s dominate all of t.
+
+    A source's strip of the first objective cannot be above the target's, so pairs are joined strip by strip.
+    """
+    first = F.get("at", F.lit(0))
+    target = boxes.select(F.col("block").alias("t"), F.col("high").alias("t_high"), F.col("low").alias("t_low"), F.explode(F.sequence(F.lit(0), first)).alias("strip"))
+    source = boxes.select(F.col("block").alias("s"), F.col("low").alias("s_low"), F.col("high").alias("s_high"), first.alias("strip"))
+    m = range(len(objectives))
+    may = reduce(lambda a, b: a & b, [F.get("s_low", F.lit(j)) <= F.get("t_high", F.lit(j)) for j in m])
+    below = reduce(lambda a, b: a & b, [F.get("s_high", F.lit(j)) <= F.get("t_low", F.lit(j)) for j in m])
+    strictly = reduce(lambda a, b: a | b, [F.get("s_high", F.lit(j)) < F.get("t_low", F.lit(j)) for j in m])
+    return stored(target.join(source, "strip").where(may).select("t", "s", (below & strictly).alias("whole")))
+
+
 def _match(points: DataFrame, found: DataFrame, objectives: Sequence[str], how: str) -> DataFrame:
     """Join the points to a vector table on all objectives, whatever their numeric type."""
     names = [f"_v_{o}" for o in objectives]
@@ -165,25 +213,92 @@ def pareto_front(points: DataFrame, objectives: Sequence[str], feasible: str | N
     return _match(points, front_vectors(points, objectives, **options), objectives, "left_semi")
 
 
-def pareto_rank(points: DataFrame, objectives: Sequence[str], max_rank: int | None = None, **options) -> DataFrame:
-    """Add `pareto_rank`: 1 for the front, 2 for the front of what remains, and so on until nothing is left.
+def dominator_ranks(rows: np.ndarray, by: np.ndarray, ranks: np.ndarray, step: int = 1024) -> np.ndarray:
+    """For each row the largest rank among the rows of `by` that dominate it; 0 where none does."""
+    out = np.zeros(len(rows), dtype=np.int64)
+    for at in range(0, len(rows), step):
+        chunk = rows[at:at + step]
+        for start in range(0, len(by), step):
+            part = by[start:start + step]
+            no_worse, better = np.ones((len(part), len(chunk)), dtype=bool), np.zeros((len(part), len(chunk)), dtype=bool)
+            for j in range(rows.shape[1]):
+                left, right = part[:, j:j + 1], chunk[:, j]
+                no_worse &= left <= right
+                better |= left < right
+            found = np.where(no_worse & better, ranks[start:start + step, None], 0).max(axis=0)
+            out[at:at + step] = np.maximum(out[at:at + step], found)
+    return out
+
 
-    With `max_rank` the peeling stops there and the ranks beyond are NULL. Rows with a missing objective have no rank.
+def local_ranks(rows: np.ndarray, least: np.ndarray, step: int = 256) -> np.ndarray:
+    """Ranks of distinct rows among themselves, none below its `least`."""
+    # a dominating row comes earlier: it never has the larger (clipped) sum, and equal sums fall back to the column order
+    order = np.lexsort((*rows.T[::-1], np.clip(rows, -1e300, 1e300).sum(axis=1)))
+    rows, out = rows[order], least[order].copy()
+    for start in range(0, len(rows), step):
+        chunk = rows[start:start + step]
+        now = np.maximum(out[start:start + step], dominator_ranks(chunk, rows[:start], out[:start]) + 1)
+        while True:  # chains inside the chunk, one link at a time
+            after = np.maximum(now, dominator_ranks(chunk, chunk, now) + 1)
+            if (after == now).all():
+                break
+            now = after
+        out[start:start + step] = now
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def pareto_rank(points: DataFrame, objectives: Sequence[str], max_rank: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Add `pareto_rank`: 1 for the front, 2 for the front of what remains, and so on to the last row.
+
+    A rank is one more than the largest among the vectors that dominate, so cells are ranked in the order of their coordinate sums, each
+    from the ranked cells below it. Of a cell that lies below in every objective only its largest rank is looked at. With `max_rank`
+    larger ranks are NULL. Rows with a missing objective have no rank. Vectors that no strip can separate (an objective with few
+    values) share a cell.
     """
     objectives = list(objectives)
-    rest = stored(vectors(points, objectives).distinct())
-    rank, ranked, left = 0, None, not rest.isEmpty()
-    while left and rank != max_rank:
-        rank += 1
-        front = front_vectors(rest, objectives, **options)
-        layer = front.withColumn("pareto_rank", F.lit(rank))
-        ranked = layer if ranked is None else ranked.union(layer)
-        before, rest = rest, stored(rest.join(front, objectives, "left_anti"))
-        free(before)
-        left = not rest.isEmpty()
-    if ranked is None:
+    table = _in_cells(stored(vectors(points, objectives).distinct()), objectives, cell_rows)
+    table = stored(table.withColumn("block", F.concat_ws(",", F.col("at").cast("array<string>"))).withColumn(
+        "step", F.aggregate("at", F.lit(0), lambda a, b: a + b)))
+    steps = sorted(r[0] for r in table.select("step").distinct().collect())
+    if not steps:
         return points.withColumn("pareto_rank", F.lit(None).cast("int"))
-    return _match(points, stored(ranked), objectives, "left")
+    pairs = block_pairs(corners(table, objectives), objectives).where("t <> s")
+    keep = ", ".join(f"`{o}` double" for o in objectives)
+
+    def found_in(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        rows, by = _matrix(mine, objectives), _matrix(theirs, objectives)
+        best = dominator_ranks(rows, by, theirs["pareto_rank"].to_numpy().astype(np.int64)) if len(by) else np.zeros(len(rows), np.int64)
+        return _table(rows[best > 0], objectives).append_column("best", pa.array(best[best > 0]))
+
+    def ranks_in(mine: pa.Table) -> pa.Table:
+        rows = _matrix(mine, objectives)
+        out = local_ranks(rows, mine["least"].to_numpy().astype(np.int64))
+        return _table(rows, objectives).append_column("block", mine["block"]).append_column("pareto_rank", pa.array(out, pa.int32()))
+
+    done: list[DataFrame] = []
+    for step in steps:
+        mine = table.where(F.col("step") == step).select(*objectives, "block")
+        least = F.lit(1)
+        if done:
+            ranked = reduce(DataFrame.unionByName, done)
+            here = stored(pairs.join(mine.select(F.col("block").alias("t")).distinct(), "t"))
+            part = here.where("not whole")
+            target = _beside(mine, part.select(F.col("t").alias("block"), "s"), ["block"]).withColumnRenamed("block", "t")
+            source = _beside(ranked, part.select(F.col("s").alias("block"), "t"), ["block"]).withColumnRenamed("block", "s")
+            above = target.groupBy("t", "s").cogroup(source.groupBy("t", "s")).applyInArrow(found_in, f"{keep}, best long")
+            above = stored(above.groupBy(*objectives).agg(F.max("best").alias("best")))
+            tops = ranked.groupBy(F.col("block").alias("s")).agg(F.max("pareto_rank").alias("top"))
+            floors = stored(here.where("whole").join(tops, "s").groupBy(F.col("t").alias("block")).agg(F.max("top").alias("floor")))
+            mine = mine.join(above, objectives, "left").join(floors, "block", "left")
+            least = F.greatest(F.coalesce("best", F.lit(0)), F.coalesce("floor", F.lit(0))) + 1
+        rows = mine.select(*objectives, "block", least.cast("long").alias("least"))
+        done.append(stored(rows.groupBy("block").applyInArrow(ranks_in, f"{keep}, block string, pareto_rank int")))
+    ranked = reduce(DataFrame.unionByName, done).drop("block")
+    if max_rank is not None:
+        ranked = ranked.where(F.col("pareto_rank") <= max_rank)
+    return _match(points, ranked, objectives, "left")
 
 
 def _beside(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:

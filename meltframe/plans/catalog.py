@@ -412,6 +412,18 @@ def kfold(spark, d):
     return split.with_fold(V.alloy_record(spark, d).select("row_id"))
 
 
+@query
+def kfold_exact(spark, d):
+    """Folds of equal size, give or take one row."""
+    return split.with_exact_fold(V.alloy_record(spark, d).select("row_id"))
+
+
+@query
+def holdout_exact(spark, d):
+    """Exactly a tenth of the rows, rounded up."""
+    return split.with_exact_holdout(V.alloy_record(spark, d).select("row_id"))
+
+
 @query
 def holdout_split(spark, d):
     return split.with_holdout(V.alloy_record(spark, d).select("row_id"))
@@ -543,13 +555,13 @@ def pareto_front(spark, d):
 
 @query
 def pareto_rank(spark, d):
-    """The first three fronts; rows beyond them stay, without a rank."""
-    return pareto.pareto_rank(V.objective_points(spark, d), ["o1", "o2", "o3"], max_rank=3, block_rows=64, best_rows=8)
+    """Every row with the number of its front; small cells, so that ranks pass from cell to cell."""
+    return pareto.pareto_rank(V.objective_points(spark, d), ["o1", "o2", "o3"], cell_rows=64)
 
 
 @query
 def crowding_distance(spark, d):
-    ranked = pareto.pareto_rank(V.objective_points(spark, d), ["o1", "o2", "o3"], max_rank=3)
+    ranked = pareto.pareto_rank(V.objective_points(spark, d), ["o1", "o2", "o3"])
     out = pareto.crowding_distance(ranked, ["o1", "o2", "o3"])
     return out.select("id", "pareto_rank", F.round("crowding", 9).alias("crowding"))
 

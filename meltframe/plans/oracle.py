@@ -73,7 +73,7 @@ MEDIA = ", ".join(
 
 
 def add(name: str, ctes: list[str], select: str) -> None:
-    ORACLE[name] = ("WITH " + ", ".join(ctes) + " " if ctes else "") + select
+    ORACLE[name] = ("WITH RECURSIVE " + ", ".join(ctes) + " " if ctes else "") + select
 
 
 # --- scans, projections ---------------------------------------------------------------
@@ -191,6 +191,10 @@ def hash_sql(key: str, seed: object) -> str:
 
 
 add("kfold", [], f"SELECT o_orderkey AS row_id, CAST({hash_sql('o_orderkey', 42)} % 5 AS INTEGER) AS fold FROM orders")
+add("kfold_exact", [], f"""SELECT o_orderkey AS row_id, CAST((row_number() OVER (ORDER BY {hash_sql('o_orderkey', 42)}, o_orderkey) - 1) % 5 AS INTEGER) AS fold
+  FROM orders""")
+add("holdout_exact", [], f"""SELECT o_orderkey AS row_id,
+  row_number() OVER (ORDER BY {hash_sql('o_orderkey', 14)}, o_orderkey) <= ceil(0.1::DOUBLE * count(*) OVER ()) AS is_test FROM orders""")
 add("holdout_split", [], f"SELECT o_orderkey AS row_id, {hash_sql('o_orderkey', 14)} < {int(0.1 * 2**32)} AS is_test FROM orders")
 add("nontest_rows", [RECORD], f"""SELECT * FROM (SELECT row_id, domain,
   CAST({hash_sql('row_id', 42)} % 5 AS INTEGER) AS fold FROM record) WHERE fold <> 0""")
@@ -317,13 +321,11 @@ def _undominated(source: str) -> str:
   AND a.o3 <= b.o3 AND (a.o1 < b.o1 OR a.o2 < b.o2 OR a.o3 < b.o3))"""
 
 
-RANKS = f"""f1 AS MATERIALIZED ({_undominated('points')}),
-rest1 AS MATERIALIZED (SELECT * FROM points WHERE id NOT IN (SELECT id FROM f1)),
-f2 AS MATERIALIZED ({_undominated('rest1')}),
-rest2 AS MATERIALIZED (SELECT * FROM rest1 WHERE id NOT IN (SELECT id FROM f2)),
-f3 AS MATERIALIZED ({_undominated('rest2')}),
-ranks AS (SELECT p.*, CASE WHEN f1.id IS NOT NULL THEN 1 WHEN f2.id IS NOT NULL THEN 2 WHEN f3.id IS NOT NULL THEN 3 END AS pareto_rank
-  FROM points p LEFT JOIN f1 USING (id) LEFT JOIN f2 USING (id) LEFT JOIN f3 USING (id))"""
+# A rank is the length of the longest chain of points that dominate one another and end in the row.
+RANKS = """dominates AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM points a JOIN points b ON a.o1 <= b.o1 AND a.o2 <= b.o2
+  AND a.o3 <= b.o3 AND (a.o1 < b.o1 OR a.o2 < b.o2 OR a.o3 < b.o3)),
+chains(id, n) AS (SELECT id, 1 FROM points UNION SELECT b, n + 1 FROM chains JOIN dominates ON a = id),
+ranks AS (SELECT p.*, n AS pareto_rank FROM points p JOIN (SELECT id, CAST(max(n) AS INTEGER) AS n FROM chains GROUP BY id) USING (id))"""
 add("pareto_front", [POINTS], _undominated("points"))
 add("pareto_rank", [POINTS, RANKS], "SELECT id, o1, o2, o3, pareto_rank FROM ranks")
 

@@ -6,9 +6,15 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -67,6 +73,13 @@ def free(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def together(spark: SparkSession, tasks: Sequence[Callable[[], T]], at_once: int = 4) -> list[T]:
+    """Results of independent driver-side tasks (fits, folds) whose Spark jobs run side by side; the first error is raised."""
+    tasks = [inheritable_thread_target(spark)(task) for task in tasks]
+    with ThreadPoolExecutor(max(1, min(at_once, len(tasks)))) as pool:
+        return [f.result() for f in [pool.submit(task) for task in tasks]]
+
+
 def local_session(app: str = "meltframe", cores: str | int = "*", memory: str = "12g") -> SparkSession:
     """Local session for tests and the bench."""
     builder = (

@@ -69,7 +69,7 @@ def test_ranks_and_crowding_match_brute_force(spark):
     got = {r["id"]: r["pareto_rank"] for r in ranked.collect()}
     expected = brute_ranks(rows, 3)
     assert got == {i: expected.get(i) for i in range(len(rows))}
-    everyone = {r["id"]: r["pareto_rank"] for r in pareto.pareto_rank(df, OBJ, block_rows=16, best_rows=4).collect()}
+    everyone = {r["id"]: r["pareto_rank"] for r in pareto.pareto_rank(df, OBJ, cell_rows=16).collect()}
     assert everyone == brute_ranks(rows, len(rows))
     for bucket_values in (20_000, 3):
         crowd = {r["id"]: r["crowding"] for r in pareto.crowding_distance(ranked, OBJ, bucket_values=bucket_values).collect()}
@@ -93,3 +93,26 @@ def test_front_is_found_without_nested_loop_joins(spark):
     df = frame(spark, np.random.default_rng(1).random((50, 3)))
     plan = pareto.pareto_front(df, OBJ)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_ranks_of_chains_ties_and_infinities(spark):
+    """A chain has as many fronts as rows; a constant and a 0/1 objective cannot be cut into strips."""
+    n = 200
+    rows = np.array([(i, i, 0.0) for i in range(n)] + [(i % 2, float("inf") if i % 3 else -float("inf"), 1.0) for i in range(60)])
+    got = {r["id"]: r["pareto_rank"] for r in pareto.pareto_rank(frame(spark, rows), OBJ, cell_rows=20).collect()}
+    assert got == brute_ranks(rows, len(rows))
+
+
+def test_block_pairs_are_pruned(spark):
+    """On a skewed set of five objectives most pairs of blocks are never compared, and the front is the same."""
+    rng = np.random.default_rng(5)
+    rows = rng.pareto(1.5, (3_000, 5)) + rng.random((3_000, 5)) * 1e-3
+    names = [f"o{i}" for i in range(1, 6)]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rows)], "id long, " + ", ".join(f"{n} double" for n in names))
+    laid = pareto._in_blocks(pareto._in_cells(pareto.vectors(df, names), names, 100), names, 100)
+    boxes = pareto.corners(laid, names)
+    blocks, pairs = boxes.count(), pareto.block_pairs(boxes, names).count()
+    assert blocks >= 30 and pairs < 0.25 * blocks * blocks
+    front = {r["id"] for r in pareto.pareto_front(df, names, block_rows=100, window=8, best_rows=4).collect()}
+    worse = [np.any(np.all(rows <= r, axis=1) & np.any(rows < r, axis=1)) for r in rows]
+    assert front == {i for i, w in enumerate(worse) if not w}
