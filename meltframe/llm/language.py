@@ -36,12 +36,12 @@ from pyspark.sql import Window
 from meltframe.llm.common import per_worker
 
 UNKNOWN_LANGUAGE = "und"
-SAMPLE_DOCS = 32
-SAMPLE_CHARS = 16_384
+SAMPLE_DOCS = 20
+SAMPLE_CHARS = 8_192
 # Cells of the table of one automaton.
-DENSE_CELLS = 16_000_000
+DENSE_CELLS = 8_000_000
 LANE = 512
-CHARS_AT_ONCE = 1_000_000
+CHARS_AT_ONCE = 700_000
 
 
 def training_sample(docs: DataFrame, learn: Column) -> dict[str, list[str]]:
