@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +45,13 @@ def per_worker(key: Any, make: Callable[[], Any]) -> Any:
 def maybe_broadcast(df: DataFrame, rows: int, most: int = 500_000) -> DataFrame:
     """A table of narrow rows whose number has been counted: broadcast up to `most` rows, left to a shuffled join beyond."""
     return F.broadcast(df) if rows <= most else df
+
+
+def tidy() -> None:
+    """At the end of a task: give the memory it no longer uses back to the system, which an idle worker would keep from the JVM beside it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

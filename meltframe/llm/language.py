@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from meltframe.llm.common import per_worker
+from meltframe.llm.common import per_worker, tidy
 
 UNKNOWN_LANGUAGE = "und"
 SAMPLE_DOCS = 20
@@ -291,6 +291,7 @@ def identify(docs: DataFrame, sample: dict[str, list[str]]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 ["doc_id", "lang_pred", "score"])
+        tidy()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return rows.mapInArrow(predict, "doc_id long, lang_pred string, score double")
@@ -310,5 +311,6 @@ def keep_known(docs: DataFrame, sample: dict[str, list[str]]) -> DataFrame:
             filled = pc.coalesce(batch.column(lang), pa.array([f[0] for f in found], batch.column(lang).type))
             arrays = [filled if i == lang else batch.column(i) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(arrays, batch.schema.names).filter(pa.array([f[2] for f in found], pa.bool_()))
+        tidy()
 
     return docs.mapInArrow(known, docs.schema)

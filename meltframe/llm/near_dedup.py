@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from meltframe.llm import shingles as S
-from meltframe.llm.common import maybe_broadcast, per_worker
+from meltframe.llm.common import maybe_broadcast, per_worker, tidy
 from meltframe.llm.components import components
 from meltframe.session import free, stored
 
@@ -67,6 +67,7 @@ def signatures(docs: DataFrame, words: int = S.WORDS) -> DataFrame:
             types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(c, t) for c, t in zip(zip(*rows), types)]],
                                              ["doc_id", "n_shingles", "digest1", "digest2", "signature"])
+        tidy()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return rows.mapInArrow(sign, "doc_id long, n_shingles long, digest1 long, digest2 long, signature binary")
