@@ -22,6 +22,8 @@ SQL_SETTINGS = {
     # a whole-stage method is never JIT-compiled; at this limit Spark falls back to the split
     # projection instead, which is (measured) about six times faster for that stage.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Batches to and from Python hold whole texts; a fifth of the default number of rows keeps them small on both sides.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
