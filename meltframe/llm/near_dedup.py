@@ -37,7 +37,7 @@ BLOCK, BLOCK_ITEMS = 1_024, 2_000_000
 SEEDS = (0x5EED, 0xF00D)
 # Standard deviations below the threshold at which an estimate drops a pair.
 DEVIATIONS = 6
-TEXTS_AT_ONCE = 512
+TEXTS_AT_ONCE = 256
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
