@@ -23,7 +23,7 @@ from meltframe import constants as K
 from meltframe.functions import columns as C
 from meltframe.operators import evaluate, split
 from meltframe.session import together
-from meltframe.sources.tables import write_feature_config
+from meltframe.sources.tables import read_feature_config, write_feature_config
 
 MAX_DEPTH = 30  # the deepest trees Spark ML grows
 
@@ -93,6 +93,48 @@ def assemble(df: DataFrame, names: Sequence[str] | str, out: str = "features") -
     return VectorAssembler(inputCols=list(names), outputCol=out, handleInvalid="error").transform(df)
 
 
+# --- feature names ---------------------------------------------------------------------
+# A vector column carries the names of its features as Spark ML attributes in its metadata; they survive Parquet.
+
+class FeatureMismatch(ValueError):
+    """A vector does not hold the features that a model was fitted on."""
+
+
+def with_feature_names(df: DataFrame, vector: str, names: Sequence[str]) -> DataFrame:
+    """Name the features of a vector that was not made by `assemble`."""
+    attrs = [{"idx": i, "name": n} for i, n in enumerate(names)]
+    return df.withMetadata(vector, {"ml_attr": {"attrs": {"numeric": attrs}, "num_attrs": len(attrs)}})
+
+
+def feature_names(df: DataFrame, vector: str) -> list[str] | None:
+    """Names of a vector's features by position; None where the column carries none."""
+    groups = df.schema[vector].metadata.get("ml_attr", {}).get("attrs")
+    if not groups:
+        return None
+    held = {a["idx"]: a.get("name") for group in groups.values() for a in group}
+    return [held[i] for i in sorted(held)]
+
+
+def _difference(have: Sequence[str | None], want: Sequence[str]) -> str:
+    lost, extra = [n for n in want if n not in set(have)], [n for n in have if n not in set(want)]
+    moved = [] if lost or extra else [n for n, m in zip(want, have, strict=False) if n != m]
+    parts = [f"{what}: {', '.join(map(str, names))}" for what, names in (("missing", lost), ("unknown", extra), ("moved", moved)) if names]
+    return "; ".join(parts) or f"{len(have)} features for {len(want)}"
+
+
+def require_features(df: DataFrame, vector: str, names: Sequence[str]) -> DataFrame:
+    """The table, if its vector holds these features in this order. The names decide before anything runs; a vector
+    without names is checked by its length, row by row, in the job that reads it."""
+    have = feature_names(df, vector)
+    if have is None:
+        size = F.size(vector_to_array(F.col(vector)))
+        fault = F.raise_error(F.concat(F.lit(f"{vector}: "), size.cast("string"), F.lit(f" features for {len(names)}")))
+        return df.withColumn(vector, F.when(size == len(names), F.col(vector)).otherwise(fault))
+    if list(have) != list(names):
+        raise FeatureMismatch(f"{vector}: {_difference(have, names)}")
+    return df
+
+
 def with_vectors(df: DataFrame) -> DataFrame:
     """Add `features_58` and `features_66` and drop the columns only they need: a narrow table to store and fit on."""
     filled = C.fill_zero(df, K.CORR_FEATURES)
@@ -226,16 +268,35 @@ class Family:
         held = {"regressors": list(self.regressors), "phases": list(self.phases), "mech_features": list(self.mech_features)}
         spark.createDataFrame([(json.dumps(held),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/family")
 
+    def score_vectors(self, df: DataFrame, mech: str = "features_58", corr: str = "features_66") -> DataFrame:
+        """One column per target from ready vectors (`mech` for the mechanical targets, where the family has own features for
+        them). Vectors with other features, or the same in another order, raise `FeatureMismatch` with the names."""
+        vector_of = {t: mech if t in K.MECH_TARGETS and list(self.mech_features) == K.MECH_FEATURES else corr for t in self.regressors}
+        for vector in sorted(set(vector_of.values())):
+            df = require_features(df, vector, K.MECH_FEATURES if vector == mech else K.CORR_FEATURES)
+            df = predict(df, {t: m for t, m in self.regressors.items() if vector_of[t] == vector}, vector)
+        return df
+
     @staticmethod
     def load(path: str) -> Family:
-        """The models saved under the path, with the features they were fitted on."""
+        """The models saved under the path, with the features they were fitted on. A family fitted on other feature lists than
+        this library's, or with a model of another width, raises `FeatureMismatch`."""
+        config = read_feature_config(SparkSession.active(), f"{path}/feature_config")
+        for name, now in (("mech_features", K.MECH_FEATURES), ("corr_features", K.CORR_FEATURES)):
+            if config[name] != now:
+                raise FeatureMismatch(f"{path}, {name}: {_difference(config[name], now)}")
         held = json.loads(SparkSession.active().read.text(f"{path}/family").first()[0])
 
         def read(kind: str, name: str):
             return PipelineModel.load(f"{path}/{kind}_{name}").stages[0]
 
-        return Family({t: read("regressor", t) for t in held["regressors"]}, {p: read("classifier", p) for p in held["phases"]},
-                      held["mech_features"])
+        family = Family({t: read("regressor", t) for t in held["regressors"]}, {p: read("classifier", p) for p in held["phases"]},
+                        held["mech_features"])
+        for t, model in family.regressors.items():
+            width = len(family.mech_features if t in K.MECH_TARGETS else K.CORR_FEATURES)
+            if model.numFeatures != width:
+                raise FeatureMismatch(f"{path}, {t}: {model.numFeatures} features for {width}")
+        return family
 
 
 def two_stage_score(df: DataFrame, family: Family, phase_objectives: bool = False) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from meltframe import constants as K
+from meltframe.session import free, stored
 
 
 def unpivot_stats(row: DataFrame, names: Sequence[str], stats: Sequence[str], label: str = "column") -> DataFrame:
@@ -43,16 +44,34 @@ def histogram(df: DataFrame, col: str) -> DataFrame:
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("n")).orderBy(col)
 
 
+NOT_ONE_FLAG = "some rows have more or fewer than one process flag"
+
+
+def breaks_one_hot(flags: Sequence[str] = tuple(K.PROCESS_FLAGS)) -> Column:
+    """Whether the flags do not add up to exactly one."""
+    return sum((F.coalesce(F.col(f), F.lit(0)) for f in flags[1:]), F.coalesce(F.col(flags[0]), F.lit(0))) != 1
+
+
 def onehot_violations(df: DataFrame, flags: Sequence[str] = tuple(K.PROCESS_FLAGS)) -> DataFrame:
     """Rows whose flags do not add up to exactly one."""
-    total = sum((F.coalesce(F.col(f), F.lit(0)) for f in flags[1:]), F.coalesce(F.col(flags[0]), F.lit(0)))
-    return df.where(total != 1)
+    return df.where(breaks_one_hot(flags))
 
 
 def require_one_hot(df: DataFrame, flags: Sequence[str] = tuple(K.PROCESS_FLAGS)) -> None:
     """Fail the job when any row breaks the one-flag rule."""
     if not onehot_violations(df, flags).isEmpty():
-        raise ValueError("some rows have more or fewer than one process flag")
+        raise ValueError(NOT_ONE_FLAG)
+
+
+def stored_one_hot(df: DataFrame, among: Column, flags: Sequence[str] = tuple(K.PROCESS_FLAGS)) -> DataFrame:
+    """The table stored; rows `among` those named that break the one-flag rule are counted by the job that writes it, and
+    any of them fails it."""
+    counts = Observation()
+    held = stored(df.observe(counts, F.count_if(among & breaks_one_hot(flags)).alias("broken")))
+    if counts.get["broken"]:
+        free(held)
+        raise ValueError(NOT_ONE_FLAG)
+    return held
 
 
 def missing_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from meltframe import constants as K
 from meltframe.functions import columns as C
 from meltframe.functions import text as T
 from meltframe.operators import composition as comp
-from meltframe.operators import evaluate, impute, models, pareto, profile, report, screen, split
+from meltframe.operators import evaluate, impute, models, pareto, profile, report, rules, screen, split
 from meltframe.plans import views as V
 from meltframe.plans import workflows as W
-from meltframe.session import stored, tune
+from meltframe.session import shared_path, stored, tune
+from meltframe.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -493,6 +495,28 @@ def process_class_documents(spark, d):
     return V.table(spark, d, "documents").select("doc_id", T.process_class(F.col("text")).alias("process_class"))
 
 
+@query
+def process_rules_documents(spark, d):
+    """Whole documents again, the rules as a table and one automaton for all of them."""
+    out = rules.classify(V.table(spark, d, "documents").select("doc_id", "text"), F.col("text"), rules.rule_table(spark), "process_class")
+    return out.drop("text")
+
+
+@query
+def checked_scan(spark, d):
+    """The orders as CSV lines, some broken by rule: what could be read, and for the others the key and the reason."""
+    key = F.col("o_orderkey")
+    cust = F.when(key % 97 == 0, F.concat(F.lit("x"), F.col("o_custkey"))).otherwise(F.col("o_custkey").cast("string"))
+    price = F.when(key % 89 == 0, F.lit("n/a")).when(key % 83 == 0, F.lit("")).otherwise(F.col("o_totalprice").cast("string"))
+    tail = F.when(key % 101 == 0, F.lit(",more")).otherwise(F.lit(""))
+    path = shared_path(spark, "lines")
+    V.table(spark, d, "orders").select(F.concat(F.concat_ws(",", key, cust, price), tail)).write.text(path)
+    schema = "o_orderkey bigint not null, o_custkey bigint not null, o_totalprice double"
+    scan = tables.read_checked_csv(spark, path, StructType.fromDDL(schema), header=False)
+    bad = scan.bad.select(F.split_part("record", F.lit(","), F.lit(1)).cast("bigint").alias("o_orderkey"), "reason")
+    return scan.good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True)
+
+
 @query
 def process_argmax(spark, d):
     best = T.first_max(F.slice("raw", 33, 7))

@@ -278,6 +278,12 @@ ORACLE["process_class_documents"] = (
     + " ".join(f"WHEN {_matches(cls)} THEN {cls}" for cls in (7, 6, 4, 5, 3, 2))
     + f" ELSE 1 END AS process_class FROM (SELECT doc_id, lower(trim(text, {_WHITE})) AS v FROM documents)"
 )
+ORACLE["process_rules_documents"] = ORACLE["process_class_documents"]
+ORACLE["checked_scan"] = """SELECT o_orderkey, CASE WHEN reason IS NULL THEN o_custkey END AS o_custkey,
+  CASE WHEN reason IS NULL AND o_orderkey % 83 <> 0 THEN o_totalprice END AS o_totalprice, reason
+  FROM (SELECT *, CASE WHEN o_orderkey % 101 = 0 THEN 'wrong number of fields' WHEN o_orderkey % 97 = 0 AND o_orderkey % 89 = 0
+  THEN 'o_custkey: not a bigint; o_totalprice: not a double' WHEN o_orderkey % 97 = 0 THEN 'o_custkey: not a bigint'
+  WHEN o_orderkey % 89 = 0 THEN 'o_totalprice: not a double' END AS reason FROM orders)"""
 add("process_argmax", [CAND], f"""SELECT row_id, best, CASE best + 1 {_LABELS} ELSE 'Unknown' END AS process FROM
   (SELECT row_id, CAST(arg_max(elem_idx - 32, raw * 100 - elem_idx) AS INTEGER) AS best FROM cand WHERE elem_idx >= 32 GROUP BY row_id)""")
 _PHASE_OF = "CASE elem_idx WHEN 32 THEN 'FCC' WHEN 33 THEN 'BCC' WHEN 34 THEN 'HCP' ELSE 'IM' END"

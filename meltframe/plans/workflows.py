@@ -46,11 +46,12 @@ def harmonise_processing(alloys: DataFrame) -> DataFrame:
 
 
 def prepare(alloys: DataFrame, check: bool = True) -> DataFrame:
-    """Parameters and process flags completed; the check fails the job if a corrosion row has not exactly one flag."""
+    """Parameters and process flags completed; the check fails the job if a corrosion row has not exactly one flag.
+
+    With the check the table is computed and stored by one job, which counts such rows as it writes.
+    """
     ready = harmonise_processing(fill_parameters(alloys))
-    if check:
-        profile.require_one_hot(ready.where(F.col("domain") == "corrosion"))
-    return ready
+    return profile.stored_one_hot(ready, F.col("domain") == "corrosion") if check else ready
 
 
 def model_inputs(prepared: DataFrame) -> DataFrame:

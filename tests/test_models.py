@@ -1,11 +1,15 @@
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from meltframe import constants as K
 from meltframe.operators import composition as comp
 from meltframe.operators import impute, models, report
 from meltframe.operators.models import Forest
+from meltframe.session import stored
 
 FOREST = Forest(trees=4, depth=5, bins=16)
 
@@ -92,6 +96,58 @@ def test_family_of_the_imputed_kind_round_trip(spark, table, tmp_path):
     assert a == b
 
 
+def test_vectors_with_other_features_are_refused_by_name(spark, table, tmp_path):
+    vectors = models.with_vectors(table)
+    specs = [s for s in models.family_a("features_58", "features_66") if s.target in ("hardness", "icorr_log10")]
+    family = models.Family(models.train_family(vectors, specs, FOREST), models.train_phases(vectors, FOREST, "features_58"))
+    stored_vectors = stored(vectors)  # names survive Parquet
+    assert models.feature_names(stored_vectors, "features_58") == K.MECH_FEATURES
+    got = family.score_vectors(stored_vectors.drop("hardness", "icorr_log10"))
+    assert got.count() == table.count() and got.where("hardness is null or icorr_log10 is null").isEmpty()
+    swapped = [*K.MECH_FEATURES[1::-1], *K.MECH_FEATURES[2:]]
+    filled = table.na.fill(0.0, [c for c in K.CORR_FEATURES])
+    for names, said in ((swapped, f"moved: {K.MECH_FEATURES[0]}, {K.MECH_FEATURES[1]}"), (K.MECH_FEATURES[:-1], f"missing: {K.MECH_FEATURES[-1]}")):
+        other = models.assemble(filled, names, "v")
+        with pytest.raises(models.FeatureMismatch, match=said):
+            models.require_features(other, "v", K.MECH_FEATURES)
+    bare = stored_vectors.withMetadata("features_58", {})
+    assert models.feature_names(bare, "features_58") is None
+    assert models.require_features(bare, "features_58", K.MECH_FEATURES).select("features_58").count() == table.count()
+    with pytest.raises(Exception, match="58 features for 57"):
+        models.require_features(bare, "features_58", K.MECH_FEATURES[1:]).select("features_58").collect()
+    named = models.with_feature_names(bare, "features_58", K.MECH_FEATURES)
+    assert models.require_features(named, "features_58", K.MECH_FEATURES).columns == named.columns
+    path = str(tmp_path / "f")
+    family.save(path)
+    spark.createDataFrame([(swapped, K.CORR_FEATURES)], "mech_features array<string>, corr_features array<string>").write.mode(
+        "overwrite").json(f"{path}/feature_config")
+    with pytest.raises(models.FeatureMismatch, match="mech_features: moved"):
+        models.Family.load(path)
+
+
+def test_imputer_as_a_pipeline_stage(spark, simple, tmp_path):
+    holes = simple.withColumn("q", F.when(F.col("row_id") % 9 != 0, F.col("q")))
+    imputer = impute.ForestImputer(inputCols=["p", "q", "r"], rounds=2, numTrees=4, maxDepth=5, maxBins=16, seed=3)
+    pipeline = Pipeline(stages=[imputer, VectorAssembler(inputCols=["p", "q", "r"], outputCol="x"),
+                                RandomForestRegressor(featuresCol="x", labelCol="label", numTrees=4, maxDepth=5, seed=1)])
+    pipeline.write().overwrite().save(str(tmp_path / "plan"))
+    again = Pipeline.load(str(tmp_path / "plan")).getStages()[0]
+    assert again.extractParamMap().keys() == imputer.extractParamMap().keys() and again.getOrDefault("numTrees") == 4
+    assert imputer.copy({imputer.rounds: 1}).getOrDefault("rounds") == 1 and imputer.getOrDefault("rounds") == 2
+    fitted = pipeline.fit(holes)
+    fitted.write().overwrite().save(str(tmp_path / "fitted"))
+    loaded = PipelineModel.load(str(tmp_path / "fitted"))
+    assert loaded.stages[0].uid == fitted.stages[0].uid and loaded.stages[0].getOrDefault("maxDepth") == 5
+
+    def run(model):
+        return [tuple(r) for r in model.transform(holes).select("row_id", "q", "prediction").orderBy("row_id").collect()]
+
+    rows = run(fitted)
+    assert run(loaded) == rows and len(rows) == 600 and all(q is not None for _, q, _ in rows)
+    plain = impute.ChainedImputer(["p", "q", "r"], rounds=2, forest=Forest(trees=4, depth=5, bins=16, seed=3)).fit_transform(holes)[1]
+    assert [q for _, q, _ in rows] == [r["q"] for r in plain.orderBy("row_id").collect()]
+
+
 def test_imputer_leaves_an_empty_column_and_an_empty_table(spark, simple):
     holes = simple.withColumns({"q": F.when(F.col("row_id") % 9 != 0, F.col("q")), "none": F.lit(None).cast("double")})
     imputer = impute.ChainedImputer(["p", "q", "none"], rounds=2, forest=FOREST)

@@ -1,11 +1,14 @@
 import json
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from meltframe import constants as K
 from meltframe.functions import columns as C
 from meltframe.operators import evaluate, impute, profile, report, split
+from meltframe.session import together
 from meltframe.sources import tables
 
 
@@ -21,6 +24,59 @@ def test_versions_never_overwrite_what_is_read(spark, tmp_path):
     assert sorted(r["id"] for r in tables.read_latest(spark, base).collect()) == [10, 11, 12]
 
 
+def test_writers_at_the_same_time_lose_nothing(spark, tmp_path):
+    base = str(tmp_path / "t")
+
+    def write(i):
+        return tables.write_version(spark.range(1).select(F.lit(i).alias("who")), base)
+
+    made = together(spark, [partial(write, i) for i in range(6)], at_once=6)
+    assert sorted(made) == [f"{base}/v{i}" for i in range(1, 7)] and tables.versions(spark, base) == [1, 2, 3, 4, 5, 6]
+    held = {tables.read_version(spark, base, v).first()["who"] for v in range(1, 7)}
+    assert held == set(range(6))
+    assert tables.read_latest(spark, base).first() == tables.read_version(spark, base, 6).first()
+
+
+def test_one_successor_of_a_version_and_retention(spark, tmp_path):
+    base = str(tmp_path / "t")
+    tables.write_version(spark.range(1), base, after=0)
+    assert tables.write_version(spark.range(2), base, after=1).endswith("v2")
+    with pytest.raises(tables.VersionConflict):
+        tables.write_version(spark.range(9), base, after=1)
+    tables.write_version(spark.range(3), base)
+    pinned = tables.read_version(spark, base, 2)
+    assert tables.retain(spark, base, keep=2) == [1] and tables.versions(spark, base) == [2, 3]
+    assert pinned.count() == 2 and tables.retain(spark, base, keep=0) == [2]
+    with pytest.raises(FileNotFoundError):
+        tables.read_version(spark, base, 2)
+    assert tables.write_version(spark.range(4), base).endswith("v4")
+
+
+def test_a_version_with_violations_is_not_committed(spark, tmp_path):
+    base = str(tmp_path / "t")
+    tables.write_version(spark.range(3), base, violations={"negative": F.col("id") < 0})
+    with pytest.raises(ValueError, match="odd"):
+        tables.write_version(spark.range(7), base, violations={"odd": F.col("id") % 2 == 1, "negative": F.col("id") < 0})
+    assert tables.versions(spark, base) == [1] and tables.read_latest(spark, base).count() == 3
+    assert not (tmp_path / "t" / "v2").exists()
+
+
+def test_rows_that_cannot_be_read_are_kept_with_a_reason(spark, tmp_path):
+    schema = StructType.fromDDL("row_id bigint not null, hardness double, n int, note string")
+    lines = ["row_id,hardness,n,note", "1,2.5,3,fine", "2,abc,3,x", "3,,,", ",1.0,1,lost", "5,1.0", "6,1.0,1,a,b", "7,NaN,1.5,y", "x,y,z,w"]
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
+    scan = tables.read_checked_csv(spark, str(tmp_path / "a.csv"), schema)
+    assert sorted(tuple(r) for r in scan.good.collect()) == [(1, 2.5, 3, "fine"), (3, None, None, None)]
+    assert (scan.n_good, scan.n_bad) == (2, 6) and scan.good.columns == schema.names
+    assert {r["record"]: r["reason"] for r in scan.bad.collect()} == {
+        "2,abc,3,x": "hardness: not a double", ",1.0,1,lost": "row_id: missing", "5,1.0": "wrong number of fields",
+        "6,1.0,1,a,b": "wrong number of fields", "7,NaN,1.5,y": "n: not a int",
+        "x,y,z,w": "row_id: not a bigint; hardness: not a double; n: not a int"}
+    (tmp_path / "empty.csv").write_text("")
+    empty = tables.read_checked_csv(spark, str(tmp_path / "empty.csv"), schema)
+    assert (empty.n_good, empty.n_bad, empty.good.count(), empty.bad.count()) == (0, 0, 0, 0)
+
+
 def test_csv_needs_a_schema_and_nan_becomes_null(spark, tmp_path):
     path = str(tmp_path / "csv")
     spark.createDataFrame([(1, float("nan")), (2, 1.5)], "row_id long, hardness double").write.option(
@@ -45,6 +101,7 @@ def test_feature_config_and_results(spark, tmp_path):
     tables.write_feature_config(spark, str(tmp_path / "config"))
     config = json.loads(spark.read.text(str(tmp_path / "config")).first()[0])
     assert len(config["mech_features"]) == 58 and len(config["corr_features"]) == 66
+    assert tables.read_feature_config(spark, str(tmp_path / "config")) == config
     both = report.results_union({"A": spark.range(2), "B": spark.range(3)})
     metrics = spark.createDataFrame([("Hardness", 0.8)], "property string, r2 double")
     tables.write_results(both, metrics, str(tmp_path / "out"))
@@ -77,6 +134,15 @@ def test_one_hot_guard(spark):
         profile.require_one_hot(flags.withColumn("process_1", F.lit(1)))
 
 
+def test_one_hot_is_checked_by_the_job_that_stores(spark):
+    flags = spark.createDataFrame([(1, 1), (2, 3), (3, 7)], "row_id int, process_class int").withColumns(C.process_flags())
+    wrong = flags.withColumn("process_1", F.when(F.col("row_id") == 3, F.lit(1)).otherwise(F.col("process_1")))
+    assert sorted(profile.stored_one_hot(flags, F.lit(True)).collect()) == sorted(flags.collect())
+    assert profile.stored_one_hot(wrong, F.col("row_id") < 3).count() == 3
+    with pytest.raises(ValueError, match="more or fewer"):
+        profile.stored_one_hot(wrong, F.lit(True))
+
+
 def test_folds_cover_every_row_once(spark):
     folded = split.with_fold(spark.range(5000).withColumnRenamed("id", "row_id"))
     counts = {r["fold"]: r["n"] for r in folded.groupBy("fold").agg(F.count("*").alias("n")).collect()}

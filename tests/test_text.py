@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from meltframe import constants as K
 from meltframe.functions import text as T
 from meltframe.operators import composition as comp
-from meltframe.operators import screen
+from meltframe.operators import rules, screen
 from meltframe.plans.views import phrases
 
 
@@ -64,3 +64,28 @@ def test_labels(spark):
     assert [r["l"] for r in codes.collect()] == ["Cryogenic treatments", "Unknown", "Unknown"]
     name = spark.range(1).select(T.short_name(F.lit("Hardness (HVN)")).alias("n")).first()["n"]
     assert name == "Hardness"
+
+
+def test_rules_as_a_table_agree_with_the_columns(spark):
+    notes = ["As-cast", "rolled and annealed at 900 °C", "", None, "nan", " CRYO rolled", "Laser cladding", "artificial aging", "plain", "x" * 5000 + "sinter"]
+    df = spark.createDataFrame(list(enumerate(notes)), "id int, note string").withColumn("want", T.process_class(F.col("note")))
+    out = rules.classify(df, F.col("note"), rules.rule_table(spark), "got")
+    assert out.columns == ["id", "note", "want", "got"] and [r["got"] for r in out.collect()] == [r["want"] for r in out.collect()]
+    assert rules.classify(df.limit(0), F.col("note"), rules.rule_table(spark)).count() == 0
+
+
+def test_rule_table_ties_and_odd_rows(spark):
+    df = spark.createDataFrame([(1, "alpha beta"), (2, "beta"), (3, "none"), (4, None)], "id int, note string")
+
+    def run(rows, **options):
+        table = spark.createDataFrame(rows, "priority long, class int, keyword string")
+        return [r["class"] for r in rules.classify(df, F.col("note"), table, default=9, **options).orderBy("id").collect()]
+
+    assert run([]) == [9, 9, 9, 9]
+    assert run([(5, 2, "beta"), (1, 4, "alpha"), (7, 1, "beta"), (0, 3, None)]) == [4, 2, 9, 9]
+    assert run([(1, 6, "alpha"), (1, 5, "beta")]) == [5, 5, 9, 9]
+    assert run([(2, 6, ""), (1, 5, "alpha"), (3, 4, "beta")]) == [5, 6, 6, 9]
+    with pytest.raises(ValueError, match="letters"):
+        run([(1, 1, "a long keyword")], limit=5)
+    with pytest.raises(ValueError, match="already"):
+        rules.classify(df, F.col("note"), rules.rule_table(spark), "note")
