@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from meltframe import constants as K
 
 TOTAL = "amount_total"
+AMOUNTS = "amounts_present"
 
 
 # Arithmetic over the 32 elements is written as SQL text: one expression string is parsed at once, while the
@@ -92,8 +93,15 @@ def to_long(wide: DataFrame, key: str = "row_id", above: float = 0.0) -> DataFra
 
 
 def clean_amounts(wide: DataFrame, above: float = 0.0) -> DataFrame:
-    """Amounts that count as present; NULL, negative and tiny ones become 0."""
-    return wide.withColumns({e: F.expr(f"CASE WHEN {e} > {_num(above)} THEN CAST({e} AS DOUBLE) ELSE 0D END") for e in K.ELEMENTS})
+    """Amounts that count as present; NULL, negative and tiny ones become 0.
+
+    The rule is one function over the array of amounts: 32 conditions beside the sums of an aggregation and the arithmetic that
+    follows would make one generated method of more than the 64 KB a method may have. The function ends the aggregation's stage.
+    """
+    held = F.transform(elements_array(), lambda a: F.when(a > above, a.cast("double")).otherwise(F.lit(0.0)))
+    amounts = {e: F.expr(f"coalesce(get({AMOUNTS}, {i}), 0D)") for i, e in enumerate(K.ELEMENTS)}
+    others = [c for c in wide.columns if c not in K.ELEMENT_INDEX]
+    return wide.select(*others, held.alias(AMOUNTS)).withColumns(amounts).select(*wide.columns)
 
 
 def with_total(wide: DataFrame, above: float = 0.0) -> DataFrame:

@@ -241,7 +241,7 @@ def observed_vs_imputed(spark, d):
 @query
 def nontest_rows(spark, d):
     folded = split.with_fold(V.alloy_record(spark, d).select("row_id", "domain"))
-    return split.nontest_rows(folded, folded.where(F.col("fold") == 0))
+    return split.outside_fold(folded, 0)
 
 
 @query

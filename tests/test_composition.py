@@ -111,3 +111,16 @@ def test_one_alloy_holding_a_third_of_all_rows(spark):
     hot = wide.where("row_id = -1").select(F.expr(" + ".join(K.ELEMENTS)).alias("total")).collect()
     assert [r["total"] for r in hot] == [20000.0]
     assert wide.count() == 20001
+
+
+def test_parameters_compile(spark):
+    """No stage of the parameters is too large for the generated code of one method."""
+    before = spark.conf.get("spark.sql.codegen.fallback")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert len(params(spark)) == len(RECIPES)
+        odd = spark.createDataFrame([("x", 1, None), ("x", 2, -3.0), ("x", 3, 2.0)], "row_id string, elem_idx int, amount double")
+        row = comp.clean_amounts(comp.to_wide(odd)).first()
+        assert row["row_id"] == "x" and [row[e] for e in K.ELEMENTS] == [2.0 if i == 3 else 0.0 for i in range(len(K.ELEMENTS))]
+    finally:
+        spark.conf.set("spark.sql.codegen.fallback", before)
