@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from meltframe import constants as K
 from meltframe.functions import columns as C
-from meltframe.operators import evaluate, split
+from meltframe.operators import evaluate, scoring, split
 from meltframe.session import together
 from meltframe.sources.tables import read_feature_config, write_feature_config
 
@@ -179,8 +179,20 @@ def fit_classifier(df: DataFrame, label: str, names: Sequence[str] | str, forest
 
 def predict(df: DataFrame, models: Mapping[str, object], names: Sequence[str] | str,
             probability: bool = False) -> DataFrame:
-    """Add one column per model (`name`), and `<name>_probability` of class 1 if asked; one vector for all."""
+    """Add one column per model (`name`), and `<name>_probability` of class 1 if asked; one vector for all.
+
+    Several models are scored together, a batch of rows at a time; a single one by its own transform.
+    """
     out = _filled(df, names, "_features")
+    if len(models) > 1:
+        flat = scoring.flat_forests(df.sparkSession, models)
+        out = out.withColumn("_scores", scoring.batch_scores(flat, vector_to_array(F.col("_features"))))
+        added = {}
+        for i, (name, forest) in enumerate(flat.items()):
+            added[name] = F.col(f"_scores.p{i}")
+            if probability and forest.classifies:
+                added[f"{name}_probability"] = F.col(f"_scores.c{i}")
+        return out.withColumns(added).drop("_features", "_scores")
     for name, model in models.items():
         columns, helpers = {model.featuresCol: "_features", model.predictionCol: name}, []
         if isinstance(model, RandomForestClassificationModel):

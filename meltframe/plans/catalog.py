@@ -602,12 +602,13 @@ def front_pairs(spark, d):
 
 # --- models -------------------------------------------------------------------------
 # The published settings (100 trees, depth 50 there, 30 here; 50 trees for imputation) are the defaults of the operators.
-# The queries fit every target, fold and round on all rows and only grow smaller forests. A prediction is no SQL value,
-# so each query returns what SQL can decide about it for every row: keys, labels, counts, cells that must not change,
-# and whether a prediction lies in the range of the labels it was learned from, as a forest's must.
+# The queries fit every target, fold and round on all rows and only grow smaller forests, the imputations the smallest.
+# A prediction is no SQL value, so each query returns what SQL can decide about it for every row: keys, labels, counts,
+# cells that must not change, whether a prediction lies in the range of the labels it was learned from, as a forest's
+# must, and whether the model explains those labels better than a constant could (`learned`).
 
-SMALL = models.Forest(trees=6, depth=6, bins=32, partitions=8)
-SMALL_PHASE = models.Forest(trees=6, depth=6, bins=32, seed=4, partitions=8)
+SMALL = models.Forest(trees=10, depth=8, bins=32, partitions=8)
+SMALL_PHASE = models.Forest(trees=10, depth=8, bins=32, seed=4, partitions=8)
 TINY = models.Forest(trees=3, depth=4, bins=32, partitions=4)
 
 V58, V66 = "features_58", "features_66"
@@ -630,6 +631,20 @@ def _ranges(table: DataFrame) -> dict[str, tuple[float, float]]:
     return {r["t"]: (r["lo"], r["hi"]) for r in out.collect()}
 
 
+def _scored(table: DataFrame) -> tuple[DataFrame, dict[str, bool]]:
+    """The table with `<target>_guess` of every row, stored, and which targets' guesses explain the labels learned from: an R² a
+    constant cannot have."""
+    family = models.train_family(table, SPECS, SMALL)
+    for vector in (V58, V66):
+        table = models.predict(table, {f"{s.target}_guess": family[s.target] for s in SPECS if s.features == vector}, vector)
+    table = stored(table)
+    parts = [evaluate.r2_score(s.rows(table), s.target, f"{s.target}_guess", []).withColumn("t", F.lit(s.target)) for s in SPECS]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return table, {r["t"]: r["r2"] is not None and r["r2"] > 0.01 for r in out.collect()}
+
+
 def _in_range(ranges: dict, column: str, target: str):
     low, high = ranges[target]
     return F.coalesce(F.col(column).between(low - 1e-9 * abs(low), high + 1e-9 * abs(high)), F.lit(False))
@@ -646,29 +661,31 @@ def _count(conditions):
 def rf_regress(spark, d):
     """A forest per target, every row scored: the label and whether the prediction lies among those learned from."""
     table = _stored_features(spark, d)
-    ranges, out = _ranges(table), table
-    for spec in SPECS:
-        model = models.fit_regressor(spec.rows(table), spec.target, spec.features, SMALL)
-        out = models.predict(out, {f"{spec.target}_guess": model}, spec.features)
-    cells = F.array(*[F.struct(F.lit(t).alias("target"), F.round(t, 9).alias("truth"), _in_range(ranges, f"{t}_guess", t).alias("in_range"))
-                      for t in K.TARGETS])
+    ranges, (out, learned) = _ranges(table), _scored(table)
+    cells = F.array(*[F.struct(F.lit(t).alias("target"), F.round(t, 9).alias("truth"), _in_range(ranges, f"{t}_guess", t).alias("in_range"),
+                               F.lit(learned[t]).alias("learned")) for t in K.TARGETS])
     return out.select("row_id", F.inline(cells))
 
 
 @query
 def rf_classify(spark, d):
+    """A classifier per phase, on the held-out rows against the answer a constant would do best with."""
     table = _stored_features(spark, d)
-    scores = [models.holdout_accuracy(table, p, V58, SMALL_PHASE)[1] for p in K.PHASE_FLAGS]
+    scores = []
+    for p in K.PHASE_FLAGS:
+        share = split.with_holdout(table.where(F.col(p).isNotNull())).where("is_test").agg(F.avg(F.col(p).cast("double")).alias("share"))
+        score = models.holdout_accuracy(table, p, V58, SMALL_PHASE)[1]
+        scores.append(score.select("phase", "n", F.col("accuracy") - F.greatest(share.scalar(), F.lit(1) - share.scalar()).alias("gain")))
     out = scores[0]
     for score in scores[1:]:
         out = out.unionByName(score)
-    return out.select("phase", "n", F.col("accuracy").between(0.5, 1.0).alias("better_than_chance"))
+    return out.toDF("phase", "n", "gain").select("phase", "n", (F.col("gain") > 0).alias("better_than_chance"))
 
 
 @query
 def cv_r2(spark, d):
     """Five folds of every target."""
-    scores = models.cv_r2(_stored_features(spark, d), SPECS, forest=TINY)
+    scores = models.cv_r2(_stored_features(spark, d), SPECS, forest=SMALL)
     return scores.select("property", "n", F.coalesce(F.col("r2") <= 1, F.lit(False)).alias("scored"))
 
 
@@ -695,11 +712,9 @@ def nested_cv_r2(spark, d):
 def batch_score(spark, d):
     """Seven regressors in one pass over the table."""
     table = _stored_features(spark, d)
-    family, ranges = models.train_family(table, SPECS, TINY), _ranges(table)
-    mech = {f"{t}_guess": family[t] for t in K.MECH_TARGETS}
-    corr = {f"{t}_guess": family[t] for t in K.CORR_TARGETS}
-    out = models.predict(models.predict(table, mech, V58), corr, V66)
-    return out.select("row_id", _count([_in_range(ranges, f"{t}_guess", t) for t in K.TARGETS]).alias("n_in_range"))
+    ranges, (out, learned) = _ranges(table), _scored(table)
+    return out.select("row_id", _count([_in_range(ranges, f"{t}_guess", t) for t in K.TARGETS]).alias("n_in_range"),
+                      F.lit(sum(learned.values())).alias("n_learned"))
 
 
 @query
@@ -716,7 +731,7 @@ def phase_probability(spark, d):
 def two_stage_score(spark, d):
     """Phases from empty slots, then every target from features that hold those phases."""
     table, vectors = stored(V.feature_table(spark, d)), _stored_features(spark, d)
-    family = models.Family(models.train_family(vectors, SPECS, TINY), models.train_phases(vectors, SMALL_PHASE, V58))
+    family = models.Family(models.train_family(vectors, SPECS, SMALL), models.train_phases(vectors, SMALL_PHASE, V58))
     ranges, out = _ranges(vectors), models.two_stage_score(table, family, phase_objectives=True)
     flags = [F.col(c).isin(0.0, 1.0) for p in K.PHASE_FLAGS for c in (p, f"{p}_objective")]
     return out.select("row_id", _count(flags).alias("n_flags"), _count([_in_range(ranges, t, t) for t in K.TARGETS]).alias("n_in_range"))
@@ -727,7 +742,7 @@ def screen_report(spark, d):
     """The search from end to end: vectors decoded with the bounds of the alloys, constrained, scored in two stages by models
     trained on the alloys, reduced to the front, reported."""
     vectors = _stored_features(spark, d)
-    family = models.Family(models.train_family(vectors, SPECS, TINY), models.train_phases(vectors, SMALL_PHASE, V58))
+    family = models.Family(models.train_family(vectors, SPECS, SMALL), models.train_phases(vectors, SMALL_PHASE, V58))
     amounts = stored(screen.decode(V.candidates(spark, d), profile.bounds_row(V.wide(spark, d))))
     request = screen.ScreenRequest(max_elements=len(K.ELEMENTS), objectives=("Density", "Aluminum Content"))
     out = W.screen_candidates(amounts, family, request, "NaCl", 0.6)

@@ -361,7 +361,7 @@ _SEVEN = " UNION ALL ".join(f"SELECT row_id, '{t}' AS target, CAST({{}} AS DOUBL
 _MEDIA_LIST = ", ".join(f"'{m}'" for m in K.ELECTROLYTES)
 _OWN_ROWS = {t: f"domain = 'mechanical' AND {t} IS NOT NULL" if t in K.MECH_TARGETS else
              f"domain = 'corrosion' AND electrolyte IN ({_MEDIA_LIST}) AND {t} IS NOT NULL" for t in K.TARGETS}
-add("rf_regress", [RECORD, PREPARED], f"SELECT *, TRUE AS in_range FROM ({_SEVEN})")
+add("rf_regress", [RECORD, PREPARED], f"SELECT *, TRUE AS in_range, TRUE AS learned FROM ({_SEVEN})")
 add("rf_classify", [RECORD], " UNION ALL ".join(
     f"SELECT '{p}' AS phase, COUNT(*) AS n, TRUE AS better_than_chance FROM record WHERE {p} IS NOT NULL "
     f"AND {hash_sql('row_id', '14')} < {int(0.1 * 4294967296)}" for p in K.PHASE_FLAGS))
@@ -372,7 +372,7 @@ add("chained_impute", [RECORD, PREPARED], "SELECT row_id, " + ", ".join(
 add("nested_cv_r2", [RECORD, PREPARED], " UNION ALL ".join(
     f"SELECT '{t}' AS target, COUNT(*) AS n, TRUE AS scored FROM prepared WHERE {t} IS NOT NULL AND domain = "
     f"'{'mechanical' if t in K.MECH_TARGETS else 'corrosion'}'" for t in K.TARGETS))
-add("batch_score", [RECORD], f"SELECT row_id, {len(K.TARGETS)} AS n_in_range FROM record")
+add("batch_score", [RECORD], f"SELECT row_id, {len(K.TARGETS)} AS n_in_range, {len(K.TARGETS)} AS n_learned FROM record")
 add("phase_probability", [RECORD], f"SELECT row_id, {len(K.PHASE_FLAGS)} AS n_probabilities FROM record")
 add("two_stage_score", [RECORD], f"SELECT row_id, {2 * len(K.PHASE_FLAGS)} AS n_flags, {len(K.TARGETS)} AS n_in_range FROM record")
 add("screen_report", [CAND, COMP, PROPS, f"""bounds AS (SELECT elem_idx, CASE WHEN COUNT(*) < (SELECT COUNT(DISTINCT row_id) FROM comp)
