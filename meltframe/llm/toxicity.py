@@ -1,12 +1,14 @@
 """Toxicity: a learned lexicon matched through Levenshtein automata, and context windows that tell quotation from abuse.
 
 1. Lexicon. Over all labelled training rows, the documents that hold a word or a word beginning are counted by label; those that tie to
-   toxic documents beyond chance (likelihood ratio above twice the log of the number of candidates) are the terms, words or stems.
+   toxic documents beyond chance (likelihood ratio above twice the log of the number of candidates) are the terms, words or stems,
+   however many these are. Only they reach the driver, as part of the model.
 2. Matching. The terms form a trie. Running the Levenshtein automata of all terms at once is a search over sets of (trie node, errors);
    these sets are the states of one deterministic automaton, built as far as tokens need it. A token costs one step per character and
    most leave the automaton after three or four.
-3. Context. Around every match a window of words is read: quotation marks around it, words of report, words of address. Matches
-   inside quotation count apart from the others.
+3. Context. Around every match a window of words is read. The words that stand in the windows of other rows beyond chance are words
+   of report, those of toxic rows words of address; both are learned from all different windows of the training rows. Quotation
+   marks are fixed; matches inside quotation count apart from the others.
 4. A logistic regression over these counts is fitted to at most `FIT_ROWS` labelled rows and applied to every whole text.
 
 Defined results: a null text is empty; a text without a match gets the score the regression gives to no match; without labelled
@@ -21,8 +23,8 @@ import hashlib
 import json
 import math
 import re
-from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +36,11 @@ from meltframe.session import stored
 
 # Labelled rows the regression is fitted to.
 FIT_ROWS = 20_000
-# Terms of the lexicon, the strongest first.
-TERMS = 1_000
 MIN_TOXIC = 3
 STEMS = (4, 5, 6)
 WINDOW = 6
 # Tokens a worker remembers.
 REMEMBERED = 300_000
-# Words of report and address in the window; the regression decides what they mean.
-REPORT = frozenset("said says say wrote writes called calls quote quoted quotes word words term comment heard told".split())
-ADDRESS = frozenset("you your yours youre you're u ur yourself tu vous du sie ihr usted ustedes te".split())
 OPENING, CLOSING, EITHER = "“«„‹", "”»‟›", "\"'`"
 FEATURES = 8
 
@@ -51,6 +48,8 @@ FEATURES = 8
 @dataclass
 class Model:
     terms: list[tuple[str, bool]] = field(default_factory=list)  # (text, is a stem)
+    report: list[str] = field(default_factory=list)  # words that tell of a term
+    address: list[str] = field(default_factory=list)  # words that throw it at somebody
     weights: list[float] = field(default_factory=lambda: [0.0] * (FEATURES + 1))
     prior: float = 0.0
 
@@ -143,12 +142,13 @@ class Matcher:
 
 
 class Reader:
-    """Features of whole texts under a model's terms."""
+    """Features of whole texts under a model's terms and words of context."""
 
     EDGE = re.compile(r"^\W+|\W+$")
 
-    def __init__(self, terms: list[tuple[str, bool]]):
+    def __init__(self, terms: list[tuple[str, bool]], report: Sequence[str] = (), address: Sequence[str] = ()):
         self.matcher = Matcher([tuple(t) for t in terms])
+        self.report, self.address = frozenset(report), frozenset(address)
         self.known: dict[str, int] = {}
 
     def errors(self, token: str) -> int:
@@ -181,24 +181,38 @@ class Reader:
                 return True
         return False
 
-    def features(self, text: str) -> list[float]:
-        tokens = text.lower().split()
+    def hits(self, tokens: list[str]) -> list[tuple[int, int]]:
+        """(place, errors) of the tokens that match."""
         known = self.known
-        found = [known.get(t) for t in tokens]
         hits = []
-        for i, errors in enumerate(found):
+        for i, token in enumerate(tokens):
+            errors = known.get(token)
             if errors is None:
-                errors = self.errors(tokens[i])
+                errors = self.errors(token)
             if errors >= 0:
                 hits.append((i, errors))
+        return hits
+
+    def around(self, tokens: list[str], at: int) -> list[str]:
+        """The words of the window, without their punctuation."""
+        return [self.EDGE.sub("", t) for t in tokens[max(0, at - WINDOW):at + 1 + WINDOW]]
+
+    def windows(self, text: str) -> set[tuple[str, ...]]:
+        """The different windows around matches, without the words that match."""
+        tokens = text.lower().split()
+        return {tuple(w for w in self.around(tokens, i) if w and self.errors(w) < 0) for i, _ in self.hits(tokens)}
+
+    def features(self, text: str) -> list[float]:
+        tokens = text.lower().split()
+        hits = self.hits(tokens)
         if not hits:
             return [0.0] * (FEATURES - 1) + [math.log1p(len(tokens))]
         plain = fuzzy = quoted = report = address = 0
         places = []
         for i, errors in hits:
-            window = [self.EDGE.sub("", t) for t in tokens[max(0, i - WINDOW):i + 1 + WINDOW]]
-            report += any(w in REPORT for w in window)
-            address += any(w in ADDRESS for w in window)
+            window = self.around(tokens, i)
+            report += not self.report.isdisjoint(window)
+            address += not self.address.isdisjoint(window)
             if self.quoted(tokens, i):
                 quoted += 1
                 continue
@@ -255,64 +269,93 @@ def _settings(rows: DataFrame, terms: DataFrame) -> DataFrame:
         F.count_distinct("before").alias("places"))
 
 
-def likelihood_ratio(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
-    """G statistic of a term in a of n_a toxic and b of n_b other documents; 0 where it is no more frequent in toxic ones."""
-    def part(x, n, rate):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(x > 0, x * np.log(x / (n * rate)), 0) + np.where(n > x, (n - x) * np.log((n - x) / (n * (1 - rate))), 0)
+def likelihood_ratio(a: Column, b: Column, n_a: int, n_b: int) -> Column:
+    """G statistic of a term in a of n_a toxic and b of n_b other rows; 0 where it is no more frequent in toxic ones."""
+    def times_log(x: Column, mean: Column) -> Column:
+        return F.when(x > 0, x * F.ln(x / mean)).otherwise(0.0)
 
-    rate = (a + b) / (n_a + n_b)
-    g = 2 * (part(a, n_a, rate) + part(b, n_b, rate))
-    return np.where(a / n_a > b / n_b, np.nan_to_num(g), 0)
+    rate = (a + b) / F.lit(float(n_a + n_b))
+    g = sum((times_log(x, n * rate) + times_log(n - x, n * (1 - rate)) for x, n in ((a, F.lit(float(n_a))), (b, F.lit(float(n_b))))), F.lit(0.0))
+    return F.when(a / n_a > b / n_b, 2 * g).otherwise(0.0)
 
 
-def choose_terms(counts: dict[str, tuple[int, int]], n_toxic: int, n_other: int, n_candidates: int) -> list[tuple[str, bool]]:
-    """Words and stems from (toxic, other) document counts of the candidates."""
-    if not counts:
-        return []
-    names = sorted(counts)
-    a = np.array([counts[n][0] for n in names], float)
-    b = np.array([counts[n][1] for n in names], float)
-    g = likelihood_ratio(a, b, n_toxic, n_other)
-    strong = {n: (g[i], a[i]) for i, n in enumerate(names) if g[i] >= 2 * math.log(max(2, n_candidates)) and b[i] / n_other < 0.1 * a[i] / n_toxic}
+def choose_terms(strong: dict[str, tuple[float, float]]) -> list[tuple[str, bool]]:
+    """Words and stems from the (statistic, toxic rows) of the words and beginnings over the threshold."""
     chosen: dict[tuple[str, bool], float] = {}
+    stems = sorted((s[:-1] for s in strong if s.endswith("*")), key=lambda s: (len(s), s))
+    below: dict[str, list[str]] = {s: [] for s in stems}  # what begins with a strong beginning, itself included
+    for name in sorted(strong):
+        for n in STEMS:
+            if len(name.rstrip("*")) >= n and name[:n] in below:
+                below[name[:n]].append(name)
     # words and stems below each strong beginning, from the longest stem that keeps nearly all its documents
-    for stem in sorted((s[:-1] for s in strong if s.endswith("*")), key=len):
-        if any(stem.startswith(t) for t, is_stem in chosen if is_stem):
+    for stem in stems:
+        if any((stem[:n], True) in chosen for n in STEMS):
             continue
-        word = max((w for w in strong if not w.endswith("*") and w.startswith(stem)), key=lambda w: strong[w][1], default=None)
+        word = max((w for w in below[stem] if not w.endswith("*")), key=lambda w: (strong[w][1], w), default=None)
         if word and strong[word][1] >= 0.8 * strong[stem + "*"][1]:
             chosen[word, False] = strong[word][0]
             continue
-        longer = [s[:-1] for s in strong if s.endswith("*") and s.startswith(stem) and strong[s][1] >= 0.95 * strong[stem + "*"][1]]
-        best = max(longer, key=len)
+        longer = [s[:-1] for s in below[stem] if s.endswith("*") and strong[s][1] >= 0.95 * strong[stem + "*"][1]]
+        best = max(longer, key=lambda s: (len(s), s))
         chosen[best, True] = strong[best + "*"][0]
     for word in (w for w in strong if not w.endswith("*")):
-        if not any(word == t or is_stem and word.startswith(t) for t, is_stem in chosen):
+        if (word, False) not in chosen and not any((word[:n], True) in chosen for n in STEMS):
             chosen[word, False] = strong[word][0]
-    return sorted(chosen, key=lambda t: (-chosen[t], t))[:TERMS]
+    return sorted(chosen, key=lambda t: (-chosen[t], t))
+
+
+def _totals(rows: DataFrame) -> tuple[int, int]:
+    """Toxic and other rows."""
+    totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    return totals.get(1, 0), sum(n for t, n in totals.items() if t != 1)
 
 
 def learn_terms(rows: DataFrame) -> list[tuple[str, bool]]:
     """The lexicon, from all training rows: beginnings and words of toxic rows first, then the others' counts of those."""
-    totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    n_toxic, n_other = totals.get(1, 0), sum(n for t, n in totals.items() if t != 1)
+    n_toxic, n_other = _totals(rows)
     if not n_toxic or not n_other:
         return []
     candidates = stored(_terms(rows.where("toxic = 1")).groupBy("term").agg(F.count("*").alias("a")).where(F.col("a") >= MIN_TOXIC))
     n = candidates.count()
     others = _terms(rows.where("toxic <> 1")).join(maybe_broadcast(candidates.select("term"), n), "term").groupBy("term").agg(
         F.count("*").alias("b"))
-    # a term that could not reach the threshold even without any other document is not sent to the driver
+    # a term that could not reach the threshold even without any other document needs no settings
     rate = n_toxic / (n_toxic + n_other)
     least = math.ceil(math.log(max(2, n)) / -math.log(rate)) if rate < 1 else MIN_TOXIC
     counted = candidates.where(F.col("a") >= least).join(others, "term", "left").select("term", "a", F.coalesce("b", F.lit(0)).alias("b"))
     likely = stored(counted.where((F.col("b") / n_other < F.lit(0.1) * F.col("a") / n_toxic)))
     places = _settings(rows.where("toxic = 1"), maybe_broadcast(likely.select("term"), likely.count()))
     # a term counts for no more documents than it has settings
-    likely = likely.join(places, "term").select("term", F.least("a", "places").alias("a"), "b").where(F.col("a") >= least)
-    kept = likely.orderBy(F.col("a").desc(), "term").limit(20 * TERMS).collect()
-    return choose_terms({r["term"]: (r["a"], r["b"]) for r in kept}, n_toxic, n_other, n)
+    likely = likely.join(places, "term").select("term", F.least("a", "places").alias("a"), "b")
+    strong = likely.withColumn("g", likelihood_ratio(F.col("a"), F.col("b"), n_toxic, n_other)).where(
+        (F.col("g") >= 2 * math.log(max(2, n))) & (F.col("b") / n_other < F.lit(0.1) * F.col("a") / n_toxic))
+    return choose_terms({r["term"]: (r["g"], r["a"]) for r in strong.collect()})
+
+
+def learn_context(rows: DataFrame, terms: list[tuple[str, bool]]) -> tuple[list[str], list[str]]:
+    """Words of report and of address: those that more of the different windows of other (of toxic) rows hold than chance has it.
+
+    Windows count once for each label, so that the copies of a text weigh as one.
+    """
+    def finish(reader: Reader, batch: pa.RecordBatch) -> tuple[list[str], list[pa.Array]]:
+        found = [[list(w) for w in sorted(reader.windows(t or ""))] for t in batch["text"].to_pylist()]
+        return ["windows"], [pa.array(found, pa.list_(pa.list_(pa.string())))]
+
+    if not terms:
+        return [], []
+    listed = rows.select("toxic", "text").mapInArrow(_read(Model(terms), ["toxic"], finish), "toxic int, windows array<array<string>>")
+    windows = stored(listed.select((F.col("toxic") == 1).cast("int").alias("toxic"), F.explode("windows").alias("w")).distinct())
+    n_toxic, n_other = _totals(windows)
+    if not n_toxic or not n_other:
+        return [], []
+    counts = stored(windows.select("toxic", F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(
+        F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(F.col("a") + F.col("b") >= MIN_TOXIC))
+    least = 2 * math.log(max(2, counts.count()))
+    a, b = F.col("a"), F.col("b")
+    report = counts.where(likelihood_ratio(b, a, n_other, n_toxic) >= least)
+    address = counts.where(likelihood_ratio(a, b, n_toxic, n_other) >= least)
+    return [sorted(r["word"] for r in words.select("word").collect()) for words in (report, address)]
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> list[float]:
@@ -332,30 +375,37 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> li
     return [round(float(v), 9) for v in w]
 
 
-def _read(terms: list[tuple[str, bool]], keep: list[str], finish):
-    name = hashlib.sha256(json.dumps(terms).encode()).hexdigest()
+def _read(model: Model, keep: list[str], finish: Callable[[Reader, pa.RecordBatch], tuple[list[str], list[pa.Array]]]):
+    """Batches with the columns `keep` and those that `finish` makes of the texts with the model's reader."""
+    words = (model.terms, model.report, model.address)
+    name = hashlib.sha256(json.dumps(words).encode()).hexdigest()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = per_worker(("toxicity reader", name), lambda: Reader(terms))
+        reader = per_worker(("toxicity reader", name), lambda: Reader(*words))
         for whole in batches:
             for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
-                x = np.array([reader.features(t or "") for t in batch["text"].to_pylist()]).reshape(-1, FEATURES)
-                names, arrays = finish(x)
+                names, arrays = finish(reader, batch)
                 yield pa.RecordBatch.from_arrays([*[batch[c] for c in keep], *arrays], [*keep, *names])
     return read
 
 
+def _features(reader: Reader, batch: pa.RecordBatch) -> np.ndarray:
+    return np.array([reader.features(t or "") for t in batch["text"].to_pylist()]).reshape(-1, FEATURES)
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Lexicon from all training rows, weights from at most FIT_ROWS of them."""
+    """Lexicon and words of context from all training rows, weights from about FIT_ROWS of them: those with the least hashes of
+    their ids, 2 * FIT_ROWS at most."""
     rows = labelled(docs, labels)
-    terms = learn_terms(rows)
-    total = rows.count()
+    model = Model(terms=learn_terms(rows))
+    model.report, model.address = learn_context(rows, model.terms)
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = rows.where(share < min(1.0, FIT_ROWS / max(1, total)))
-    listed = _read(terms, ["toxic"], lambda x: (["x"], [pa.array(list(x), pa.list_(pa.float64()))]))
-    fitted = some.select("toxic", "text").mapInArrow(listed, "toxic int, x array<double>").limit(2 * FIT_ROWS).collect()
+    some = rows.select("toxic", "text", share.alias("share")).where(F.col("share") < min(1.0, FIT_ROWS / max(1, rows.count())))
+    listed = _read(model, ["share", "toxic"], lambda r, batch: (["x"], [pa.array(list(_features(r, batch)), pa.list_(pa.float64()))]))
+    fitted = some.select("share", "toxic", "text").mapInArrow(listed, "share double, toxic int, x array<double>").orderBy(
+        "share", "toxic", "x").limit(2 * FIT_ROWS).collect()
     y = np.array([float(r["toxic"] == 1) for r in fitted])
-    model = Model(terms=terms, prior=float(y.mean()) if len(y) else 0.0)
+    model.prior = float(y.mean()) if len(y) else 0.0
     if 0 < y.sum() < len(y):
         order = np.lexsort(np.array([r["x"] for r in fitted]).T)
         model.weights = fit(np.array([r["x"] for r in fitted])[order], y[order])
@@ -366,10 +416,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every whole text."""
     weights, prior = np.array(model.weights), model.prior
 
-    def finish(x: np.ndarray) -> tuple[list[str], list[pa.Array]]:
+    def finish(reader: Reader, batch: pa.RecordBatch) -> tuple[list[str], list[pa.Array]]:
+        x = _features(reader, batch)
         if not weights.any():
             return ["score"], [pa.array(np.full(len(x), prior))]
         return ["score"], [pa.array(1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30))))]
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(_read(asdict(model)["terms"], ["doc_id"], finish), "doc_id long, score double")
+    return rows.mapInArrow(_read(model, ["doc_id"], finish), "doc_id long, score double")
