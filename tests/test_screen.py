@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meltframe import constants as K
+from meltframe.functions import text
 from meltframe.operators import composition as comp
 from meltframe.operators import profile, screen
 
@@ -49,6 +50,17 @@ def test_violations(spark):
     assert seen == sorted(seen)
 
 
+def test_banned_string_filter_builds_the_string_once(spark):
+    wide = wide_of(spark, {"clean": {"Al": 1, "Co": 1}, "banned": {"Al": 1, "C": 1}, "trace": {"Al": 999, "C": 1}, "empty": {"Al": 0}})
+    strings = comp.with_total(wide).select("row_id", text.composition_string(comp.present_shares()).alias("composition"))
+    out = screen.banned_string_filter(strings, ["C", "N"])
+    assert out.columns == ["row_id", "composition"]
+    assert {r["row_id"]: r["composition"] for r in out.collect()} == {
+        "clean": "Al0.500Co0.500", "trace": "Al1.000", "empty": None}
+    # pushed below the projection, the condition would hold the whole arithmetic of the string again
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("array_join(") == 1
+
+
 def test_dense_layers_match_numpy(spark):
     g = np.random.default_rng(5)
     shapes = [(39, 10), (39, 39), (39, 39)]
