@@ -48,6 +48,32 @@ def test_same_layout_same_forest(simple):
     assert run(simple) == run(simple.repartition(7, "q"))
 
 
+def test_fits_share_one_layout_that_grows_with_the_rows(simple, monkeypatch):
+    names = ["p", "q", "r"]
+    table = stored(simple)
+    with models.laid_out(table, FOREST) as (laid, at_once):
+        rows = models.training_rows(laid, "label", names, FOREST, "row_id", True)
+        assert at_once == 4 and rows.rdd.getNumPartitions() == FOREST.partitions
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "InMemoryTableScan" in plan
+        shared = models.grow_regressor(rows, FOREST)
+    own = models.fit_regressor(table, "label", names, FOREST)
+    assert shared.toDebugString.split("\n")[1:] == own.toDebugString.split("\n")[1:]
+    monkeypatch.setattr(models, "LAYOUT_ROWS", 20)
+    monkeypatch.setattr(models, "ROWS_AT_ONCE", 1200)
+    with models.laid_out(table, FOREST) as (laid, at_once):
+        assert at_once == 2 and laid.rdd.getNumPartitions() == 30
+    assert not table.storageLevel.useDisk
+
+
+def test_feature_table_moves_only_what_a_record_is_made_of(spark):
+    from meltframe.plans.views import feature_table
+
+    plan = feature_table(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    joined = plan.toString().split("Join LeftOuter, (o_orderkey")[1]
+    assert "domain" not in joined and "electrolyte" not in joined
+
+
 def test_imputer_keeps_observed_cells_and_fills_the_rest(spark, simple, tmp_path):
     holes = simple.withColumns({
         "label": F.when(F.col("row_id") % 4 != 0, F.col("label")), "q": F.when(F.col("row_id") % 9 != 0, F.col("q"))})
