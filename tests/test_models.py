@@ -59,7 +59,7 @@ def test_fits_share_one_layout_that_grows_with_the_rows(simple, monkeypatch):
         shared = models.grow_regressor(rows, FOREST)
     own = models.fit_regressor(table, "label", names, FOREST)
     assert shared.toDebugString.split("\n")[1:] == own.toDebugString.split("\n")[1:]
-    monkeypatch.setattr(models, "LAYOUT_ROWS", 20)
+    monkeypatch.setattr(models, "LAYOUT_ROWS", (20, 20))
     monkeypatch.setattr(models, "ROWS_AT_ONCE", 1200)
     with models.laid_out(table, FOREST) as (laid, at_once):
         assert at_once == 2 and laid.rdd.getNumPartitions() == 30
@@ -95,6 +95,15 @@ def test_imputer_keeps_observed_cells_and_fills_the_rest(spark, simple, tmp_path
         assert again == {r["row_id"]: r["label"] for r in filled.collect()}
 
 
+def test_imputer_moves_the_rows_once_a_round(spark, simple, monkeypatch):
+    holes = simple.withColumns({c: F.when(F.col("row_id") % n != 0, F.col(c)) for c, n in (("p", 7), ("q", 9), ("label", 4))})
+    laid, given = [], models.stable_layout
+    monkeypatch.setattr(models, "stable_layout", lambda *args: laid.append(args[-1]) or given(*args))
+    model, filled = impute.ChainedImputer(["p", "q", "r", "label"], rounds=2, tolerance=0.0, forest=FOREST).fit_transform(holes)
+    assert [len(step) for step in model.steps] == [3, 3] and laid == [600, 600]
+    assert filled.count() == 600 and not spark.sparkContext._jsc.getPersistentRDDs()
+
+
 def test_family_round_trip_and_two_stage_scores(spark, table, tmp_path):
     vectors = models.with_vectors(table)
     specs = [s for s in models.family_a("features_58", "features_66") if s.target in ("hardness", "icorr_log10")]
