@@ -35,9 +35,15 @@ def word_count(text: Column) -> Column:
 
 
 def per_worker(key: Any, make: Callable[[], Any]) -> Any:
-    """Built once in each Python worker process and kept there between tasks."""
-    state = sys.modules.setdefault("meltframe_worker_state", types.ModuleType("meltframe_worker_state")).__dict__
+    """Built once in each Python worker process and kept there between tasks, until a task needs another.
+
+    Workers outlive the stages of a pipeline: one that kept every parser and encoder would hold them all beside the JVM.
+    """
+    state = sys.modules.setdefault("meltframe_worker_state", types.ModuleType("meltframe_worker_state")).__dict__.setdefault("held", {})
     if key not in state:
+        if state:
+            state.clear()
+            tidy()
         state[key] = make()
     return state[key]
 

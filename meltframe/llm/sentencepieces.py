@@ -3,8 +3,8 @@
 A text is normalised as the model says (blanks become U+2581, one is put in front), cut where no piece of the vocabulary can reach across,
 and each segment is encoded by an agenda: all adjacent pairs that form a piece wait in a heap, best score first, leftmost first among
 equals; the top pair is merged and its new neighbours join the agenda. Characters outside the vocabulary become their UTF-8 bytes.
-Segments are remembered per worker. All segments that are new in an Arrow batch are also given to the sentencepiece library, and a
-difference in ids or decoded text is an error.
+Segments are remembered per worker, with their ids alone: a segment is kept with plain blanks, which is what its ids decode to. All segments
+that are new in an Arrow batch are also given to the sentencepiece library, and a difference in ids or decoded text is an error.
 
 Models other than BPE with byte fallback, a blank in front and no rewriting of characters are refused.
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meltframe.llm.common import per_worker
+from meltframe.llm.common import per_worker, tidy
 
 BLANK = "▁"
 # Segments of a generation in a worker's memory; when one is full, the one before it is forgotten.
@@ -94,14 +94,14 @@ class Agenda:
         line = "" if any("\n" in p for p in inner) else "\n"
         # marks that no piece joins to a letter before them
         self.marks = "".join(m for m in ".,;:!?" if not any(x.isalpha() and y == m for p in inner for x, y in zip(p, p[1:])))
-        self.cut = re.compile(f"{BLANK}+[^{BLANK}{line}]*|[^{BLANK}{line}]+" + (f"|{line}" if line else ""))
+        self.cut = re.compile(f" +[^ {line}]*|[^ {line}]+" + (f"|{line}" if line else ""))
 
     def segments(self, text: str) -> list[str]:
-        """The normalised text in parts that no merge can join."""
-        return self.cut.findall(BLANK + text.replace(" ", BLANK)) if text else []
+        """The text, U+2581 and blanks alike as blanks and one in front, in parts that no merge can join."""
+        return self.cut.findall(" " + text.replace(BLANK, " ")) if text else []
 
     def encode(self, segment: str) -> list[int]:
-        symbols: list[str | None] = list(segment)
+        symbols: list[str | None] = list(segment.replace(" ", BLANK))
         n = len(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         rank = self.rank
@@ -150,23 +150,23 @@ class SegmentEncoder:
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.agenda = Agenda(self.library.serialized_model_proto())
-        # ids as decimal text joined by commas, and the decoded text, of each segment; two generations
-        self.known: dict[str, tuple[str, str]] = {}
-        self.older: dict[str, tuple[str, str]] = {}
+        # ids as decimal text joined by commas of each segment; two generations
+        self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
 
-    def recall(self, segment: str) -> tuple[str, str] | None:
-        """What is remembered of a segment, or of the word and the mark it consists of."""
+    def recall(self, segment: str) -> str | None:
+        """The ids remembered of a segment, or of the word and the mark it consists of."""
         found = self.known.get(segment) or self.older.get(segment)
         if found is None and segment[-1] in self.agenda.marks and segment[-2:-1].isalpha():
             word, mark = self.recall(segment[:-1]), self.recall(segment[-1])
             if word and mark:
-                found = f"{word[0]},{mark[0]}", word[1] + mark[1]
+                found = f"{word},{mark}"
         return found
 
-    def learn(self, new: list[str]) -> dict[str, tuple[str, str]]:
-        """Encode and decode new segments and compare both with the library."""
+    def learn(self, new: list[str]) -> dict[str, str]:
+        """Encode new segments and compare with the library; decode the ids, which must give the segment itself."""
         # alone, a segment that starts within a word would get a blank in front: it is shown to the library after a line feed
-        inner = [not s.startswith(BLANK) for s in new]
+        inner = [not s.startswith(" ") for s in new]
         lead = len(self.library.encode("\n"))
         shown = self.library.encode(["\n" + s if i else s[1:] for s, i in zip(new, inner)], num_threads=1)
         out = {}
@@ -174,17 +174,17 @@ class SegmentEncoder:
             ids = self.agenda.encode(segment)
             theirs = theirs[lead:] if inside else theirs
             # the library gives no ids for the blank in front alone
-            if ids != theirs and segment != BLANK:
+            if ids != theirs and segment != " ":
                 raise ValueError(f"the agenda and the library differ on {segment!r}: {ids} and {theirs}")
             text = self.agenda.decode(ids)
             if not inside:
                 text = " " + text
-            if text != segment.replace(BLANK, " "):
+            if text != segment:
                 raise ValueError(f"decoding does not give back {segment!r}")
-            out[segment] = ",".join(map(str, ids)), text
+            out[segment] = ",".join(map(str, ids))
         return out
 
-    def remember(self, found: dict[str, tuple[str, str]]) -> None:
+    def remember(self, found: dict[str, str]) -> None:
         if len(self.known) + len(found) > REMEMBERED:
             self.older, self.known = self.known, {}
         self.known.update(found)
@@ -202,9 +202,9 @@ class SegmentEncoder:
             recalled = {s: self.recall(s) for s in missing}
             self.remember(recalled)
             found = [[recalled[s] if x is None else x for s, x in zip(segments, f)] if None in f else f for segments, f in zip(cut, found)]
-        for f in found:
-            ids, decoded = zip(*f) if f else ((), ())
-            yield ",".join(ids), "".join(decoded)[1:]
+        for segments, f in zip(cut, found):
+            # every segment is the text its ids decode to; the blank in front goes
+            yield ",".join(f), "".join(segments)[1:]
 
 
 def _encoded(path: str, names: list[str], types: list, row: Callable[[str, str], tuple]):
@@ -215,6 +215,7 @@ def _encoded(path: str, names: list[str], types: list, row: Callable[[str, str],
                 rows = [row(ids, text) for ids, text in encoder.encode([t or "" for t in batch["text"].to_pylist()])]
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], ["doc_id", *names])
+        tidy()
     return encode
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,3 +59,13 @@ def test_other_models_are_refused(model):
     for model_bytes in (message((2, message((3, 1)))), message((3, message((4, 1)))), message((1, message((1, b"x"), (3, 4))))):
         with pytest.raises(ValueError):
             S.Agenda(model_bytes)
+
+
+def test_remembered_segments_are_small(model):
+    encoder = S.SegmentEncoder(model)
+    words = [f"{'abcdefghij'[i % 10]}{i}" for i in range(2_000)]
+    got = list(encoder.encode([" ".join(words)]))
+    assert got == [(",".join(map(str, ids)), text) for ids, text in expected(model, [" ".join(words)])]
+    held = [x for pair in encoder.known.items() for x in pair]
+    assert all(isinstance(x, str) for x in held)
+    assert sum(map(sys.getsizeof, held)) <= 150 * len(encoder.known)
