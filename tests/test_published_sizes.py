@@ -25,7 +25,7 @@ def test_queries_grow_forests_of_the_published_size(spark, monkeypatch):
     monkeypatch.setattr(catalog.V, "feature_table", lambda spark, d: table)
     monkeypatch.setattr(models, "_subset", lambda names, df: 8)
     monkeypatch.setattr(models, "grow_all", seen)
-    for name, fits in (("rf_classify", 4),):
+    for name, fits in (("rf_regress", 7), ("batch_score", 7), ("rf_classify", 4)):
         with pytest.raises(Seen) as grown:
             catalog.QUERIES[name](spark, "")
         forests = [f.forest for f in grown.value.args[1]]
